@@ -16,9 +16,23 @@ def op8_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
 
 
+def op6_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(_documents(spark, sf_dir))
+
+
+def op10_contained_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import contained_items
+
+    return contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
-    return {"op8_minmax_neardup": op8_minmax_neardup}
+    return {f.__name__: f for f in (op6_entropy_secrets, op8_minmax_neardup, op10_contained_benchmark)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import contamination, secrets
+
+    return {"op6_entropy_secrets": secrets.oracle(), "op10_contained_benchmark": contamination.oracle()}
