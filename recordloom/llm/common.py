@@ -65,6 +65,13 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def held(df: DataFrame, **made: Column) -> DataFrame:
+    """Adds columns that are computed once for each row: a projection above may not copy their expressions into its own,
+    which would evaluate them again for each use, or for each element inside a lambda."""
+    one = F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("__held")
+    return df.select("*", one).select(*df.columns, *(F.col(f"__held.{k}").alias(k) for k in made))
+
+
 # ---- kernels -------------------------------------------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

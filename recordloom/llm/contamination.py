@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import held, sized, written
 
 #: At containment 0.8 an item is missed with probability 0.2**16, under 1e-11.
 SKETCH = 16
@@ -27,12 +27,12 @@ def _words(text: Column) -> Column:
 
 
 def _shingled(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """key, n (shingles with repeats), and an array of the shingles' hashes; no row where there is no word."""
-    rows = rows.select(key, _words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """key, and the hashes of the runs of k words, repeats included; no row where there is no word."""
+    rows = held(rows.select(key, "text"), w=_words(F.col("text"))).where(F.size("w") > 0)
     runs = F.when(F.size("w") < k, F.array(F.xxhash64(F.array_join("w", " "), F.lit("short")))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(*(F.try_element_at("w", i + j) for j in range(k))))
+        F.transform(F.slice("w", 1, F.greatest(F.size("w") - k + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("w", i + j) for j in range(1, k))))
     )
-    return rows.select(key, runs.alias("s"))
+    return held(rows.select(key, "w"), s=runs).select(key, "s")
 
 
 def _class(size: Column) -> Column:
@@ -79,8 +79,8 @@ def miss_probability(percent: int = 80, sketch: int = SKETCH) -> float:
 
 def oracle(k: int = 5, percent: int = 80) -> str:
     """Exact containment of every pair in DuckDB."""
-    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PARTS}'), x -> x <> '')"
-    sets = lambda t, key: f"SELECT DISTINCT {key}, unnest(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ') || '|'] ELSE list_transform(range(1, len(w) - {k} + 2), i -> array_to_string(w[i:i+{k - 1}], ' ')) END) AS h FROM (SELECT {key}, {words} AS w FROM {t} WHERE {key} IS NOT NULL) WHERE len(w) > 0"
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PARTS}'), lambda x: x <> '')"
+    sets = lambda t, key: f"SELECT DISTINCT {key}, unnest(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ') || '|'] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i+{k - 1}], ' ')) END) AS h FROM (SELECT {key}, {words} AS w FROM {t} WHERE {key} IS NOT NULL) WHERE len(w) > 0"
     return f"""
 WITH ds AS ({sets("documents", "doc_id")}), bs AS ({sets("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (h) GROUP BY doc_id, item_id)
