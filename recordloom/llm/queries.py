@@ -28,8 +28,21 @@ def op10_contained_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import hilbert_shards
+
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "n_chars": F.col("n_chars"), "doc_id": F.col("doc_id")}
+    return hilbert_shards(_documents(spark, sf_dir), dims, shards=40, law="rows")
+
+
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_copies
+
+    return mixed_copies(_documents(spark, sf_dir)).drop("source")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_entropy_secrets, op8_minmax_neardup, op10_contained_benchmark)}
+    return {f.__name__: f for f in (op4_hilbert_shards, op6_entropy_secrets, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark)}
 
 
 def oracle_sql() -> dict[str, str]:
