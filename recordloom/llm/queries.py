@@ -10,6 +10,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op7_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeated
+
+    return remove_repeated(_documents(spark, sf_dir))
+
+
 def op8_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -28,6 +34,12 @@ def op10_contained_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_factorized_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import hilbert_shards
 
@@ -42,7 +54,7 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_hilbert_shards, op6_entropy_secrets, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark)}
+    return {f.__name__: f for f in (op3_factorized_toxicity, op4_hilbert_shards, op6_entropy_secrets, op7_deep_shallow_dedup, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark)}
 
 
 def oracle_sql() -> dict[str, str]:
