@@ -48,7 +48,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + x @ self.weights + pairs, -30, 30)))
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = 200, rate: float = 0.05, ridge: float = 2e-3) -> Machine:
+def fit_machine(x: np.ndarray, y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = 300, rate: float = 0.05, ridge: float = 6e-5) -> Machine:
     """Full-batch Adam on the logistic loss with a ridge on weights and vectors; the same input gives the same machine."""
     rng = np.random.Generator(np.random.PCG64(3))
     n, m = x.shape
@@ -101,7 +101,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
     counts = rows.select("y", F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("c"), F.sum("y").alias("t"))
     share = F.col("c") / n
     z = (F.col("t") - toxic * share) / F.sqrt(toxic * share * (1 - share) * (n - toxic) / max(n - 1, 1) + 1e-9)
-    chosen = counts.withColumn("z", F.abs(z)).where(f"z >= {LEAST_Z} and t >= 3").orderBy(F.desc("z"), "bin").limit(MOST_TERMS)
+    chosen = counts.withColumn("z", F.abs(z)).where(f"z >= {LEAST_Z} and t >= 5").orderBy(F.desc("z"), "bin").limit(MOST_TERMS)
     terms = np.array(sorted(r["bin"] for r in chosen.select("bin").collect()), np.int64)
     use = rows.select("y", F.array_intersect("bins", F.array(*map(F.lit, terms.tolist())).cast("array<int>")).alias("bins")).collect()
     use.sort(key=lambda r: (r["y"], sorted(r["bins"])))
