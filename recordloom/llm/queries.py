@@ -22,6 +22,12 @@ def op8_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
 
 
+def op5_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op6_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -40,6 +46,12 @@ def op1_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import section_tokens
+
+    return section_tokens(_documents(spark, sf_dir), rule="most")
+
+
 def op3_factorized_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -60,10 +72,10 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index_search, op3_factorized_toxicity, op4_hilbert_shards, op6_entropy_secrets, op7_deep_shallow_dedup, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark)}
+    return {f.__name__: f for f in (op1_multi_index_search, op2_section_tokens, op3_factorized_toxicity, op4_hilbert_shards, op5_template_licenses, op6_entropy_secrets, op7_deep_shallow_dedup, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import contamination, secrets
+    from . import contamination, licenses, secrets
 
-    return {"op6_entropy_secrets": secrets.oracle(), "op10_contained_benchmark": contamination.oracle()}
+    return {"op5_template_licenses": licenses.oracle(), "op6_entropy_secrets": secrets.oracle(), "op10_contained_benchmark": contamination.oracle()}
