@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -111,11 +112,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
     return fit_machine(x, np.array([r["y"] for r in use], float), terms)
 
 
-def _scores(machine: Machine):
+def _scores(machine: Machine, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = machine.table()
         m = len(machine.terms)
-        for cols, data, bounds in common.blocks(batches, ["row"]):
+        for cols, data, bounds in common.blocks(batches, columns):
             bins, at = _bins(data, bounds)
             place = table[bins]
             word = np.flatnonzero(place >= 0)
@@ -126,18 +127,20 @@ def _scores(machine: Machine):
                 own = (doc >= lo) & (doc < lo + len(x))
                 x[doc[own] - lo, place[word[own]]] = 1
                 scores[lo : lo + len(x)] = machine.score(x)
-            yield pa.RecordBatch.from_arrays([cols["row"], pa.array(scores)], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(scores)], [*columns, "__score"])
 
     return run
 
 
 def with_scores(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of ``docs`` but for text, with score and predicted (1 from a score of 0.5). A null text scores as an empty one."""
-    kept = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*kept).alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_scores(machine), f"row {kind}, score double").select(*(F.col("row").getField(c).alias(c) for c in kept), "score")
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    """The rows of ``docs`` with score and predicted (1 from a score of 0.5), which take the place of columns so named.
+
+    A null text scores as an empty one.
+    """
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows = docs.select(*kept)
+    out = rows.mapInArrow(_scores(machine, kept), StructType([*rows.schema.fields, StructField("__score", DoubleType())]))
+    return out.select(*kept, F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out(doc_id: Column) -> Column:
