@@ -440,10 +440,10 @@ _NATION_HEX = "lower(hex(encode(lpad(n_nationkey::VARCHAR, 4, '0') || rpad(n_nam
 _NATION_SHA = f"sha256(unhex({_NATION_HEX}))"
 _PAID = "l_returnflag IN ('R', 'A')"
 _SEQ = "SELECT event_id AS e, CASE WHEN event_id % 101 = 0 AND event_id > 0 THEN event_id - 1 ELSE event_id END AS seq FROM events"
-_TXN = "SELECT event_id AS "at", 'T' || (event_id - CASE WHEN event_id % 250 = 7 THEN 5 ELSE 0 END) AS value FROM events"
+_TXN = '''SELECT event_id AS "at", 'T' || (event_id - CASE WHEN event_id % 250 = 7 THEN 5 ELSE 0 END) AS value FROM events'''
 _DUPS = f"SELECT seq AS value, count(*) AS times FROM ({_SEQ}) GROUP BY seq HAVING count(*) > 1"
 _GAPS = f'SELECT v + 1 AS "first", n - 1 AS "last" FROM (SELECT seq AS v, lead(seq) OVER (ORDER BY seq) AS n FROM (SELECT DISTINCT seq FROM ({_SEQ}))) WHERE n > v + 1'
-_AGAIN = f"SELECT value, "at" FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY "at") AS n FROM ({_TXN})) WHERE n = 2"
+_AGAIN = f'''SELECT value, "at" FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY "at") AS n FROM ({_TXN})) WHERE n = 2'''
 _SEG = "SELECT c_custkey AS k, c_mktsegment AS s FROM customer"
 _SHIFTED = "SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'ELSEWHERE' ELSE c_mktsegment END AS s FROM customer WHERE c_custkey % 11 <> 0"
 _SEALS = "SELECT r_regionkey AS no, r_name AS id, sha256('in:' || r_name) AS i, sha256('ctl:' || r_name) AS c, sha256('out:' || r_name) AS o FROM region"
