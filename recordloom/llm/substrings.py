@@ -28,8 +28,6 @@ GRAM = 64
 SHALLOW = 8
 #: A gram with more different contexts than this isn't sorted in one task: its starts are compared one by one by Spark.
 LARGEST_GROUP = 20_000
-#: Contexts and spans are sent to the scan if they are at most so many, else the texts are shuffled to them.
-SMALL = 300_000
 _PIECE = 1 << 20
 
 
@@ -298,6 +296,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("did", F.xxhash64("doc_id", "text"))
     found = common.written(docs.where(F.octet_length("text") >= length).select("did", "text").mapInArrow(_intervals(length, gram), "did long, first long, starts int, off int, key long, ctx long"), "anchors")
     keys = found.groupBy("key").agg(F.count("*").alias("c"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c > 1").select("key", (F.col("c0") != F.col("c1")).alias("several"))
+    keys = common.written(keys, "keys")  # read back, so that the join's both sides can be split where a gram is everywhere
     shared = common.written(found.join(keys, "key"), "shared")
     span = ["did", F.col("first").alias("lo"), (F.col("first") + F.col("starts") - 1).alias("hi")]
     spans = shared.where("not several").select(*span)
@@ -311,7 +310,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
     sizes = contexts.groupBy("key").agg(F.count("*").alias("members"))
     alone = contexts.join(sizes, "key").where("members > 1")
     parts = alone.groupBy(F.col("one.did").alias("did")).agg(F.collect_list(F.struct("key", "one.first", "one.starts", "one.off", "times")).alias("parts"))
-    shipped = docs.select("did", "text").join(common.sized(parts, contexts.count(), SMALL), "did").mapInArrow(_cut_contexts(length), _CONTEXT)
+    shipped = docs.select("did", "text").join(parts, "did").mapInArrow(_cut_contexts(length), _CONTEXT)
     shipped = common.written(shipped.join(sizes, "key"), "shipped")
     grouped = shipped.where(F.col("members") <= largest_group).drop("members")
     spans = spans.union(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length, gram), _SPAN))
@@ -322,5 +321,5 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
 
     spans = common.written(spans, "spans")
     lists = spans.groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.join(common.sized(lists, spans.count(), SMALL), "did", "left")
+    rows = docs.join(lists, "did", "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
