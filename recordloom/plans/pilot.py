@@ -35,7 +35,7 @@ def run_pilot(df: DataFrame, pilot: Pilot, encoding: str = ASCII) -> dict[str, s
     detail = next(v for v in pilot.variants.variants if v.name == pilot.control.detail).layout
     details = df.where(F.coalesce(pilot.variants.route() == pilot.control.detail, F.lit(False)))
     shown = details.where(F.col("record_index") < pilot.sample)
-    lines = lambda d: "\n".join(d.orderBy(*d.columns[:2]).toJSON().collect()) + "\n"
+    lines = lambda d: "\n".join(d.orderBy(*[c for c, t in d.dtypes if not t.startswith("map")][:2]).toJSON().collect()) + "\n"
     redacted = redact(shown, detail, pilot.redaction, encoding)
     totals, findings = reconcile_banking(df, pilot.variants, pilot.control, encoding)
     report = reconcile_report(totals, findings, {"unit": pilot.unit})

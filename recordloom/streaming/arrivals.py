@@ -11,7 +11,7 @@ def record_stream(spark: SparkSession, folder: str, record_len: int, glob: str =
 
     A file is read whole by one task, so this suits arriving batches; ``read_records`` splits large files.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).load(folder)
     n = F.ceil(F.col("length") / record_len).cast("int")
     index = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("i")
     rows = files.select(F.col("path"), F.col("modificationTime").alias("modified"), "content", index)
