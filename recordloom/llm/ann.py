@@ -120,17 +120,39 @@ def _visits(index: MultiIndex, entries: int):
     return run
 
 
+#: A task holds so many found pairs before it hands them on.
+_HELD = 400_000
+
+
+def best_pairs(query: np.ndarray, key: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's pairs that score no less than its keep-th best: all that tie with the last kept stay."""
+    order = np.lexsort((-score, query))
+    query, key, score = query[order], key[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+    size = np.diff(np.concatenate([first, [len(query)]]))
+    least = np.repeat(score[first + np.minimum(keep, size) - 1], size)
+    good = score >= least
+    return query[good], key[good], score[good]
+
+
 def _ranked_blocks(keep: int):
-    """Rows come ordered by cell, block and kind: a block's entries, then the queries that pass it."""
+    """Rows come ordered by cell, block and kind: a block's entries, then the queries that pass it.
+
+    A task keeps the best of all its blocks for each query, and hands on what it holds when that grows large.
+    """
+
+    def batch_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], ["query", "key", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, vectors, norms = None, [], [], None
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
             cell, block, kind = (batch.column(c).to_numpy() for c in ("cell", "block", "kind"))
             key = batch.column("key").to_numpy()
             x = _matrix(batch.column("vector"))
             change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-            out: list[tuple[np.ndarray, ...]] = []
             for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(cell)], strict=True):
                 if hi == lo:
                     continue
@@ -153,9 +175,14 @@ def _ranked_blocks(keep: int):
                     least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
                     r, c = np.nonzero(score >= least[:, None])
                     out.append((key[q:e][r], keys[0][c], score[r, c]))
-            if out:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "key", "score"])
+                    held += len(r)
+                if held > _HELD:
+                    out = [best_pairs(*(np.concatenate(c) for c in zip(*out, strict=True)), keep)]
+                    if (held := len(out[0][0])) > _HELD // 2:
+                        yield batch_of(out)
+                        out, held = [], 0
+        if out:
+            yield batch_of([best_pairs(*(np.concatenate(c) for c in zip(*out, strict=True)), keep)])
 
     return run
 
