@@ -42,11 +42,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice. Rows that are equal in every column are taken alike."""
     keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
     copies = mixing.mixed_copies(keyed.select(F.col("__row").alias("doc_id"), "text", "source"))
-    copies = copies.where("copies > 0").select(F.col("doc_id").alias("__row"), "copies").dropDuplicates(["__row"])
-    return keyed.join(copies, "__row").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy")).drop("__copy")
+    copies = copies.where("copies > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.max("copies").alias("__copies"))
+    return keyed.join(copies, "__row").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
