@@ -11,10 +11,20 @@ from pyspark.sql import functions as F
 from recordloom.llm import common, contamination, mixing, neardup, sharding, toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """The documents whose doc_id is not among ids."""
-    ids = common.written(ids.where("doc_id is not null").distinct(), label)
-    return docs.join(common.sized(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame, label: str) -> DataFrame:
+    """The documents with __row, a number of their own, and __tie, a hash of all columns. They are written once, so that the numbers stay."""
+    return common.written(docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__row", F.monotonically_increasing_id()), label)
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """The texts as the operators take them, with the row's number for doc_id: ids may be null or repeated."""
+    return keyed.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """The documents whose __row is not among rows."""
+    rows = common.written(rows, label)
+    return keyed.join(common.sized(rows, rows.count()), "__row", "left_anti").drop("__row", "__tie")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +35,24 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (runs of five words, similarity 0.8): that of smallest doc_id.
+    """One row of each group of near duplicates (runs of five words, similarity 0.8): that of smallest doc_id.
 
-    Rows that repeat a doc_id are one document.
+    Rows are compared by their texts alone. A null doc_id comes after all others; among equal ids the hash of all columns decides.
     """
-    found = common.written(neardup.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "near")
-    kept = _without(docs, found.where("not kept").select("doc_id"), "copies")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"])) if again else kept
+    keyed = _keyed(docs, "near-rows")
+    found = neardup.near_duplicates(_texts(keyed), k=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
+    found = common.written(found, "near")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__tie", "__row")
+    first = keyed.select("__row", "__tie", "doc_id").join(found, "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return _without(keyed, found.join(first.select("first.__row"), "__row", "left_anti").select("__row"), "copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (runs of five words, containment under 0.8)."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contamination.contained_items(docs, items).select("doc_id"), "leaks")
+    keyed = _keyed(docs, "leak-rows")
+    found = contamination.contained_items(_texts(keyed), items).select(F.col("doc_id").alias("__row")).distinct()
+    return _without(keyed, found, "leaks")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

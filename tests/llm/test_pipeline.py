@@ -77,3 +77,28 @@ def test_near_copies_of_one_text(spark):
     base = prose(77, 300)
     docs = docs_of(spark, [base, *(edited(base, i, 0.01) for i in range(30)), prose(78, 300)])
     assert set(ids(pipeline.drop_near_copies(spark, docs, SF))) == {0, 31}
+
+
+def with_ids(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def kept_texts(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_copies_go_by_row_not_by_id(spark):
+    """Rows without an id are compared like any other, and rows that share an id but no text are no copies."""
+    a, b, c, d = (prose(i, 300) for i in (81, 82, 83, 84))
+    near = edited(a, 1, 0.01)
+    rows = [(5, a), (None, a), (None, near), (None, b), (None, b), (7, c), (7, d), (7, d), (3, d), (9, c)]
+    want = Counter({(5, a): 1, (None, b): 1, (7, c): 1, (3, d): 1})
+    for part in (rows, rows[::-1]):
+        assert kept_texts(pipeline.drop_near_copies(spark, with_ids(spark, part), SF)) == want
+
+
+def test_benchmark_passages_go_by_row_not_by_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    leak, clean, other = f"{prose(85, 50)} {item} {prose(86, 50)}", prose(87, 100), prose(88, 100)
+    rows = [(None, leak), (None, clean), (4, leak), (4, clean), (6, other)]
+    assert kept_texts(pipeline.drop_contaminated(spark, with_ids(spark, rows), SF)) == Counter({(None, clean): 1, (4, clean): 1, (6, other): 1})
