@@ -53,3 +53,30 @@ def test_awkward_rows(spark, awkward, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
     kept = toxicity.with_scores(awkward, toxicity.learn(awkward, labels))
     assert set(kept.columns) == {*awkward.columns, "predicted"} and kept.where(F.col("items") == "x").count() == awkward.count()
+
+
+def test_the_pipeline_stage_on_the_test_table(spark):
+    """Of the held-out rows, nine tenths of the toxic ones go and the clean ones stay."""
+    import corpus_pipeline
+
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.reject_toxic(spark, docs, at).select("doc_id").collect()}
+    rows = labels.where("toxic is not null").where(toxicity.held_out(F.col("doc_id"))).collect()
+    y, gone = np.array([r["toxic"] for r in rows]), np.array([r["doc_id"] not in kept for r in rows])
+    assert gone[y == 1].mean() >= 0.9
+    assert gone[y == 0].mean() <= 0.01
+
+
+def test_few_labels_and_rare_forms_get_weights():
+    """Each toxic row has its own form of one word, none in five rows: single words alone would be left out."""
+    texts = [prose(i, 40) + (f" glorp{'abcdefghijklmnop'[i // 4 % 16]}{i}" if i % 4 == 0 else "") for i in range(120)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bins, at = toxicity._bins(data, np.cumsum([0, *map(len, texts)]))
+    lists = [bins[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    y = np.array([i % 4 == 0 for i in range(120)], float)
+    machine = toxicity.fit_sample(lists[:80], y[:80])
+    assert set(machine.terms) == set(np.concatenate(lists[:80]).tolist())
+    place = [p[p >= 0] for p in (machine.table()[b] for b in lists[80:])]
+    z = machine.sums(np.repeat(np.arange(40), [len(p) for p in place]), np.concatenate(place), 40)
+    assert ((z >= 0) == (y[80:] == 1)).mean() >= 0.95
