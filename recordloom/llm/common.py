@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many rows of a few longs (about 40 MB).
 BROADCAST_ROWS = 1_000_000
+#: The same for sides of longer rows, and the rows of one key from which on they aren't dealt out by the key.
+SIDE_ROWS, HOT_ROWS = 200_000, 50_000
 #: Documents are handed to the kernels in blocks of about so many bytes; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set and all runs on one machine."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="recordloom-")
@@ -41,6 +45,19 @@ def sized(side: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if rows <= most else side
 
 
+def matched(rows: DataFrame, side: DataFrame, on: list[str], total: int, most: int = SIDE_ROWS) -> DataFrame:
+    """The rows whose key is in ``side``, with its columns but ``n``, the number of rows of the key; ``side`` has a key once.
+
+    A side of ``most`` rows at most is broadcast. Of a larger one the keys of many rows are, which are ``most`` at most, and
+    only rows of the other keys are shuffled, so no task gets more than a share of them.
+    """
+    if side.count() <= most:
+        return rows.join(F.broadcast(side.drop("n")), on)
+    hot = F.col("n") > max(HOT_ROWS, total // most)
+    rest = rows.join(F.broadcast(side.where(hot).select(*on)), on, "left_anti").join(side.where(~hot).drop("n"), on)
+    return rows.join(F.broadcast(side.where(hot).drop("n")), on).unionByName(rest)
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank", label: str = "ranked") -> tuple[DataFrame, int]:
     """Numbers all rows from 0 in the given order, and counts them, without a window over everything.
 

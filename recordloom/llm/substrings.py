@@ -4,10 +4,15 @@ Suffixes are sorted only at anchors: of all K-byte grams in a string of ``length
 equals, is the string's anchor. Equal strings have their anchors at the same place, so only suffixes (and reversed prefixes)
 of anchors with one gram need an order among them. Start positions that share an anchor form one interval with one context.
 
-Equal contexts are one suffix of higher multiplicity and are counted before anything is shipped. What is left of a gram with
-several contexts is sorted deep-shallow: multikey quicksort to a shallow depth, then a blind trie for each set of suffixes
-that still agree. A start is repeated if another member agrees with it on the bytes left and right of the anchor that make up
-the string: both orders cut the members into runs by their common prefixes, and two members in the same two runs agree.
+Equal contexts, told by a 128-bit BLAKE2 digest of their bytes, are one suffix of higher multiplicity and are counted before
+anything is shipped. The different contexts of a gram are sorted deep-shallow: multikey quicksort to a shallow depth, then a
+blind trie for each set of suffixes that still agree. A start is repeated if another member agrees with it on the bytes left
+and right of the anchor that make up the string: both orders cut the members into runs by their common prefixes, and two
+members in the same two runs agree. The sorter compares bytes, so grams that merely share a hash don't matter to it.
+
+A group too large for one task is parted by Spark before it is sorted: the starts are halved by their distance from the anchor,
+and all starts of a half that can be equal share the bytes that every string of that half covers. Equal contexts of a half are
+merged by their bytes. Halves go on until each group fits a task; a half of one distance has nothing left to sort.
 """
 
 from __future__ import annotations
@@ -26,13 +31,15 @@ LENGTH = 400
 GRAM = 64
 #: Bytes beyond the common gram that multikey quicksort looks at before blind tries take over.
 SHALLOW = 8
-#: A gram with more different contexts than this isn't sorted in one task: its starts are compared one by one by Spark.
+#: Contexts that one task sorts together; a larger group is parted by further bytes first.
 LARGEST_GROUP = 20_000
 _PIECE = 1 << 20
+#: Bits of a place in a piece. They don't depend on the piece, so that equal strings have equal anchors wherever they are.
+_PLACE = np.uint64(21)
 
 
 def _anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
-    """First start, number of starts, anchor's place after the first start, gram hash, context hash of each interval.
+    """First start, number of starts, anchor's place after the first start and gram hash of each interval.
 
     ends: for each byte the end of its document.
     """
@@ -43,8 +50,7 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
     inverse = common.powers(n + 1)[1]
     h = common.mixed((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
     width = length - gram + 1
-    bits = np.uint64(int(n).bit_length())
-    mask = (np.uint64(1) << bits) - np.uint64(1)
+    mask = (np.uint64(1) << _PLACE) - np.uint64(1)
     both = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(h) // width) * width, np.uint64(2**64 - 1))
     padded[: len(h)] = both
@@ -61,15 +67,13 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
     keep = at[first] >= 0
     first, last = first[keep], last[keep]
     at = at[first]
-    context = (prefix[last + length] - prefix[first]) * inverse[first]
-    context = common.mixed(context ^ common.mixed((at - first).astype(np.uint64) + np.uint64(1)))
-    return first, last - first + 1, at - first, h[at], context
+    return first, last - first + 1, at - first, h[at]
 
 
 def _intervals(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, data, bounds in common.blocks(batches, ["did"]):
-            did = keys["did"].to_numpy(zero_copy_only=False)
+            did = keys["did"]
             ends = np.repeat(bounds[1:], np.diff(bounds))
             out = []
             for lo in range(0, max(1, len(data) - length + 1), _PIECE):
@@ -78,10 +82,12 @@ def _intervals(length: int, gram: int):
                     out.append((found[0] + lo, *found[1:]))
             if not out:
                 continue
-            first, count, off, key, context = (np.concatenate(x) for x in zip(*out, strict=True))
+            first, count, off, key = (np.concatenate(x) for x in zip(*out, strict=True))
             doc = np.searchsorted(bounds, first, "right") - 1
+            view, digest = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+            context = [digest(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + count - 1 + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(did[doc]), pa.array(first - bounds[doc]), pa.array(count.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))],
+                [did.take(pa.array(doc)), pa.array(first - bounds[doc]), pa.array(count.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context, pa.binary())],
                 ["did", "first", "starts", "off", "key", "ctx"],
             )
 
@@ -199,8 +205,9 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(values[np.concatenate([[0], cut + 1])].tolist(), values[np.concatenate([cut, [len(values) - 1]])].tolist(), strict=True)
 
 
-_SPAN = "did long, lo long, hi long"
-_CONTEXT = "key long, did long, first long, starts int, off int, times long, ctx binary"
+_SPAN = "did binary, lo long, hi long"
+_INTERVAL = "did binary, first long, starts int, off int, key long, ctx binary"
+_CONTEXT = "key long, did binary, first long, starts int, off int, times long, ctx binary"
 
 
 def _cut_contexts(length: int):
@@ -211,7 +218,7 @@ def _cut_contexts(length: int):
                 rows = [(x["key"], did, x["first"], x["starts"], x["off"], x["times"], data[x["first"] : x["first"] + x["starts"] - 1 + length]) for x in list_]
                 for a in range(0, len(rows), 4096):
                     cols = list(zip(*rows[a : a + 4096], strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "did", "first", "starts", "off", "times", "ctx"])
 
     return run
@@ -220,7 +227,10 @@ def _cut_contexts(length: int):
 def _sorted_groups(length: int, gram: int):
     """Rows come ordered by key; a group may go on in the next batch."""
 
-    def solve(rows: list[dict]) -> list[tuple[int, int, int]]:
+    def spans(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["did", "lo", "hi"])
+
+    def solve(rows: list[dict]) -> list[tuple[bytes, int, int]]:
         if len(rows) < 2:
             return []
         offs, starts = np.array([r["off"] for r in rows]), np.array([r["starts"] for r in rows])
@@ -240,24 +250,28 @@ def _sorted_groups(length: int, gram: int):
                     group = []
                 group.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["did", "lo", "hi"])
+                yield spans(out)
         if out := solve(group):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["did", "lo", "hi"])
+            yield spans(out)
 
     return run
 
 
-def _each_start(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                prefix = common.prefix_hash(np.frombuffer(r["ctx"], np.uint8))
-                s = np.arange(r["starts"])
-                h = common.mixed((prefix[s + length] - prefix[s]) * common.powers(len(prefix))[1][s])
-                same = lambda v: pa.array(np.full(len(s), v))
-                yield pa.RecordBatch.from_arrays([same(r["key"]), pa.array(r["off"] - s), pa.array(h.view(np.int64)), same(r["did"]), pa.array(r["first"] + s), same(r["times"])], ["key", "back", "h", "did", "at", "times"])
+def _halves(pool: DataFrame, length: int) -> DataFrame:
+    """Each context as one or two contexts: its starts in the nearer and in the farther half of the group's distances.
 
-    return run
+    lo and hi are the distances from start to anchor that the group still spans. Two equal strings at a distance within
+    a half agree on the ``lo`` bytes before the anchor and the ``length - hi`` from it on; these make the new key.
+    """
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b"))))
+    near, far = F.greatest("half.a", F.col("off") - F.col("starts") + 1), F.least("half.b", "off")
+    rows = pool.where("lo < hi").withColumn("half", halves).withColumns({"near": near, "far": far}).where("near <= far")
+    both = F.substring("ctx", F.col("off") - F.col("half.a") + 1, F.col("half.a") + F.lit(length) - F.col("half.b"))
+    return rows.select(
+        F.xxhash64("key", "half.a", "half.b", both).alias("key"), "did", (F.col("first") + F.col("off") - F.col("far")).alias("first"), (F.col("far") - F.col("near") + 1).alias("starts"), F.col("far").alias("off"), "times",
+        F.substring("ctx", F.col("off") - F.col("far") + 1, F.col("far") - F.col("near") + F.lit(length)).alias("ctx"), F.col("half.a").alias("lo"), F.col("half.b").alias("hi"),
+    )
 
 
 def _remove(length: int):
@@ -285,41 +299,55 @@ def _remove(length: int):
     return run
 
 
+def _span() -> list:
+    return ["did", F.col("first").alias("lo"), (F.col("first") + F.col("starts") - 1).alias("hi")]
+
+
+def repeated_spans(texts: DataFrame, length: int, gram: int = GRAM, largest_group: int = LARGEST_GROUP) -> DataFrame:
+    """did, lo, hi: the first and last start of runs of ``length``-byte strings that also start elsewhere, of (did, text)."""
+    found = common.written(texts.where(F.octet_length("text") >= length).mapInArrow(_intervals(length, gram), _INTERVAL), "anchors")
+    total = found.count()
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1")
+    keys = common.written(keys.select("key", (F.col("c0") != F.col("c1")).alias("several"), "n"), "keys")
+    shared = common.written(common.matched(found, keys, ["key"], total), "shared")
+    spans = shared.where("not several").select(*_span())
+
+    several = shared.where("several").drop("several")
+    contexts = several.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("did", "first", "starts", "off")).alias("one"))
+    contexts = common.written(contexts, "contexts")
+    again = contexts.where("times > 1").select("key", "ctx", F.col("times").alias("n"))
+    spans = spans.union(common.matched(several, again, ["key", "ctx"], total).select(*_span()))
+
+    parts = contexts.groupBy(F.col("one.did").alias("did")).agg(F.collect_list(F.struct("key", "one.first", "one.starts", "one.off", "times")).alias("parts"))
+    pool = texts.join(parts, "did").mapInArrow(_cut_contexts(length), _CONTEXT)
+    pool = common.written(pool.withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)}), "shipped")
+    while True:
+        large = common.written(pool.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > largest_group), "large")
+        many = large.count()
+        small = pool.join(common.sized(large, many), "key", "left_anti") if many else pool
+        small = small.drop("lo", "hi").repartition("key").sortWithinPartitions("key")
+        spans = spans.union(small.mapInArrow(_sorted_groups(length, gram), _SPAN))
+        if not many:
+            return spans
+        halves = common.written(_halves(pool.join(common.sized(large.select("key"), many), "key", "left_semi"), length), "halves")
+        merged = halves.groupBy("key", "off", "ctx", "lo", "hi").agg(F.count("*").alias("n"), F.sum("times").alias("times"), F.min(F.struct("did", "first", "starts")).alias("one"))
+        merged = common.written(merged, "merged")
+        again = merged.where("n > 1").select("key", "off", "ctx", "n")
+        spans = spans.union(common.matched(halves, again, ["key", "off", "ctx"], halves.count()).select(*_span()))
+        pool = merged.select("key", "one.*", "off", "times", "ctx", "lo", "hi")
+
+
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest_group: int = LARGEST_GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text; more columns are ignored).
 
     Every byte goes that is covered by a ``length``-byte string that also starts elsewhere, in the same text or another; strings
     are judged on the input. Texts are UTF-8 bytes, a null text is empty and matches never cross texts. Rows with equal texts
     lose all bytes if they have ``length`` or more. Repeated rows and null doc_ids are rows of their own. An empty table gives
-    no rows. ``gram`` must be less than ``length``.
+    no rows. ``gram`` must be less than ``length``. Rows are told apart by the MD5 of doc_id and text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("did", F.xxhash64("doc_id", "text"))
-    found = common.written(docs.where(F.octet_length("text") >= length).select("did", "text").mapInArrow(_intervals(length, gram), "did long, first long, starts int, off int, key long, ctx long"), "anchors")
-    keys = found.groupBy("key").agg(F.count("*").alias("c"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c > 1").select("key", (F.col("c0") != F.col("c1")).alias("several"))
-    keys = common.written(keys, "keys")  # read back, so that the join's both sides can be split where a gram is everywhere
-    shared = common.written(found.join(keys, "key"), "shared")
-    span = ["did", F.col("first").alias("lo"), (F.col("first") + F.col("starts") - 1).alias("hi")]
-    spans = shared.where("not several").select(*span)
-
-    several = shared.where("several")
-    contexts = several.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("did", "first", "starts", "off")).alias("one"))
-    contexts = common.written(contexts, "contexts")
-    again = contexts.where("times > 1").select("key", "ctx")
-    spans = spans.union(several.join(again, ["key", "ctx"]).select(*span))
-
-    sizes = contexts.groupBy("key").agg(F.count("*").alias("members"))
-    alone = contexts.join(sizes, "key").where("members > 1")
-    parts = alone.groupBy(F.col("one.did").alias("did")).agg(F.collect_list(F.struct("key", "one.first", "one.starts", "one.off", "times")).alias("parts"))
-    shipped = docs.select("did", "text").join(parts, "did").mapInArrow(_cut_contexts(length), _CONTEXT)
-    shipped = common.written(shipped.join(sizes, "key"), "shipped")
-    grouped = shipped.where(F.col("members") <= largest_group).drop("members")
-    spans = spans.union(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length, gram), _SPAN))
-    if shipped.where(F.col("members") > largest_group).limit(1).count():
-        each = common.written(shipped.where(F.col("members") > largest_group).mapInArrow(_each_start(length), "key long, back long, h long, did long, at long, times long"), "starts")
-        twice = each.groupBy("key", "back", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        spans = spans.union(each.where("times = 1").join(twice, ["key", "back", "h"]).select("did", F.col("at").alias("lo"), F.col("at").alias("hi")))
-
-    spans = common.written(spans, "spans")
+    did = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), common.text_or_empty())))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("did", did)
+    spans = common.written(repeated_spans(docs.select("did", "text"), length, gram, largest_group), "spans")
     lists = spans.groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = docs.join(lists, "did", "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from recordloom.llm import substrings
+from recordloom.llm import common, substrings
 
 from .conftest import docs_of, prose, rows_of
 
@@ -33,6 +33,21 @@ def fixture_texts():
     return texts
 
 
+def test_crowded_grams_are_parted_by_further_bytes(spark, monkeypatch):
+    """A gram in 60 contexts, equal strings of every length around the anchor, and keys of many rows with no side broadcast."""
+    rng = random.Random(5)
+    core, letters = prose(31, 12)[:60], "abc"
+    around = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    ends = [around(30) for _ in range(4)]
+    texts = [rng.choice(ends)[rng.randint(0, 20) :] + core + rng.choice(ends)[: rng.randint(0, 30)] + f" {i}" for i in range(60)]
+    texts += [f"{around(rng.randint(0, 9))}{core[9:50]}{around(rng.randint(0, 9))}" for _ in range(40)]
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common.matched, "__defaults__", (3,))
+    for group in (2, 7):
+        found = rows_of(substrings.remove_repeated(docs_of(spark, texts), length=40, gram=8, largest_group=group))
+        assert {i: tuple(r)[1:] for i, r in found.items()} == brute(texts, 40)
+
+
 @pytest.mark.parametrize("largest_group", [20_000, 2])
 def test_removed_bytes_equal_brute_force(spark, largest_group):
     texts = fixture_texts()
