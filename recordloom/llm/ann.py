@@ -20,14 +20,13 @@ from .common import written
 
 #: The codebooks are fitted on at most so many distinct vectors, those of smallest hash.
 MOST_SAMPLE = 20_000
-#: Cells should hold about so many entries; a cell with more than a block is worked on in blocks.
-CELL, BLOCK = 100, 2048
+#: Cells should hold about so many entries. Neighbouring cells are worked on together, as shelves of about SHELF entries; a
+#: cell of more is worked on in blocks.
+CELL, SHELF = 12, 2048
 MOST_CENTROIDS = 256
 #: Share of all entries that a query passes. The vectors of the test tables have no clusters to speak of (the fifth nearest
-#: has a cosine of about 0.4), so recall follows this share; on clustered vectors a tenth of it does.
-SHARE = 0.7
-#: Fewer entries than this are never worth leaving out.
-LEAST_ENTRIES = 2000
+#: has a cosine of about 0.4), so recall follows this share; of 20,000 clustered vectors a hundredth does (tests/llm/test_ann.py).
+SHARE = 0.6
 
 
 @dataclass(frozen=True)
@@ -88,7 +87,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between 1/2 and 1: squares neither over- nor underflow.
+
+    A cosine doesn't change by it, not even in its last digit.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -109,13 +117,39 @@ def _assigned(index: MultiIndex):
     return run
 
 
-def _visits(index: MultiIndex, entries: int):
+def shelves(counts: np.ndarray, most: int = SHELF) -> tuple[np.ndarray, np.ndarray]:
+    """The shelf of each cell, and the number of blocks of each shelf: runs of cells of ``most`` entries in all, or one cell of more."""
+    shelf, blocks, held = np.zeros(len(counts), np.int32), [1], 0
+    for c in np.flatnonzero(counts):
+        if held and held + counts[c] > most:
+            blocks.append(1)
+            held = 0
+        held += int(counts[c])
+        shelf[c] = len(blocks) - 1
+        blocks[-1] = -(-held // most)
+    return shelf, np.array(blocks, np.int32)
+
+
+def _visits(index: MultiIndex, entries: int, shelf: np.ndarray, blocks: np.ndarray):
+    """A row for each shelf that a query passes: its number, its blocks, and the cells that the query passes there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = index.distances(_unit(_matrix(batch.column("vector"))))
-                lists = [index.traverse(x, y, entries) for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+            if not batch.num_rows:
+                continue
+            a, b = index.distances(_unit(_matrix(batch.column("vector"))))
+            rows, at, cells = [], [], []
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                found = np.sort(np.array(index.traverse(x, y, entries), np.int32))
+                cut = np.flatnonzero(np.diff(shelf[found])) + 1
+                parts = np.split(found, cut)
+                rows += [i] * len(parts)
+                at += [int(shelf[p[0]]) for p in parts]
+                cells += parts
+                if len(rows) > 5000 or i == len(a) - 1:
+                    own = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(at, pa.int32()), pa.array(blocks[at]), pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "shelf", "many", "cells"])
+                    rows, at, cells = [], [], []
 
     return run
 
@@ -136,7 +170,7 @@ def best_pairs(query: np.ndarray, key: np.ndarray, score: np.ndarray, keep: int)
 
 
 def _ranked_blocks(keep: int):
-    """Rows come ordered by cell, block and kind: a block's entries, then the queries that pass it.
+    """Rows come ordered by shelf, block and kind: a block's entries, then the queries that pass some of its cells.
 
     A task keeps the best of all its blocks for each query, and hands on what it holds when that grows large.
     """
@@ -145,35 +179,38 @@ def _ranked_blocks(keep: int):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], ["query", "key", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, vectors, norms = None, [], [], None
+        at, keys, cells, vectors, norms, place = None, [], [], [], None, None
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
-            cell, block, kind = (batch.column(c).to_numpy() for c in ("cell", "block", "kind"))
-            key = batch.column("key").to_numpy()
-            x = _matrix(batch.column("vector"))
-            change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(cell)], strict=True):
-                if hi == lo:
-                    continue
-                if (here := (cell[lo], block[lo])) != at:
-                    at, keys, vectors, norms = here, [], [], None
+            if not batch.num_rows:
+                continue
+            shelf, block, kind = (batch.column(c).to_numpy() for c in ("shelf", "block", "kind"))
+            key, own = batch.column("key").to_numpy(), batch.column("cells")
+            x = _scaled(_matrix(batch.column("vector")))
+            change = np.flatnonzero((np.diff(shelf) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(shelf)], strict=True):
+                if (here := (shelf[lo], block[lo])) != at:
+                    at, keys, cells, vectors, norms = here, [], [], [], None
                 if kind[lo] == 0:
                     keys.append(key[lo:hi])
+                    cells.append(own.slice(lo, hi - lo).flatten().to_numpy())  # the entry's own cell
                     vectors.append(x[lo:hi])
                     continue
-                if norms is None:
-                    keys, vectors = [np.concatenate(keys)] if keys else [], [np.concatenate(vectors)] if keys else []
-                    norms = np.linalg.norm(vectors[0], axis=1) if keys else np.zeros(0)
                 if not keys:
                     continue
+                if norms is None:
+                    keys, vectors = [np.concatenate(keys)], [np.concatenate(vectors)]
+                    cells, place = np.unique(np.concatenate(cells), return_inverse=True)
+                    norms = np.linalg.norm(vectors[0], axis=1)
                 for q in range(lo, hi, 512):
                     e = min(q + 512, hi)
-                    score = x[q:e] @ vectors[0].T / (np.linalg.norm(x[q:e], axis=1)[:, None] * norms[None])
+                    passed = np.stack([np.isin(cells, own[j].values.to_numpy()) for j in range(q, e)])[:, place]
+                    score = np.where(passed, x[q:e] @ vectors[0].T / (np.linalg.norm(x[q:e], axis=1)[:, None] * norms[None]), -np.inf)
                     n = min(keep, score.shape[1])
                     # all that tie with the last kept stay
                     least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
-                    r, c = np.nonzero(score >= least[:, None])
+                    r, c = np.nonzero((score >= least[:, None]) & passed)
                     out.append((key[q:e][r], keys[0][c], score[r, c]))
                     held += len(r)
                 if held > _HELD:
@@ -181,7 +218,7 @@ def _ranked_blocks(keep: int):
                     if (held := len(out[0][0])) > _HELD // 2:
                         yield batch_of(out)
                         out, held = [], 0
-        if out:
+        if held:
             yield batch_of([best_pairs(*(np.concatenate(c) for c in zip(*out, strict=True)), keep)])
 
     return run
@@ -191,9 +228,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHA
     """query_id, rank, vec_id, score: for each query row its k nearest of all other rows by cosine, ties to the smaller vec_id.
 
     ``vectors`` has vec_id and embedding; more columns are ignored. A query passes ``share`` of all entries, or ``entries`` if
-    that is given, which keeps the work in proportion to the number of queries. Vectors that are null, empty, all zero, hold a null
-    or non-finite component, or have another length than most of the sample, take no part, nor do rows without an id. A
-    repeated vec_id counts once a vector. Fewer than k others give fewer rows; an empty table gives none.
+    that is given, which keeps the work in proportion to the number of queries; k + 1 entries are passed at least. Vectors that
+    are null, empty, all zero, hold a null or non-finite component, or have another length than most of the sample (a cosine
+    needs equal lengths), take no part, nor do rows without an id. A repeated vec_id counts once a vector. Fewer than k others
+    give fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), is_query.alias("asks")).where("vec_id is not null").where(_usable("vector"))
@@ -224,12 +262,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHA
 
     asked = rows.where("asks").where(F.size("vector") == size).select("vec_id", "key").distinct()
     wanted = placed.select("key", "vector").join(asked.select("key").distinct(), "key", "left_semi")
-    passed = wanted.mapInArrow(_visits(index, entries or max(LEAST_ENTRIES, int(np.ceil(share * n)))), "key long, vector array<double>, cells array<int>")
-    blocks = {int(c): -(-int(v) // BLOCK) for c, v in enumerate(index.counts) if v > BLOCK}
-    many = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("cell")), F.lit(1)) if blocks else F.lit(1)
-    entry = placed.select("cell", F.pmod(F.xxhash64("key", F.lit("block")), many).cast("int").alias("block"), F.lit(0).alias("kind"), "key", "vector")
-    query = passed.select(F.explode("cells").alias("cell"), "key", "vector").select("cell", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"), F.lit(1).alias("kind"), "key", "vector")
-    both = entry.union(query).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+    shelf, many = shelves(index.counts)
+    passed = wanted.mapInArrow(_visits(index, max(k + 1, entries or int(np.ceil(share * n))), shelf, many), "key long, vector array<double>, shelf int, many int, cells array<int>")
+    filled = np.flatnonzero(index.counts)
+    where = F.broadcast(spark.createDataFrame(list(zip(filled.tolist(), shelf[filled].tolist(), many[shelf[filled]].tolist(), strict=True)), "cell int, shelf int, many int"))
+    entry = placed.join(where, "cell").select("shelf", F.pmod(F.xxhash64("key", F.lit("block")), F.col("many")).cast("int").alias("block"), F.lit(0).alias("kind"), "key", "vector", F.array("cell").alias("cells"))
+    query = passed.select("shelf", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"), F.lit(1).alias("kind"), "key", "vector", "cells")
+    both = entry.union(query).repartition("shelf", "block").sortWithinPartitions("shelf", "block", "kind")
     found = both.mapInArrow(_ranked_blocks(k + 1), "query long, key long, score double")
     # ties beyond the (k + 1)th distinct vector go by smallest id
     found = found.join(placed.select("key", "ids"), "key")

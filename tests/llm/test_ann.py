@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import ann
@@ -14,6 +16,46 @@ def brute(ids, vectors, asked, k):
     return out
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("clusters", "share", "bar"), [(0, ann.SHARE, 0.9), (400, 0.01, 0.9), (400, 0.03, 0.97)])
+def test_recall_where_the_index_leaves_entries_out(spark, clusters, share, bar):
+    """20,000 vectors, rows of id divisible by 100 against all: measured 0.97 (no clusters, six tenths passed), 0.99 and 1.00."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = rng.normal(size=(20_000, 64)) if not clusters else rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 20_000)] + 0.3 * rng.normal(size=(20_000, 32))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": list(x)}))
+    found = {}
+    for r in ann.nearest(table, F.col("vec_id") % 100 == 0, k=5, share=share).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.arange(0, 20_000, 100)
+    score = unit(x)[asked] @ unit(x).T
+    score[np.arange(200), asked] = -9
+    best = np.argsort(-score, axis=1)[:, :5]
+    recall = np.mean([len(found[q] & set(b.tolist())) / 5 for q, b in zip(asked.tolist(), best, strict=True)])
+    assert recall >= bar, recall
+
+
+def test_very_small_and_large_components(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    x = np.concatenate([rng.normal(size=(100, 8)), [[1e-200] * 8, [1e200] * 8, [5e-324] * 8, [1.7e308] * 8]])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(table, F.col("vec_id") % 10 == 0, k=5, share=1.0).orderBy("query_id", "rank").collect()
+    y = unit(np.concatenate([x[:100], np.ones((4, 8))]))
+    for q in range(0, 104, 10):
+        own = [(r["vec_id"], r["score"]) for r in rows if r["query_id"] == q]
+        score = y @ y[q]
+        order = sorted((-round(s, 12), i) for i, s in enumerate(score) if i != q)[:5]
+        assert [i for i, _ in own] == [i for _, i in order] and np.allclose([s for _, s in own], [-s for s, _ in order])
+
+
+def test_a_crowded_cell_is_worked_on_in_blocks(spark):
+    counts = np.array([5, 0, 3, 9, 4, 4, 1])
+    shelf, blocks = ann.shelves(counts, 8)
+    assert shelf[counts > 0].tolist() == [0, 0, 1, 2, 2, 3] and blocks.tolist() == [1, 2, 1, 1]
+
+
 def test_recall_on_the_test_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = [r for r in table.collect() if r["embedding"] is not None]
