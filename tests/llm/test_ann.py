@@ -47,7 +47,9 @@ def test_very_small_and_large_components(spark):
         own = [(r["vec_id"], r["score"]) for r in rows if r["query_id"] == q]
         score = y @ y[q]
         order = sorted((-round(s, 12), i) for i, s in enumerate(score) if i != q)[:5]
-        assert [i for i, _ in own] == [i for _, i in order] and np.allclose([s for _, s in own], [-s for s, _ in order])
+        # parallel vectors of different length have the same cosine but for its last digit, so ids may change places
+        assert np.allclose([s for _, s in own], [-s for s, _ in order], rtol=0, atol=1e-12)
+        assert all(abs(score[i] - s) < 1e-12 for i, s in own)
 
 
 def test_a_crowded_cell_is_worked_on_in_blocks(spark):

@@ -73,6 +73,26 @@ def test_awkward_rows(spark, awkward, nothing):
         assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_clashing_columns_keep_their_values(spark, nothing):
+    """Columns that have the names of results and of helpers, and a map, come out of each stage as they went in."""
+    names = ["score", "predicted", "row", "tie", "box", "times", "copies", "component_id", "size", "bins", "__score", "__row", "__copies", "a.b"]
+    texts = [prose(500 + i, 40 + i) for i in range(30)]
+    rows = [(i, t, "en", "web", len(t), {f"k{i}": i}, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>, " + ", ".join(f"`{n}` string" for n in names))
+    want = {r[0]: r for r in rows}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        found = out.collect()
+        assert len(found) >= 15 and all(tuple(r) == want[r["doc_id"]] for r in found), name
+    assert {r["doc_id"] for r in pipeline.cut_shards(spark, docs, SF).collect()} == set(range(30))
+
+
+def test_documents_without_words_go_through_the_mix_once(spark):
+    docs = docs_of(spark, [None, "", " \n", *(prose(i, 20) for i in range(8))])
+    assert {i: n for i, n in ids(pipeline.mix_sources(spark, docs, SF)).items() if i < 3} == {0: 1, 1: 1, 2: 1}
+
+
 def test_near_copies_of_one_text(spark):
     base = prose(77, 300)
     docs = docs_of(spark, [base, *(edited(base, i, 0.01) for i in range(30)), prose(78, 300)])
