@@ -5,33 +5,44 @@ All but the last return the columns of documents. ``run`` writes each stage's re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import common, contamination, mixing, neardup, sharding, toxicity
 
 
+def _boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """doc_id, text, source, and all columns of the documents in one, box: whatever they are called, they clash with nothing."""
+    return docs.select("doc_id", "text", "source", F.struct("*").alias("box"), *(c.alias(k) for k, c in more.items()))
+
+
+def _hash(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns of a row; maps, which have no hash, count as JSON."""
+    at = {c: F.col("`" + c.name.replace("`", "``") + "`") for c in docs.schema}
+    return F.xxhash64(F.lit(seed), *(F.to_json(F.struct(a)) if "map<" in c.dataType.simpleString() else a for c, a in at.items()))
+
+
 def _keyed(docs: DataFrame, label: str) -> DataFrame:
-    """The documents with __row, a number of their own, and __tie, a hash of all columns. They are written once, so that the numbers stay."""
-    return common.written(docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__row", F.monotonically_increasing_id()), label)
+    """The boxed documents with row, a number of their own, and tie, a hash of all columns. They are written once, so that the numbers stay."""
+    return common.written(_boxed(docs, tie=_hash(docs, 0), row=F.monotonically_increasing_id()), label)
 
 
 def _texts(keyed: DataFrame) -> DataFrame:
     """The texts as the operators take them, with the row's number for doc_id: ids may be null or repeated."""
-    return keyed.select(F.col("__row").alias("doc_id"), "text")
+    return keyed.select(F.col("row").alias("doc_id"), "text")
 
 
 def _without(keyed: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-    """The documents whose __row is not among rows."""
+    """The documents whose row is not among rows."""
     rows = common.written(rows, label)
-    return keyed.join(common.sized(rows, rows.count()), "__row", "left_anti").drop("__row", "__tie")
+    return keyed.join(common.sized(rows, rows.count()), "row", "left_anti").select("box.*")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5. The machine learns from labelled documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.with_scores(docs, machine).where("predicted = 0").select(*docs.columns)
+    return toxicity.with_scores(_boxed(docs).select("text", "box"), machine).where("predicted = 0").select("box.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,27 +51,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are compared by their texts alone. A null doc_id comes after all others; among equal ids the hash of all columns decides.
     """
     keyed = _keyed(docs, "near-rows")
-    found = neardup.near_duplicates(_texts(keyed), k=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
+    found = neardup.near_duplicates(_texts(keyed), k=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
     found = common.written(found, "near")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__tie", "__row")
-    first = keyed.select("__row", "__tie", "doc_id").join(found, "__row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return _without(keyed, found.join(first.select("first.__row"), "__row", "left_anti").select("__row"), "copies")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")
+    first = keyed.select("row", "tie", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return _without(keyed, found.join(first.select("first.row"), "row", "left_anti").select("row"), "copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (runs of five words, containment under 0.8)."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = _keyed(docs, "leak-rows")
-    found = contamination.contained_items(_texts(keyed), items).select(F.col("doc_id").alias("__row")).distinct()
+    found = contamination.contained_items(_texts(keyed), items).select(F.col("doc_id").alias("row")).distinct()
     return _without(keyed, found, "leaks")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Rows that are equal in every column are taken alike."""
-    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    copies = mixing.mixed_copies(keyed.select(F.col("__row").alias("doc_id"), "text", "source"))
-    copies = copies.where("copies > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.max("copies").alias("__copies"))
-    return keyed.join(copies, "__row").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """Each document as often as the mix takes it: not at all, once or twice; once if it has no word, as it then counts for nothing.
+
+    Rows that are equal in every column are taken alike; rows are told apart by 128 hashed bits, so that reruns agree.
+    """
+    keyed = _boxed(docs, row=F.struct(_hash(docs, 0), _hash(docs, 1)))
+    copies = mixing.mixed_copies(keyed.select(F.col("row").alias("doc_id"), "text", "source"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    copies = copies.groupBy(F.col("doc_id").alias("row")).agg(F.max(times).alias("times")).where("times > 0")
+    return keyed.join(copies, "row").select("box", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("box.*")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
