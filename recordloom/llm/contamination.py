@@ -26,13 +26,26 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(lower, PARTS), lambda w: w != "")
 
 
-def _shingled(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """key, and the hashes of the runs of k words, repeats included; no row where there is no word."""
+def _runs(m: int, tag: Column | None = None) -> Column:
+    """The hashes of all runs of m words of w, none where there are fewer."""
+    more = [] if tag is None else [tag]
+    return F.transform(F.slice("w", 1, F.greatest(F.size("w") - m + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("w", i + j) for j in range(1, m)), *more))
+
+
+def _shingled(rows: DataFrame, key: str, k: int, short: list[int]) -> DataFrame:
+    """key, and the hashes of the runs of k words, repeats included, and of the shorter runs asked for; no row where there is no word."""
     rows = held(rows.select(key, "text"), w=_words(F.col("text"))).where(F.size("w") > 0)
-    runs = F.when(F.size("w") < k, F.array(F.xxhash64(F.array_join("w", " "), F.lit("short")))).otherwise(
-        F.transform(F.slice("w", 1, F.greatest(F.size("w") - k + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("w", i + j) for j in range(1, k))))
-    )
-    return held(rows.select(key, "w"), s=runs).select(key, "s")
+    runs = F.concat(_runs(k), *(_runs(m, F.lit(f"short {m}")) for m in short))
+    return held(rows.select(key, "w"), s=runs).select(key, "s").where(F.size("s") > 0)
+
+
+def _item_sets(items: DataFrame, k: int) -> DataFrame:
+    """item_id, h, length: an item's distinct runs of k words; with fewer words the whole sequence, marked with its length."""
+    rows = held(items.select("item_id", "text"), w=_words(F.col("text"))).where(F.size("w") > 0)
+    runs = _runs(k)
+    for m in range(1, k):
+        runs = F.when(F.size("w") == m, _runs(m, F.lit(f"short {m}"))).otherwise(runs)
+    return held(rows.select("item_id", "w"), s=runs).select("item_id", F.least(F.size("w"), F.lit(k)).alias("length"), F.explode("s").alias("h")).distinct()
 
 
 def _class(size: Column) -> Column:
@@ -42,14 +55,16 @@ def _class(size: Column) -> Column:
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: documents that hold at least ``percent`` hundredths of an item's shingles.
 
-    ``docs`` has doc_id and text, ``items`` has item_id and text; more columns are ignored. Sets are distinct runs of k words;
-    with fewer words the whole sequence is one, which only an equal sequence matches. Texts that are null or hold no word,
-    and rows without an id, match nothing. Repeated rows and equal items count once for each id. Empty tables give no rows.
+    ``docs`` has doc_id and text, ``items`` has item_id and text; more columns are ignored. Sets are distinct runs of k words.
+    An item of fewer words is one run of its own length, looked for among the documents' runs of that length. Texts that are
+    null or hold no word, and rows without an id, match nothing. Repeated rows and equal items count once for each id. An id with
+    several texts has the runs of all. Empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    sets = _shingled(items, "item_id", k).select("item_id", F.explode(F.array_distinct("s")).alias("h")).distinct()
-    sets = written(sets, "items")
+    sets = written(_item_sets(items, k), "items")
+    short = sorted(r["length"] for r in sets.where(F.col("length") < k).select("length").distinct().collect())  # k - 1 numbers at most
+    sets = sets.select("item_id", "h")
     size = sets.groupBy("item_id").agg(F.count("*").cast("int").alias("n_item"))
 
     # sketches: the smallest of each permutation; a permutation is the hash seeded by its number
@@ -59,14 +74,14 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     small = written(small.groupBy(F.col("h").alias("sh")).agg(F.min(_class(least)).alias("from_part")), "sketches")
     entries = small.count()
 
-    shingled = _shingled(docs, "doc_id", k)
+    shingled = _shingled(docs, "doc_id", k, short)
     run = shingled.select("doc_id", F.greatest(_class(F.size("s")), F.lit(0)).alias("part"), F.explode("s").alias("h"))
     found = run.join(sized(small, entries), (F.col("h") == F.col("sh")) & (F.col("part") >= F.col("from_part")), "left_semi").select("doc_id").distinct()
     found = written(found, "candidates")
 
     # exact: all shingles of the candidate documents against all shingles of the items
     near = docs.join(sized(found, found.count()), "doc_id", "left_semi")
-    run = _shingled(near, "doc_id", k).select("doc_id", F.explode(F.array_distinct("s")).alias("h"))
+    run = _shingled(near, "doc_id", k, short).select("doc_id", F.explode(F.array_distinct("s")).alias("h"))
     shared = run.join(sized(sets, sets.count()), "h").select("doc_id", "item_id", "h").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     out = shared.join(size, "item_id").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return out.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
@@ -80,8 +95,10 @@ def miss_probability(percent: int = 80, sketch: int = SKETCH) -> float:
 def oracle(k: int = 5, percent: int = 80) -> str:
     """Exact containment of every pair in DuckDB."""
     words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PARTS}'), lambda x: x <> '')"
-    sets = lambda t, key: f"SELECT DISTINCT {key}, unnest(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ') || '|'] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i+{k - 1}], ' ')) END) AS h FROM (SELECT {key}, {words} AS w FROM {t} WHERE {key} IS NOT NULL) WHERE len(w) > 0"
+    rows = lambda t, key: f"SELECT {key}, {words} AS w FROM {t} WHERE {key} IS NOT NULL"
+    runs = "unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' ') || '|' || m)) AS h"
     return f"""
-WITH ds AS ({sets("documents", "doc_id")}), bs AS ({sets("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+WITH dw AS ({rows("documents", "doc_id")}), bw AS (SELECT *, least(len(w), {k}) AS m FROM ({rows("benchmark", "item_id")}) WHERE len(w) > 0),
+lengths AS (SELECT {k} AS m UNION SELECT m FROM bw), ds AS (SELECT DISTINCT doc_id, {runs} FROM dw, lengths WHERE len(w) >= m), bs AS (SELECT DISTINCT item_id, {runs} FROM bw), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (h) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= {percent} * n_item"""

@@ -22,6 +22,8 @@ STEPS = 60
 TOLERANCE = 1e-6
 #: Ranks within a (source, size) cell are counted in so many parts, so that a cell of copies is no single task.
 PARTS = 256
+#: Sizes that are rounded one after the other.
+RANGE = 1024
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -87,22 +89,31 @@ def balanced(cells: DataFrame, targets: DataFrame, base: float = 1.5, most: floa
 def _cell_copies(cells: DataFrame, multipliers: DataFrame, base: float, most: int) -> DataFrame:
     """source, size, copies (of all documents of the cell together): error feedback from the largest size to the smallest.
 
-    A cell takes the whole number of copies that brings the source's words nearest to what the rates ask so far. A source's
-    list has an entry for each distinct document length, not for each document.
+    A cell takes the whole number of copies that brings the words nearest to what the rates ask so far. The sizes of a source are
+    taken in ranges of RANGE, each on its own and from its own error of none, so that no list is longer than a range; the range of
+    the smallest sizes comes last and starts from the errors that the others left.
     """
     m = multipliers.withColumnRenamed("source", "src")
     rate = F.when(F.col("limit"), F.lit(float(most))).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean"), base, float(most)))
-    rated = cells.where("size > 0").join(m, _same(F.col("source"), F.col("src"))).select("source", "size", "n", rate.alias("rate"))
-    lists = rated.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells"))
+    rated = cells.where("size > 0").join(m, _same(F.col("source"), F.col("src"))).select("source", "size", "n", rate.alias("rate"), F.floor(F.col("size") / RANGE).alias("at"))
+    lists = written(rated.groupBy("source", "at").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells")), "ranges")
     out = "array<struct<size:bigint,copies:bigint>>"
-    zero = F.struct(F.lit(0.0).alias("owed"), F.array().cast(out).alias("out"))
 
     def step(a: Column, c: Column) -> Column:
         asked = a["owed"] + c["size"] * c["n"] * c["rate"]
         copies = F.least(F.greatest(F.round(asked / c["size"]), F.lit(0.0)), (most * c["n"]).cast("double")).cast("long")
         return F.struct((asked - copies * c["size"]).alias("owed"), F.concat(a["out"], F.array(F.struct(c["size"].alias("size"), copies.alias("copies")))).alias("out"))
 
-    return lists.select("source", F.explode(F.aggregate("cells", zero, step, lambda a: a["out"])).alias("c")).select("source", "c.size", "c.copies")
+    def fed(rows: DataFrame, owed: Column) -> DataFrame:
+        return rows.select("source", F.aggregate("cells", F.struct(owed.alias("owed"), F.array().cast(out).alias("out")), step).alias("fed"))
+
+    first = lists.groupBy(F.col("source").alias("src")).agg(F.min("at").alias("low"))
+    lists = lists.join(first, _same(F.col("source"), F.col("src"))).drop("src")
+    high = written(fed(lists.where("at > low"), F.lit(0.0)), "fed")
+    left = high.groupBy(F.col("source").alias("src")).agg(F.round(F.sum("fed.owed"), 3).alias("left"))
+    low = lists.where("at = low").join(left, _same(F.col("source"), F.col("src")), "left")
+    both = high.union(fed(low, F.coalesce("left", F.lit(0.0))))
+    return both.select("source", F.explode("fed.out").alias("c")).select("source", "c.size", "c.copies")
 
 
 def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:

@@ -202,6 +202,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # most_rows at most
     rows = common.written(rows.mapInArrow(_terms(["doc_id", "y"]), "doc_id long, y int, bins array<int>"), "terms")
     total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
+    if total["n"] > most_rows:  # repeated ids: of their rows as many stay as were asked for
+        rows = common.written(rows.orderBy(F.xxhash64("doc_id", "bins"), "doc_id").limit(most_rows), "terms")
+        total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     n, toxic = total["n"], total["t"] or 0
     if not 0 < toxic < n:
         return Machine(np.zeros(0, np.int64), float(np.log((toxic + 0.5) / (n - toxic + 0.5))) if n else -2.0, np.zeros(0), np.zeros((0, FACTORS)))

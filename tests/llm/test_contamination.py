@@ -7,21 +7,33 @@ from .conftest import docs_of, edited, prose
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_set(text, k=5):
-    w = [x for x in re.split(contamination.PARTS, (text or "").translate(LOWER)) if x]
-    return ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {("short", *w)}) if w else set()
+def words(text):
+    return [x for x in re.split(contamination.PARTS, (text or "").translate(LOWER)) if x]
 
 
-def brute(texts, items, percent=80):
+def runs(w, m):
+    return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
+
+
+def brute(texts, items, percent=80, k=5):
     out = {}
     for i, item in items:
-        own = shingle_set(item)
+        m = min(k, len(words(item)))
+        own = runs(words(item), m) if m else set()
         for d, t in enumerate(texts):
-            if own and 100 * (n := len(own & shingle_set(t))) >= percent * len(own):
+            if own and 100 * (n := len(own & runs(words(t), m))) >= percent * len(own):
                 out[d, i] = (len(own), n)
     return out
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    items = [(1, "alpha"), (2, "alpha beta"), (3, "Alpha, beta! GAMMA"), (4, "alpha beta gamma delta"), (5, "beta alpha"), (6, "alpha beta gamma delta epsilon")]
+    texts = ["alpha beta gamma", f"{prose(1, 500)} alpha beta gamma delta, {prose(2, 500)}", "alpha", "gamma beta alpha", prose(3, 50), f"{prose(4, 300)} alpha beta gamma delta epsilon"]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in contamination.contained_items(docs_of(spark, texts), table).collect()}
+    assert found == brute(texts, items) and {(1, 4), (1, 3), (5, 4), (0, 2), (3, 5)} <= found.keys()
+
+
 def test_contained_items_equal_brute_force(spark):
     items = [(i, prose(500 + i, 12 + 5 * i)) for i in range(12)] + [(50, "two words"), (51, "!!"), (52, prose(500, 12)), (53, None)]
     texts = [f"{prose(i, 300)} {items[i % 12][1].upper().replace(' ', ', ')} {prose(i + 50, 300)}" for i in range(24)]

@@ -54,6 +54,20 @@ def test_reruns_agree(spark):
     assert one == two
 
 
+def test_rounding_in_ranges(spark, monkeypatch):
+    """Ranges of 64 sizes: what the upper ones leave goes to the lowest, and the words still come within a small document of the target."""
+    monkeypatch.setattr(mixing, "RANGE", 64)
+    rows = mixing.mixed_copies(corpus(spark)).collect()
+    taken, target, least = defaultdict(int), {}, {}
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        if r["size"]:
+            least[r["source"]] = min(least.get(r["source"], r["size"]), r["size"])
+    assert all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert all(abs(taken[s] - target[s]) <= max(least[s], 2) for s in target)
+
+
 def test_rates_tilt_exponentially(spark):
     """The solved rates meet the target, and log(rate) is a line in the size wherever the limit doesn't bind."""
     cells = spark.createDataFrame([("a", s, n) for s, n in ((1, 50), (5, 30), (20, 10), (100, 2))], "source string, size long, n long")

@@ -44,6 +44,19 @@ def test_counts_equal_brute_force(spark, rule):
         assert [text[r["start"] : r["end"]] for r in rows] == (text.splitlines(keepends=True) if "\n" in text else [text])
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 30_000 + "b c", "\n" * 30_000, " \n" * 20_000 + "x", "x\u3000" + "\t" * 12_000 + "\ny" + " " * 11_000, " " * 10_000 + "!" + " " * 9_999 + "?"])
+def test_long_white_space_has_the_tokens_of_the_whole(text):
+    encoder, _ = tokens.encoding(tokens.VOCABULARY)
+    assert tokens.encoded(encoder, text).tolist() == encoder.encode(text, disallowed_special=())
+
+
+def test_very_long_white_space(spark):
+    texts = ["a" + " " * 3_000_000 + "b", "\n" * 1_000_000]
+    rows = tokens.section_tokens(docs_of(spark, texts)).where("section = 0 or section = 999999").orderBy("doc_id", "section").collect()
+    assert [(r["doc_id"], r["section"], r["end"]) for r in rows] == [(0, 0, 3_000_002), (1, 0, 1), (1, 999_999, 1_000_000)]
+    assert all(r["n_tokens"] > 0 for r in rows[:1])
+
+
 def test_rules_at_a_crossing():
     starts, ends, bounds = np.array([0, 2, 9]), np.array([2, 9, 10]), np.array([0, 4, 7, 10])
     assert tokens.attribute(starts, ends, bounds, "first")[0].tolist() == [2, 0, 1]
