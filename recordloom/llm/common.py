@@ -45,16 +45,17 @@ def sized(side: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if rows <= most else side
 
 
-def matched(rows: DataFrame, side: DataFrame, on: list[str], total: int, most: int = SIDE_ROWS) -> DataFrame:
+def matched(rows: DataFrame, side: DataFrame, on: list[str], total: int, most: int = SIDE_ROWS, how: str = "inner") -> DataFrame:
     """The rows whose key is in ``side``, with its columns but ``n``, the number of rows of the key; ``side`` has a key once.
+    With ``how`` left the other rows stay, too.
 
     A side of ``most`` rows at most is broadcast. Of a larger one the keys of many rows are, which are ``most`` at most, and
     only rows of the other keys are shuffled, so no task gets more than a share of them.
     """
     if side.count() <= most:
-        return rows.join(F.broadcast(side.drop("n")), on)
+        return rows.join(F.broadcast(side.drop("n")), on, how)
     hot = F.col("n") > max(HOT_ROWS, total // most)
-    rest = rows.join(F.broadcast(side.where(hot).select(*on)), on, "left_anti").join(side.where(~hot).drop("n"), on)
+    rest = rows.join(F.broadcast(side.where(hot).select(*on)), on, "left_anti").join(side.where(~hot).drop("n"), on, how)
     return rows.join(F.broadcast(side.where(hot).drop("n")), on).unionByName(rest)
 
 

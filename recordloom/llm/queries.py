@@ -61,7 +61,7 @@ def op3_factorized_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import hilbert_shards
 
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "n_chars": F.col("n_chars"), "doc_id": F.col("doc_id")}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "n_chars": F.col("n_chars")}
     return hilbert_shards(_documents(spark, sf_dir), dims, shards=40, law="rows")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, text_or_empty, written
+from .common import matched, ranked, text_or_empty, written
 
 BITS = 5
 #: Running sums over all rows are taken within so many equal runs, and over their sums.
@@ -76,15 +76,17 @@ def _cell(c: str, bounds: list) -> Column:
 def hilbert_shards(docs: DataFrame, dims: dict[str, Column], shards: int = 40, law: str = "rows", bits: int = BITS) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with size, text_crc32, law, shard, slot; shards are runs of the Hilbert order.
 
-    ``dims`` names the dimensions. Each is quantised at its quantiles over all rows, keeping order; nulls come first. Under the
-    law ``rows`` the shards' row counts are at most one apart; under ``bytes`` a row's shard follows from the bytes before it.
-    Ties along the curve go by text checksum, size and doc_id, so that equal texts lie together. slot counts from 0 without
-    gaps. Repeated rows get slots of their own; a null text has no bytes and checksum 0; an empty table gives no rows.
+    ``dims`` names the dimensions. Each is quantised at its quantiles over all rows, keeping order; nulls come first. Rows of
+    equal texts take the place on the curve of the first of them, and ties along the curve go by the text's hash, checksum and
+    size and by doc_id: equal texts follow each other, and only a cut between two shards can part them. Under the law ``rows``
+    the shards' row counts are at most one apart; under ``bytes`` a row's shard follows from the bytes before it. slot counts
+    from 0 without gaps. Repeated rows get slots of their own; a null text is empty, without bytes and of checksum 0; an empty
+    table gives no rows.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law}")
     text = text_or_empty()
-    rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *(c.alias(f"dim_{k}") for k, c in dims.items()))
+    rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), *(c.alias(f"dim_{k}") for k, c in dims.items()))
     rows = written(rows, "dims")
     names = [f"dim_{k}" for k in dims]
     cells = [_cell(c, _boundaries(rows, c, bits)).cast("int") for c in names]
@@ -93,7 +95,13 @@ def hilbert_shards(docs: DataFrame, dims: dict[str, Column], shards: int = 40, l
     def curve(*columns: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
 
-    placed, total = ranked(rows.select("doc_id", "size", "text_crc32", curve(*cells).alias("curve")), "curve", "text_crc32", "size", "doc_id", name="place", label="curve")
+    group = ["same", "text_crc32", "size"]
+    rows = written(rows.select("doc_id", *group, curve(*cells).alias("own")), "own")
+    apart = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    apart = written(apart.drop("most"), "apart")
+    rows = matched(rows, apart, group, rows.count(), how="left").withColumn("curve", F.coalesce("least", "own")).drop("least", "own")
+    # rows that are equal in all of these are one as good as the other; their number parts them where they are many
+    placed, total = ranked(rows, "curve", *group, "doc_id", F.monotonically_increasing_id(), name="place", label="curve")
     if law == "rows":
         shard = F.floor(F.col("place") * shards / F.lit(max(total, 1)))
         first = F.ceil(shard * F.lit(max(total, 1)) / F.lit(shards))

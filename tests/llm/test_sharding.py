@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import sharding
+from recordloom.llm import common, sharding
 
 from .conftest import docs_of, prose
 
@@ -43,6 +43,36 @@ def test_laws(spark, law):
         assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
 
 
+def quantiles(values, bits=sharding.BITS):
+    """For each value how many of the cuts lie below it; a cut is a value at which the running count passes a 2**bits-th of all."""
+    known, run, cuts = sorted(v for v in values if v is not None), 0, []
+    for v in sorted(set(known)):
+        before, run = run, run + known.count(v)
+        if run < len(known) and run * (1 << bits) // len(known) > before * (1 << bits) // len(known):
+            cuts.append(v)
+    return [sum(c < v for c in cuts) if v is not None else 0 for v in values]
+
+
+def test_order_and_cuts_equal_brute_force(spark, monkeypatch):
+    texts = [prose(i, 3 + (i * 37) % 90) if i % 3 else f"copy {i % 7}" for i in range(330)]
+    docs = docs_of(spark, texts, ["a", "b", None, "c"])
+    rows = docs.orderBy("doc_id").collect()
+    points = np.array([quantiles([r[c] for r in rows]) for c in ("source", "n_chars")]).T
+    place = sharding.hilbert_index(points, sharding.BITS).tolist()
+    first = {t: min(p for p, x in zip(place, texts, strict=True) if x == t) for t in texts}
+    for most in (200_000, 1):
+        monkeypatch.setattr(common.matched, "__defaults__", (most, "inner"))
+        found = {r["doc_id"]: r for r in sharding.hilbert_shards(docs, {c: F.col(c) for c in ("source", "n_chars")}, shards=8).collect()}
+        assert all(found[i]["curve"] == first[t] for i, t in enumerate(texts))
+        order = sorted(range(330), key=lambda i: (found[i]["shard"], found[i]["slot"]))
+        assert [found[i]["curve"] for i in order] == sorted(first[t] for t in texts)
+        assert [found[i]["shard"] for i in order] == [i * 8 // 330 for i in range(330)]
+        together = [texts[i] for i in order]
+        runs = [t for i, t in enumerate(together) if i == 0 or together[i - 1] != t]
+        assert len(runs) == len(set(texts))
+        assert sum(len({found[i]["shard"] for i in range(330) if texts[i] == t}) > 1 for t in set(texts)) <= 7
+
+
 def test_runs_are_narrow_in_every_dimension(spark):
     rows = [(i, "t", f"s{i % 16:02}", (i * 7919) % 4096) for i in range(4096)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")

@@ -42,7 +42,7 @@ def test_crowded_grams_are_parted_by_further_bytes(spark, monkeypatch):
     texts = [rng.choice(ends)[rng.randint(0, 20) :] + core + rng.choice(ends)[: rng.randint(0, 30)] + f" {i}" for i in range(60)]
     texts += [f"{around(rng.randint(0, 9))}{core[9:50]}{around(rng.randint(0, 9))}" for _ in range(40)]
     monkeypatch.setattr(common, "HOT_ROWS", 5)
-    monkeypatch.setattr(common.matched, "__defaults__", (3,))
+    monkeypatch.setattr(common.matched, "__defaults__", (3, "inner"))
     for group in (2, 7):
         found = rows_of(substrings.remove_repeated(docs_of(spark, texts), length=40, gram=8, largest_group=group))
         assert {i: tuple(r)[1:] for i, r in found.items()} == brute(texts, 40)
