@@ -79,8 +79,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard and slot of every row: 40 runs of the Hilbert order."""
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "n_chars": F.col("n_chars"), "doc_id": F.col("doc_id")}
+    """doc_id, size, text_crc32, law, shard and slot of every row: 40 runs of the Hilbert order, in which equal texts follow each other."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "n_chars": F.col("n_chars")}
     return sharding.hilbert_shards(docs, dims, shards=40, law="rows")
 
 
