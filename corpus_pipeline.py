@@ -11,20 +11,33 @@ from pyspark.sql import functions as F
 from recordloom.llm import common, contamination, mixing, neardup, sharding, toxicity
 
 
-def _boxed(docs: DataFrame, **more: Column) -> DataFrame:
-    """doc_id, text, source, and all columns of the documents in one, box: whatever they are called, they clash with nothing."""
-    return docs.select("doc_id", "text", "source", F.struct("*").alias("box"), *(c.alias(k) for k, c in more.items()))
+#: Columns that the operators take; the others have no say in a stage.
+_TAKEN = ("doc_id", "text", "source")
 
 
-def _hash(docs: DataFrame, seed: int) -> Column:
+def _plain_names(docs: DataFrame) -> list[str]:
+    return [c if c in _TAKEN else f"c{i}" for i, c in enumerate(docs.columns)]
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """The documents with all columns that the operators don't take renamed to c and a number, so that their names clash with nothing."""
+    return docs.toDF(*_plain_names(docs))
+
+
+def _named(plain: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of the documents under their own names."""
+    return plain.select(*_plain_names(docs)).toDF(*docs.columns)
+
+
+def _hash(plain: DataFrame, seed: int) -> Column:
     """A hash of all columns of a row; maps, which have no hash, count as JSON."""
-    at = {c: F.col("`" + c.name.replace("`", "``") + "`") for c in docs.schema}
-    return F.xxhash64(F.lit(seed), *(F.to_json(F.struct(a)) if "map<" in c.dataType.simpleString() else a for c, a in at.items()))
+    return F.xxhash64(F.lit(seed), *(F.to_json(F.struct(c.name)) if "map<" in c.dataType.simpleString() else F.col(c.name) for c in plain.schema))
 
 
 def _keyed(docs: DataFrame, label: str) -> DataFrame:
-    """The boxed documents with row, a number of their own, and tie, a hash of all columns. They are written once, so that the numbers stay."""
-    return common.written(_boxed(docs, tie=_hash(docs, 0), row=F.monotonically_increasing_id()), label)
+    """The plain documents with row, a number of their own, and tie, a hash of all columns. They are written once, so that the numbers stay."""
+    plain = _plain(docs)
+    return common.written(plain.withColumns({"tie": _hash(plain, 0), "row": F.monotonically_increasing_id()}), label)
 
 
 def _texts(keyed: DataFrame) -> DataFrame:
@@ -32,17 +45,17 @@ def _texts(keyed: DataFrame) -> DataFrame:
     return keyed.select(F.col("row").alias("doc_id"), "text")
 
 
-def _without(keyed: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+def _without(keyed: DataFrame, rows: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """The documents whose row is not among rows."""
     rows = common.written(rows, label)
-    return keyed.join(common.sized(rows, rows.count()), "row", "left_anti").select("box.*")
+    return _named(keyed.join(common.sized(rows, rows.count()), "row", "left_anti"), docs)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5. The machine learns from labelled documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.with_scores(_boxed(docs).select("text", "box"), machine).where("predicted = 0").select("box.*")
+    return _named(toxicity.with_scores(_plain(docs), machine).where("predicted = 0"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +68,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = common.written(found, "near")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")
     first = keyed.select("row", "tie", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return _without(keyed, found.join(first.select("first.row"), "row", "left_anti").select("row"), "copies")
+    return _without(keyed, found.join(first.select("first.row"), "row", "left_anti").select("row"), docs, "copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +76,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = _keyed(docs, "leak-rows")
     found = contamination.contained_items(_texts(keyed), items).select(F.col("doc_id").alias("row")).distinct()
-    return _without(keyed, found, "leaks")
+    return _without(keyed, found, docs, "leaks")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +84,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that are equal in every column are taken alike; rows are told apart by 128 hashed bits, so that reruns agree.
     """
-    keyed = _boxed(docs, row=F.struct(_hash(docs, 0), _hash(docs, 1)))
+    plain = _plain(docs)
+    keyed = plain.withColumn("row", F.struct(_hash(plain, 0), _hash(plain, 1)))
     copies = mixing.mixed_copies(keyed.select(F.col("row").alias("doc_id"), "text", "source"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     copies = copies.groupBy(F.col("doc_id").alias("row")).agg(F.max(times).alias("times")).where("times > 0")
-    return keyed.join(copies, "row").select("box", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("box.*")
+    return _named(keyed.join(copies, "row").select("*", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")), docs)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
