@@ -1,4 +1,4 @@
-"""python -m recordloom.cli dump | reconcile | explain | totals | decode | ingest"""
+"""python -m recordloom.cli dump | reconcile | explain | totals | decode | ingest | pilot"""
 
 from __future__ import annotations
 
@@ -11,15 +11,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.decode import ASCII, CP500, decode_long
-from recordloom.operators.recon import audit_receipt, control_totals, dirty_fields, explain_field, record_json, strict_decode, unsupported_ledger
+from recordloom.operators.recon import control_totals, dirty_fields, explain_field, reconcile, record_json, strict_decode
 from recordloom.plans.copybook import CopybookError, compile_layout, from_directory
+from recordloom.plans.pilot import LeakError, run_pilot, sample_pilot, sample_unit, write_evidence
 from recordloom.sources.fixedrec import ExitCode, IngestError, Policy, file_manifest, nth_record, read_records
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="recordloom")
-    p.add_argument("command", choices=["dump", "reconcile", "explain", "totals", "decode", "ingest"])
-    p.add_argument("--data", required=True)
+    p.add_argument("command", choices=["dump", "reconcile", "explain", "totals", "decode", "ingest", "pilot"])
+    p.add_argument("--data", help="a file of records, or a folder of such files; pilot without it takes the declared sample unit")
     p.add_argument("--copybook")
     p.add_argument("--copydir")
     p.add_argument("--record-len", type=int)
@@ -30,6 +31,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--record", type=int, default=0)
     p.add_argument("--field")
     p.add_argument("--out")
+    p.add_argument("--pilot-id", default="PILOT-DECLARED-SYNTHETIC-001")
+    p.add_argument("--notes", default="")
     return p
 
 
@@ -42,6 +45,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.copybook:
             with open(a.copybook, encoding="utf-8") as f:
                 layout = compile_layout(f.read(), from_directory(a.copydir) if a.copydir else (lambda _: None))
+        if a.command == "pilot":
+            pilot = sample_pilot(a.pilot_id, a.notes)
+            unit = read_records(spark, a.data, Policy(pilot.variants.variants[0].layout.record_len, a.newline, a.partial)) if a.data else sample_unit(spark)
+            made = run_pilot(unit, pilot, a.encoding)
+            if a.out:
+                write_evidence(made, a.out)
+            print(made.texts["packet"])
+            return ExitCode.SUCCESS if json.loads(made.texts["casefile"])["balanced"] else ExitCode.EVIDENCE_WARNINGS
+        if not a.data:
+            print("--data is needed", file=sys.stderr)
+            return ExitCode.STRICT_FAILURE
         n = a.record_len if a.record_len is not None else layout.record_len if layout else 0
         policy = Policy(n, a.newline, a.partial)
         if a.command == "ingest":
@@ -66,17 +80,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 lines.write.mode("overwrite").json(a.out)
             return ExitCode.EVIDENCE_WARNINGS if bad.where(F.size("invalid") > 0).limit(1).count() else ExitCode.SUCCESS
         else:
-            lines = record_json(rows, layout, a.encoding)
-            show(audit_receipt(rows, lines, layout, a.data, a.encoding))
-            odd = unsupported_ledger(lines)
+            made = reconcile(rows, layout, a.data, a.encoding)
+            show(made.receipt)
             if a.out:
-                lines.select("line").write.mode("overwrite").text(f"{a.out}/lines")
-                odd.write.mode("overwrite").json(f"{a.out}/unsupported")
-            return ExitCode.EVIDENCE_WARNINGS if odd.limit(1).count() else ExitCode.SUCCESS
+                made.lines.select("line").write.mode("overwrite").text(f"{a.out}/lines")
+                made.summary.write.mode("overwrite").json(f"{a.out}/unsupported")
+            return ExitCode.EVIDENCE_WARNINGS if made.ledger.limit(1).count() else ExitCode.SUCCESS
         return ExitCode.SUCCESS
     except IngestError as e:
         print(e, file=sys.stderr)
         return e.code
+    except LeakError as e:
+        print(e, file=sys.stderr)
+        return ExitCode.STRICT_FAILURE
     except (CopybookError, KeyError) as e:
         print(e, file=sys.stderr)
         return ExitCode.BAD_LAYOUT

@@ -19,6 +19,10 @@ GENESIS = ""
 UNIT = "\x1e"
 
 
+#: Records up to which one task sorts and streams all; more are sorted in so many at a time.
+STREAM_ROWS = 5_000_000
+
+
 def _stream(start: str, step) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, n = start, 0
@@ -31,17 +35,35 @@ def _stream(start: str, step) -> object:
     return run
 
 
-def record_chain(df: DataFrame, order: str = "record_index", record: str = "record") -> DataFrame:
+def _in_order(df: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The rows as ranges of ascending ``o`` that a task can sort each: all of them, or ranges that are written first."""
+    if (n := df.count()) <= most:
+        yield df
+        return
+    placed = df.repartitionByRange(-(-n // most), "o").withColumn("p", F.spark_partition_id()).checkpoint()
+    for r in placed.select("p").distinct().orderBy("p").collect():  # a row for each range
+        yield placed.where(F.col("p") == r["p"]).drop("p")
+
+
+def record_chain(df: DataFrame, order: str = "record_index", record: str = "record", most: int = STREAM_ROWS) -> DataFrame:
     """hash, records: h0 = sha256(r0), then sha256(hex of the hash so far, then the record), in order of ``order``.
 
-    Each link needs the one before, so one task streams all records in order; it holds one batch at a time.
+    Each link needs the one before, so tasks hash one after the other; they hold one batch at a time. More than ``most`` records
+    are ordered by a range partitioning first, and each task takes over from the hash of the range before.
     """
 
     def step(state: str, raw: bytes) -> str:
         return hashlib.sha256(state.encode() + raw).hexdigest()
 
-    rows = df.select(F.col(order).alias("o"), F.col(record).cast("binary").alias("r"))
-    return rows.repartition(1).sortWithinPartitions("o").mapInArrow(_stream("", step), "hash string, records long")
+    spark, state, total = df.sparkSession, "", 0
+    ranges = list(_in_order(df.select(F.col(order).alias("o"), F.col(record).cast("binary").alias("r")), most))
+    for i, rows in enumerate(ranges):
+        out = rows.repartition(1).sortWithinPartitions("o").mapInArrow(_stream(state, step), "hash string, records long")
+        if len(ranges) == 1:
+            return out
+        r = out.first()
+        state, total = r["hash"], total + r["records"]
+    return spark.createDataFrame([(state, total)], "hash string, records long")
 
 
 def chain_in_row(records: Column) -> Column:
@@ -50,7 +72,10 @@ def chain_in_row(records: Column) -> Column:
 
 
 def ordered_digest(df: DataFrame, order: str, text: str) -> DataFrame:
-    """hash, records: sha256 over all texts in order, each with a line feed after it. One task, one batch at a time."""
+    """hash, records: sha256 over all texts in order, each with a line feed after it.
+
+    A digest's state can't leave a task, so one task streams all, a batch at a time; the rows are sorted there, with spilling.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, n = hashlib.sha256(), 0
@@ -141,23 +166,32 @@ SEALED = ("batch_id", "input_hash", "control_hash", "output_hash")
 def seal_chain(batches: DataFrame, order: str = "batch_no", before: str = GENESIS) -> DataFrame:
     """batches with prev_hash and link_hash: each link seals the batch's id and hashes together with the link before.
 
-    A seal is a short row, and the batches of one chain fit an array; records don't pass through here.
+    One task streams the seals in order, as each needs the one before; records don't pass through here.
     """
-    rows = batches.groupBy().agg(F.sort_array(F.collect_list(F.struct(order, *SEALED))).alias("all"))
-    link = "array<struct<no:bigint,prev_hash:string,link_hash:string>>"
-    zero = F.struct(F.lit(before).alias("prev"), F.array().cast(link).alias("out"))
 
-    def step(a: Column, b: Column) -> Column:
-        made = _seal(a["prev"], *(b[c] for c in SEALED))
-        return F.struct(made.alias("prev"), F.concat(a["out"], F.array(F.struct(b[order].cast("long").alias("no"), a["prev"].alias("prev_hash"), made.alias("link_hash")))).alias("out"))
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = before
+        for batch in found:
+            was, made = [], []
+            for parts in zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns)), strict=True):
+                was.append(prev)
+                prev = hashlib.sha256(UNIT.join([*(p for p in parts if p is not None), prev]).encode()).hexdigest()
+                made.append(prev)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(was, pa.string()), pa.array(made, pa.string())], [order, "prev_hash", "link_hash"])
 
-    links = rows.select(F.explode(F.aggregate("all", zero, step, lambda a: a["out"])).alias("l")).select(F.col("l.no").alias(order), "l.prev_hash", "l.link_hash")
-    return batches.join(links, order)
+    rows = batches.select(F.col(order).cast("long").alias(order), *(F.col(c).cast("string").alias(c) for c in SEALED)).repartition(1).sortWithinPartitions(order)
+    return batches.join(rows.mapInArrow(run, f"`{order}` long, prev_hash string, link_hash string"), order)
 
 
 def verify_chain(sealed: DataFrame, order: str = "batch_no", before: str = GENESIS) -> DataFrame:
-    """links, first_broken (null: intact): every link is computed anew from its own row and its predecessor's stored link."""
-    w = Window.orderBy(order)
-    prev = F.coalesce(F.lag("link_hash").over(w), F.lit(before))
-    broken = (F.col("prev_hash") != prev) | (F.col("link_hash") != _seal(F.col("prev_hash"), *(F.col(c) for c in SEALED)))
-    return sealed.withColumn("broken", broken).agg(F.count("*").alias("links"), F.min(F.when(F.col("broken"), F.col(order))).alias("first_broken"))
+    """links, first_broken (null: intact): every link is computed anew from its own row and its predecessor's stored link.
+
+    Links are range partitioned; the first of a partition is compared with the last of the one before it.
+    """
+    placed = sealed.select(order, *SEALED, "prev_hash", "link_hash").repartitionByRange(order).withColumn("p", F.spark_partition_id()).checkpoint()
+    last = placed.groupBy("p").agg(F.max_by("link_hash", order).alias("tail"))
+    edges = last.select("p", F.lag("tail", 1, before).over(Window.orderBy("p")).alias("edge"))  # a row for each partition
+    w = Window.partitionBy("p").orderBy(order)
+    rows = placed.withColumn("prev", F.lag("link_hash").over(w)).join(F.broadcast(edges), "p")
+    broken = (F.col("prev_hash") != F.coalesce("prev", "edge")) | (F.col("link_hash") != _seal(F.col("prev_hash"), *(F.col(c) for c in SEALED)))
+    return rows.withColumn("broken", broken).agg(F.count("*").alias("links"), F.min(F.when(F.col("broken"), F.col(order))).alias("first_broken"))

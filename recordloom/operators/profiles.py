@@ -42,11 +42,12 @@ def sentinel_findings(df: DataFrame, layout: Layout, rules: tuple[Sentinel, ...]
 
 @dataclass(frozen=True)
 class DateRule:
-    """A date field: YYYYMMDD or YYDDD, and the digits that are declared to be no date."""
+    """A date field: YYYYMMDD or YYDDD, the digits that are declared to be no date, and whether any that is no date must be."""
 
     field: str
     format: str = "YYYYMMDD"
     sentinels: tuple[str, ...] = ()
+    require_sentinel: bool = False
 
 
 def _leap(y: Column) -> Column:
@@ -72,42 +73,69 @@ def date_status(text: Column, rule: DateRule) -> Column:
 
 
 def date_validate(df: DataFrame, layout: Layout, rules: tuple[DateRule, ...], encoding: str = ASCII) -> DataFrame:
-    """record_index, field, text, status, rule_id (null for valid dates and declared sentinels) for each rule and record."""
+    """record_index, field, text, status, rule_ids (empty for valid dates and declared sentinels) for each rule and record.
+
+    The stored bytes are checked as they are, leading zeros included: a packed field holds no digits of text. Under EBCDIC
+    they are decoded first. A day that isn't in the calendar has a second finding where the rule requires a sentinel for it.
+    """
     items = []
     for r in rules:
+        demand = F.lit(r.require_sentinel).alias("demand")
         if not layout.has(r.field):
-            items.append(F.struct(F.lit(r.field).alias("field"), F.lit(None).cast("string").alias("text"), F.lit("missing").alias("status")))
+            items.append(F.struct(F.lit(r.field).alias("field"), F.lit(None).cast("string").alias("text"), F.lit("missing").alias("status"), demand))
             continue
         f = layout.field(r.field)
-        # digits by storage: text for text and display fields, the number's digits for packed ones
-        text = text_of(raw_bytes(f), encoding) if f.usage == "DISPLAY" else F.lpad(number(f, encoding).cast("string"), len(r.format), "0")
-        items.append(F.struct(F.lit(r.field).alias("field"), text.alias("text"), date_status(text, r).alias("status")))
+        text = text_of(raw_bytes(f), encoding if f.usage == "DISPLAY" else ASCII)
+        items.append(F.struct(F.lit(r.field).alias("field"), text.alias("text"), date_status(text, r).alias("status"), demand))
     rows = df.select("record_index", F.explode(F.array(*items)).alias("d")).select("record_index", "d.*")
-    undeclared = F.col("text").rlike("^(0+|9+)$")
-    rule = F.when(F.col("status") == "missing", "DATE-MISSING-FIELD").when(F.col("status").like("invalid%") & undeclared, "DATE-SENTINEL-UNDECLARED").when(F.col("status") == "invalid_format", "DATE-INVALID-FORMAT").when(F.col("status") == "invalid_calendar", "DATE-INVALID-CALENDAR-DATE")
-    return rows.withColumn("rule_id", rule)
+    status = F.col("status")
+    found = (
+        F.when(status == "missing", F.array(F.lit("DATE-MISSING-FIELD"))).when(status == "invalid_format", F.array(F.lit("DATE-INVALID-FORMAT")))
+        .when((status == "invalid_calendar") & F.col("demand"), F.array(F.lit("DATE-INVALID-CALENDAR-DATE"), F.lit("DATE-SENTINEL-UNDECLARED")))
+        .when(status == "invalid_calendar", F.array(F.lit("DATE-INVALID-CALENDAR-DATE"))).otherwise(F.array().cast("array<string>"))
+    )
+    return rows.withColumn("rule_ids", found).drop("demand")
 
 
 @dataclass(frozen=True)
 class CurrencyRule:
-    """An amount field: its declared role and scale, and the field that holds its currency code."""
+    """An amount field: its declared role and scale, the field that holds its currency code, and whether another scale is a finding."""
 
     amount: str
     role: str
     scale: int
     code: str | None = None
+    scale_is_finding: bool = True
+
+
+def observed_scale(v: Column) -> Column:
+    """Digits after the last point of a value's text."""
+    return F.length(F.regexp_extract(v, r"\.([^.]*)$", 1))
 
 
 def currency_validate(df: DataFrame, layout: Layout, rules: tuple[CurrencyRule, ...], encoding: str = ASCII) -> DataFrame:
-    """record_index, field, value, code, rule_id. A code is evidence; nothing here is admitted as money."""
+    """record_index, field, value, observed_scale, code, rule_ids, admitted_as_money for each rule and record.
+
+    All findings of a row are told. The scale is that of the value; a field that isn't an amount is not looked at further. A
+    code is evidence, whatever it says; nothing here is admitted as money.
+    """
     items = []
     for r in rules:
-        text = lambda x: F.lit(None).cast("string") if x is None else x
-        f = layout.field(r.amount) if layout.has(r.amount) else None
-        code = value(layout.field(r.code), encoding) if r.code and layout.has(r.code) else None
-        rule = "CURRENCY-MISSING-FIELD" if f is None else "CURRENCY-ROLE-NOT-AMOUNT" if r.role != "amount" else "CURRENCY-SCALE-MISMATCH" if f.pic is None or f.pic.scale != r.scale else None
-        missing = F.lit("CURRENCY-MISSING-CODE") if r.code and code is None else F.when(code == "", F.lit("CURRENCY-MISSING-CODE")) if r.code else F.lit(None).cast("string")
-        items.append(F.struct(F.lit(r.amount).alias("field"), text(value(f, encoding) if f else None).alias("value"), text(code).alias("code"), (F.lit(rule) if rule else missing).alias("rule_id"), F.lit(False).alias("admitted_as_money")))
+        none, f = F.lit(None).cast("string"), layout.field(r.amount) if layout.has(r.amount) else None
+        v, code, scale, found = none if f is None else value(f, encoding), none, F.lit(None).cast("int"), []
+        if f is None:
+            found = [F.lit("CURRENCY-MISSING-FIELD")]
+        elif r.role != "amount":
+            found = [F.lit("CURRENCY-ROLE-NOT-AMOUNT")]
+        else:
+            scale = observed_scale(v)
+            if r.scale_is_finding:
+                found.append(F.when(scale != r.scale, F.lit("CURRENCY-SCALE-MISMATCH")))
+            if r.code and layout.has(r.code):
+                code = F.trim(value(layout.field(r.code), encoding))
+            elif r.code:
+                found.append(F.lit("CURRENCY-MISSING-CODE"))
+        items.append(F.struct(F.lit(r.amount).alias("field"), v.alias("value"), scale.alias("observed_scale"), code.alias("code"), F.array_compact(F.array(*found).cast("array<string>")).alias("rule_ids"), F.lit(False).alias("admitted_as_money")))
     return df.select("record_index", F.explode(F.array(*items)).alias("c")).select("record_index", "c.*")
 
 
@@ -170,7 +198,11 @@ def redefines_manifest(df: DataFrame, layout: Layout, region: str, discriminator
 
 @dataclass(frozen=True)
 class Redaction:
-    """Actions by field: allow, hash, hash_only or token; unlisted fields are denied (hash_only) unless ``unlisted`` allows."""
+    """Actions by field: allow, hash (the value goes), hash_only (raw bytes go, too) or token. Others are denied or allowed.
+
+    A denied field and one under ``hash`` lose their raw bytes as well, since these tell the value. ``keep_raw`` keeps them, which
+    is what the published rule does; a denied field is then under ``hash``.
+    """
 
     scope: str
     actions: dict[str, str]
@@ -185,20 +217,19 @@ def token(v: Column, scope: str, key: str | None = None) -> Column:
     return F.concat(F.lit("TOK-"), F.substring(F.sha2(F.concat(salt, v), 256), 1, 12))
 
 
-def redact(df: DataFrame, layout: Layout, rule: Redaction, encoding: str = ASCII, record: bool = True) -> DataFrame:
-    """record_index, field, action, value, value_sha256, raw_sha256, raw_hex, rule_id. Raw bytes stay only where asked for or allowed."""
+def redact(df: DataFrame, layout: Layout, rule: Redaction, encoding: str = ASCII) -> DataFrame:
+    """record_index, field, action, redacted, value, value_sha256, raw_sha256, raw_hex, rule_id; both hashes stay under every action."""
     items = []
     for f in layout.elementary():
         listed = rule.actions.get(f.name)
-        action = listed or ("allow" if rule.unlisted == "allow" else "hash_only")
+        action = listed or ("allow" if rule.unlisted == "allow" else "hash" if rule.keep_raw else "hash_only")
         if action not in ("allow", "hash", "hash_only", "token"):
             raise ValueError(f"unknown action {action}")
-        v = value(f, encoding)
-        shown = v if action == "allow" else token(v, rule.scope, rule.key) if action == "token" else F.lit(None).cast("string")
-        digest = F.lit(None).cast("string") if action in ("allow", "token") else F.sha2(v, 256)
-        raw = raw_hex(f) if action == "allow" or (rule.keep_raw and action == "hash") else F.lit(None).cast("string")
+        v, none = value(f, encoding), F.lit(None).cast("string")
+        shown = v if action == "allow" else token(v, rule.scope, rule.key) if action == "token" else none
+        raw = raw_hex(f) if action == "allow" or (rule.keep_raw and action == "hash") else none
         items.append(F.struct(
-            F.lit(f.name).alias("field"), F.lit(action).alias("action"), shown.alias("value"), digest.alias("value_sha256"), (F.sha2(raw_bytes(f), 256) if action != "token" else F.lit(None).cast("string")).alias("raw_sha256"), raw.alias("raw_hex"),
+            F.lit(f.name).alias("field"), F.lit(action).alias("action"), F.lit(action != "allow").alias("redacted"), shown.alias("value"), F.sha2(v, 256).alias("value_sha256"), F.sha2(raw_bytes(f), 256).alias("raw_sha256"), raw.alias("raw_hex"),
             F.lit(None if listed or rule.unlisted == "allow" else "PRIVACY-UNLISTED-FIELD").cast("string").alias("rule_id"),
         ))
     return df.select("record_index", F.explode(F.array(*items)).alias("r")).select("record_index", "r.*")
@@ -218,6 +249,5 @@ def extract_manifest(df: DataFrame, layout: Layout, unit: str, declared: dict[st
 
 def date_findings(checked: DataFrame) -> DataFrame:
     """The findings of date_validate's rows."""
-    return checked.where("rule_id is not null").select(F.struct(F.col("rule_id"), F.lit("warning").alias("level"), F.concat_ws(": ", "field", "status").alias("message"), F.col("record_index").cast("long").alias("record_index")).alias("f")).select("f.*")
-
-
+    rows = checked.select("record_index", "field", "status", F.explode("rule_ids").alias("rule_id"))
+    return rows.select("rule_id", F.lit("warning").alias("level"), F.concat_ws(": ", "field", "status").alias("message"), F.col("record_index").cast("long").alias("record_index"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
@@ -13,7 +15,7 @@ from recordloom.functions.decode import ASCII, CP500, condition, decode_long, nu
 from recordloom.functions.encode import encode_number, encode_text
 from recordloom.operators.custody import ordered_digest
 from recordloom.operators.findings import FINDING, finding
-from recordloom.plans.copybook import Field, Layout
+from recordloom.plans.copybook import Field, Layout, compile_layout, no_copy
 
 STALE_RISK = "the copybook is declared by the caller; a stale one decodes to plausible values"
 
@@ -22,6 +24,18 @@ def _json(*columns: Column, nulls: bool = False) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": str(not nulls).lower()})
 
 
+def json_escapes(line: Column, short: bool = True) -> Column:
+    """JSON text with control characters as \\u00xx in lower case; with ``short`` line feed, return and tab keep their two characters."""
+    even = r"(?<!\\)((?:\\\\)*)"
+    long = {"b": 8, "f": 12} | ({} if short else {"n": 10, "r": 13, "t": 9})
+    out = line
+    for c, n in long.items():
+        out = F.regexp_replace(out, even + r"\\" + c, f"$1\\\\u{n:04x}")
+    for n in (11, 14, 15, *range(26, 32)):
+        out = F.regexp_replace(out, even + rf"\\u{n:04X}", f"$1\\\\u{n:04x}")
+    return F.when(line.rlike(r"\\[bfu]" if short else r"\\[bfunrt]"), out).otherwise(line)
+
+
 def record_json(df: DataFrame, layout: Layout, encoding: str = ASCII, claim: str = "edited-picture") -> DataFrame:
     """record_index, line, unsupported (names): one JSON object a record with fields, conditions and audit, in layout order."""
     layout.check_keys()
@@ -39,7 +53,7 @@ def record_json(df: DataFrame, layout: Layout, encoding: str = ASCII, claim: str
         block = F.concat(F.lit(',"edited":'), _json(*each, nulls=True))
     line = F.concat(F.lit('{"record_index":'), F.col("record_index").cast("string"), F.lit(',"fields":'), fields, F.lit(',"conditions":'), conditions, F.lit(',"audit":'), F.regexp_replace(_json(*audit), "}$", ""), block, F.lit("}}"))
     missing = F.array(*(F.when(t.isNull(), F.lit(f"condition:{c.name}")) for t, c in zip(truths, layout.conditions, strict=True)))
-    return df.select("record_index", line.alias("line"), F.array_compact(F.concat(F.array(*map(F.lit, odd)).cast("array<string>"), missing.cast("array<string>"))).alias("unsupported"))
+    return df.select("record_index", json_escapes(line).alias("line"), F.array_compact(F.concat(F.array(*map(F.lit, odd)).cast("array<string>"), missing.cast("array<string>"))).alias("unsupported"))
 
 
 def unsupported_ledger(lines: DataFrame) -> DataFrame:
@@ -47,6 +61,12 @@ def unsupported_ledger(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode("unsupported").alias("item")).groupBy("item").agg(F.count("*").alias("records"))
 
 
+def unsupported_summary(lines: DataFrame) -> DataFrame:
+    """unsupported, unsupported_count: the unsupported items of the first record, and how many all records have together."""
+    first = F.coalesce(F.min_by("unsupported", "record_index"), F.array().cast("array<string>"))
+    return lines.agg(first.alias("unsupported"), F.coalesce(F.sum(F.size("unsupported")), F.lit(0)).alias("unsupported_count"))
+
+
 def audit_receipt(df: DataFrame, lines: DataFrame, layout: Layout, fixture: str, encoding: str = ASCII) -> DataFrame:
     """One row: the hashes of input texts, layout and output, and the counts."""
     out = ordered_digest(lines, "record_index", "line").select(F.col("hash").alias("decode_output_sha256"), F.col("records").alias("record_count"))
@@ -60,6 +80,34 @@ def audit_receipt(df: DataFrame, lines: DataFrame, layout: Layout, fixture: str,
     )
 
 
+@dataclass(frozen=True)
+class Reconciliation:
+    """lines (record_index, line, unsupported), the audit receipt, and the unsupported ledger, by item and in sum."""
+
+    lines: DataFrame
+    receipt: DataFrame
+    ledger: DataFrame
+    summary: DataFrame
+
+
+def reconcile(df: DataFrame, layout: Layout, fixture: str, encoding: str = ASCII) -> Reconciliation:
+    """Everything that is told of a file of records (record_index, raw_offset, raw_len, record)."""
+    lines = record_json(df, layout, encoding)
+    return Reconciliation(lines, audit_receipt(df, lines, layout, fixture, encoding), unsupported_ledger(lines), unsupported_summary(lines))
+
+
+def reconcile_profile(df: DataFrame, copybook: str, fixture: str, resolver: Callable[[str], str | None] | dict[str, str] = no_copy, encoding: str = ASCII) -> tuple[Reconciliation, dict[str, float]]:
+    """The same from a copybook's text, and the seconds of its stages: parse, record (all lines made once), aggregate (the receipt)."""
+    began = time.perf_counter()
+    layout = compile_layout(copybook, resolver)
+    parsed = time.perf_counter()
+    made = reconcile(df, layout, fixture, encoding)
+    made.lines.write.format("noop").mode("overwrite").save()
+    lined = time.perf_counter()
+    made.receipt.collect()  # one row
+    return made, {"parse": parsed - began, "record": lined - parsed, "aggregate": time.perf_counter() - lined}
+
+
 def control_totals(df: DataFrame, layout: Layout, encoding: str = ASCII) -> DataFrame:
     """kind, name, total, count: records, exact sums of valid numeric values, true conditions, invalid and unsupported counts.
 

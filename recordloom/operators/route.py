@@ -86,17 +86,21 @@ def reconcile_banking(df: DataFrame, spec: VariantSpec, control: Control, encodi
     """Totals (measure, declared, observed, ok) and findings.
 
     Polarity comes only from the declared values of the source field, never from a sign. The last trailer counts. Without the
-    role ``amount`` the amount field is not summed at all. Everything observed comes from one aggregation over the scan.
+    role ``amount`` the amount field is not summed at all. An amount must have exactly two decimals and a declared count none:
+    others are not rounded, a detail is dirty and a trailer declares nothing. Everything observed comes from one aggregation.
     """
     layout = {v.name: v.layout for v in spec.variants}
     d, t = layout[control.detail], layout[control.trailer]
     consistent = control.roles.get(control.amount) == "amount"
     kind = spec.route()
     amount, source = d.field(control.amount), d.field(control.source)
+    cents, whole = (lambda f: f.pic is not None and f.pic.scale == 2), (lambda f: f.pic is not None and f.pic.scale == 0)
+    declared = lambda f, fits: F.when(valid(f, encoding), number(f, encoding)).cast("decimal(38,2)") if fits(f) else F.lit(None).cast("decimal(38,2)")
+    count = declared(t.field(control.trailer_count), whole)
     rows = df.select(
         "record_index", kind.alias("kind"), F.lower(F.hex(F.substring("record", spec.offset + 1, spec.length))).alias("disc"), number(amount, encoding).cast("decimal(38,2)").alias("amount"),
-        valid(amount, encoding).alias("amount_ok"), F.trim(typed(source, encoding).cast("string")).alias("polarity"), valid(source, encoding).alias("source_ok"),
-        *(F.when(valid(t.field(n), encoding), number(t.field(n), encoding)).cast("decimal(38,2)").alias(k) for k, n in (("t_count", control.trailer_count), ("t_debit", control.trailer_debit), ("t_credit", control.trailer_credit))),
+        (valid(amount, encoding) & F.lit(cents(amount))).alias("amount_ok"), F.trim(typed(source, encoding).cast("string")).alias("polarity"), valid(source, encoding).alias("source_ok"),
+        F.when(count >= 0, count).alias("t_count"), declared(t.field(control.trailer_debit), cents).alias("t_debit"), declared(t.field(control.trailer_credit), cents).alias("t_credit"),
     )
     is_detail, is_trailer = F.col("kind") == control.detail, F.col("kind") == control.trailer
     clean = is_detail & F.col("amount_ok") & F.col("source_ok")

@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.decode import ASCII
@@ -14,7 +14,11 @@ from recordloom.operators.profiles import Redaction, redact
 from recordloom.operators.recon import courts_of
 from recordloom.plans.copybook import Layout
 
-NOT_ORACLE = "the target is compared, not trusted: agreement does not make it right"
+NOT_ORACLE = "equal to the declared target, whose status is {}: this doesn't make it right"
+#: What a target may be compared in, and what it may be declared as; only an admitted oracle is trusted.
+DIMENSIONS = ("field_values", "finding_ids", "control_totals", "audit_hashes")
+ORACLE = "admitted_oracle"
+STATUSES = ("not_oracle", "declared_baseline", "customer_supplied_reference", "system_of_record_export_unvalidated", ORACLE)
 
 
 def diff_fields(left: DataFrame, right: DataFrame, key: str = "record_index", name: str = "name", value: str = "value") -> DataFrame:
@@ -44,31 +48,46 @@ def diff_totals(left: DataFrame, right: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Artifacts:
-    """What a side of a comparison has; a dimension that either side lacks isn't compared."""
+    """What a side of a comparison has; fields, findings or totals that either side lacks aren't compared."""
 
     fields: DataFrame | None = None
     findings: DataFrame | None = None
     totals: DataFrame | None = None
     hashes: dict[str, str] = field(default_factory=dict)
-    is_oracle: bool = False
 
 
-def diff_artifacts(left: Artifacts, right: Artifacts, key: str = "record_index") -> DataFrame:
-    """rule_id, detail, sorted: all compared dimensions in one list, with a note where the target claims to be the oracle."""
-    parts = []
-    if left.fields is not None and right.fields is not None:
+@dataclass(frozen=True)
+class Target:
+    """What the expected side is declared as, and in which dimensions it may be compared."""
+
+    status: str = "not_oracle"
+    allowed: tuple[str, ...] = DIMENSIONS
+
+    def __post_init__(self):
+        if self.status not in STATUSES or not set(self.allowed) <= set(DIMENSIONS):
+            raise ValueError(f"unknown status or dimension: {self.status}, {self.allowed}")
+
+
+def diff_artifacts(left: Artifacts, right: Artifacts, target: Target = Target(), key: str = "record_index") -> DataFrame:
+    """rule_id, detail, sorted: where the actual side (right) differs from the expected one (left) in the allowed dimensions.
+
+    A hash that one side alone has differs. Where nothing differs and the target is no admitted oracle, a note says so.
+    """
+    parts, may = [], set(target.allowed)
+    if "field_values" in may and left.fields is not None and right.fields is not None:
         parts.append(diff_fields(left.fields, right.fields, key).select("rule_id", F.concat_ws(" ", F.col(key).cast("string"), "name").alias("detail")))
-    if left.findings is not None and right.findings is not None:
+    if "finding_ids" in may and left.findings is not None and right.findings is not None:
         parts.append(diff_sets(left.findings, right.findings, "rule_id").select("rule_id", F.concat_ws(" ", "side", "value").alias("detail")))
-    if left.totals is not None and right.totals is not None:
+    if "control_totals" in may and left.totals is not None and right.totals is not None:
         parts.append(diff_totals(left.totals, right.totals).select("rule_id", F.concat_ws(" ", "kind", "name").alias("detail")))
-    spark = next(x for x in (left.fields, left.findings, left.totals, right.fields, right.findings, right.totals) if x is not None).sparkSession
-    fixed = [("DIFF-HASH-MISMATCH", k) for k in sorted(left.hashes.keys() & right.hashes.keys()) if left.hashes[k] != right.hashes[k]]
-    if right.is_oracle:
-        fixed.append(("DIFF-TARGET-NOT-ORACLE", NOT_ORACLE))
+    spark = next((x.sparkSession for x in (left.fields, left.findings, left.totals, right.fields, right.findings, right.totals) if x is not None), None) or SparkSession.active()
+    fixed = [("DIFF-HASH-MISMATCH", k) for k in sorted(left.hashes.keys() | right.hashes.keys()) if left.hashes.get(k) != right.hashes.get(k)] if "audit_hashes" in may else []
     out = spark.createDataFrame(fixed, "rule_id string, detail string")
     for p in parts:
         out = out.unionByName(p)
+    if target.status != ORACLE:
+        equal = out.limit(1).agg(F.count("*").alias("n")).where("n = 0")
+        out = out.unionByName(equal.select(F.lit("DIFF-TARGET-NOT-ORACLE").alias("rule_id"), F.lit(NOT_ORACLE.format(target.status)).alias("detail")))
     return out.orderBy("rule_id", "detail")
 
 
@@ -80,24 +99,30 @@ def field_map(df: DataFrame, layout: Layout, rule: Redaction, encoding: str = AS
     return redact(df, layout, rule, encoding).join(F.broadcast(known), "field")  # a row for each field of the layout
 
 
+VERDICTS = ("pass", "fail_closed", "mismatch", "refused")
+
+
 @dataclass(frozen=True)
 class Fixture:
-    """An expected verdict and set of rules; a negative fixture must name what it doesn't claim."""
+    """An expected verdict (pass, fail_closed, mismatch or refused) and set of rules; any but a pass must name what it doesn't claim."""
 
     name: str
-    verdict: int
+    verdict: str
     rules: frozenset[str]
-    negative: bool = False
     non_claims: tuple[str, ...] = ()
 
+    def __post_init__(self):
+        if self.verdict not in VERDICTS:
+            raise ValueError(f"unknown verdict {self.verdict}")
+
 
-def replay_fixture(fixture: Fixture, verdict: int, findings: DataFrame) -> DataFrame:
+def replay_fixture(fixture: Fixture, verdict: str, findings: DataFrame) -> DataFrame:
     """rule_id, detail of what the replay doesn't meet; no rows where it does."""
     spark = findings.sparkSession
     fixed = []
     if verdict != fixture.verdict:
         fixed.append(("FIXTURE-VERDICT-MISMATCH", f"{fixture.name}: expected {fixture.verdict}, got {verdict}"))
-    if fixture.negative and not fixture.non_claims:
+    if fixture.verdict != "pass" and not fixture.non_claims:
         fixed.append(("FIXTURE-NON-CLAIM-REQUIRED", fixture.name))
     want = spark.createDataFrame([(r,) for r in sorted(fixture.rules)], "rule_id string")
     sets = diff_sets(want, findings, "rule_id", "FIXTURE-FINDING-MISMATCH").select("rule_id", F.concat_ws(" ", "side", "value").alias("detail"))

@@ -6,6 +6,8 @@ it is one plan of column expressions: scans read only the columns that a query u
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import replace
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from recordloom.functions.decode import CP500, condition, decode_long, number, raw_bytes, typed
 from recordloom.functions.encode import encode_record
 from recordloom.operators import custody, profiles, recon, route, views
+from recordloom.plans import pilot
 from recordloom.plans.copybook import Layout, compile_layout
+from recordloom.sources import fixedrec
 
 ORDER = compile_layout("""
     01 ORDER-REC.
@@ -337,7 +341,7 @@ def date_validate(spark, sf_dir):
 def currency_scale(spark, sf_dir):
     rules = (profiles.CurrencyRule("O-TOTAL", "amount", 2, "O-PRIORITY"), profiles.CurrencyRule("O-TOTAL", "amount", 3), profiles.CurrencyRule("O-CUST", "identifier", 0))
     rows = profiles.currency_validate(orders(spark, sf_dir), ORDER, rules)
-    return rows.select("record_index", "field", "value", F.coalesce("rule_id", F.lit("ok")).alias("rule_id"), "admitted_as_money")
+    return rows.select("record_index", "field", "value", F.array_join("rule_ids", ",").alias("rule_ids"), "admitted_as_money")
 
 
 def redefines_views(spark, sf_dir):
@@ -421,14 +425,219 @@ def field_map(spark, sf_dir):
 
 def fixture_replay(spark, sf_dir):
     found = route.reconcile_banking(_with_trailer(spark, sf_dir, "0.01"), _variants(), CONTROL)[1]
-    return views.replay_fixture(views.Fixture("tampered", 1, frozenset({"BANK-NO-TRAILER"}), negative=True), 0, found)
+    return views.replay_fixture(views.Fixture("tampered", "mismatch", frozenset({"BANK-NO-TRAILER"})), "pass", found)
+
+
+def _in_file(df: DataFrame, label: str, files: int = 1) -> str:
+    """The records in a folder of so many files; its path."""
+    folder = fixedrec.new_folder(df.sparkSession, label)
+    fixedrec.write_records(df, folder, files)
+    return folder
+
+
+def ingest_records(spark, sf_dir):
+    """Orders written to eight files, read by the source in ranges and decoded; records are numbered through the files."""
+    rows = fixedrec.read_records(spark, _in_file(orders(spark, sf_dir), "orders", 8), fixedrec.Policy(ORDER.record_len), split_bytes=100 * ORDER.record_len)
+    return rows.select("record_index", typed(ORDER.field("O-KEY")).cast("long").alias("order_key"), typed(ORDER.field("O-TOTAL")).cast("decimal(18,2)").alias("total"), typed(ORDER.field("O-STATUS")).alias("status"))
+
+
+def ingest_nth(spark, sf_dir):
+    """One record by its number; the filter reaches the source, which reads the bytes of this record alone."""
+    rows = fixedrec.read_records(spark, _in_file(_nations(spark, sf_dir), "nations", 3), fixedrec.Policy(NATION.record_len))
+    return fixedrec.nth_record(rows, 11).select("record_index", "raw_len", "partial", typed(NATION.field("N-NAME")).alias("name"))
+
+
+def _nation_file(spark, sf_dir, end: bytes = b"") -> str:
+    rows = _nations(spark, sf_dir)
+    last = spark.createDataFrame([(10**9, end)], "record_index long, record binary") if end else rows.limit(0)
+    folder = _in_file(rows.union(last), "nation")
+    return fixedrec.files_of(folder)[0]
+
+
+def ingest_spans(spark, sf_dir):
+    """A file whose last record is cut: the piece is kept as evidence."""
+    rows = fixedrec.read_records(spark, _nation_file(spark, sf_dir, b"0099CUT"), fixedrec.Policy(NATION.record_len, partial="evidence"), split_bytes=4 * NATION.record_len)
+    return rows.select("record_index", "raw_offset", "raw_len", "partial", F.sha2("record", 256).alias("record_sha256"))
+
+
+#: What a file ends with beyond its records, and the policy: strict, line ends and partial records, each way.
+_INGEST_CASES = (("clean", b"", {}), ("line-feed-reject", b"\n", {}), ("line-feed-allow", b"\n", {"newline": "allow"}), ("line-feed-strip", b"\n", {"newline": "strip"}), ("partial-reject", b"0099CUT", {}), ("partial-evidence", b"0099CUT", {"partial": "evidence"}))
+
+
+def ingest_manifest(spark, sf_dir):
+    """A manifest for each policy and file end; refused files have an exit code and no records."""
+    out, paths = None, {end: _nation_file(spark, sf_dir, end) for end in {c[1] for c in _INGEST_CASES}}
+    for name, end, policy in _INGEST_CASES:
+        row = fixedrec.file_manifest(spark, paths[end], fixedrec.Policy(NATION.record_len, **policy)).select(F.lit(name).alias("case"), "sha256", "file_bytes", "record_count", "first_offset", "last_offset", "partial", "stripped_line_feed", "exit_code")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def reconcile_receipt(spark, sf_dir):
+    """The audit receipt of a file of records."""
+    rows = fixedrec.read_records(spark, _nation_file(spark, sf_dir), fixedrec.Policy(NATION.record_len))
+    return recon.reconcile(rows, NATION, "nation").receipt.select("fixture", "copybook_sha256", "record_count", "field_count", "condition_count", "unsupported_count", "decode_output_sha256", "has_binary", "has_comp6")
+
+
+ODD = compile_layout("""
+    01 ODD-REC.
+       05 X-KEY    PIC 9(4).
+          88 X-EVEN  VALUE 0 2 4 6 8.
+       05 X-BAD    PIC 9(4) COMP-1.
+       05 X-NAME   PIC X(11).
+       05 X-FLAG   PIC 9(2).
+          88 X-ON    VALUE 1.
+""")
+
+
+def reconcile_ledger(spark, sf_dir):
+    """Unsupported storage, and a condition whose field the record is too short for: by item, and as the first record has it."""
+    rows = _nations(spark, sf_dir).withColumns({"record": F.substring("record", 1, ODD.record_len - 2), "raw_offset": F.col("record_index") * 20, "raw_len": F.lit(ODD.record_len - 2)})
+    made = recon.reconcile(rows, ODD, "odd")
+    return made.ledger.select(F.col("item").alias("unsupported"), F.col("records").alias("n")).union(made.summary.select(F.concat(F.lit("all: "), F.array_join("unsupported", ",")), "unsupported_count"))
+
+
+def strict_decode(spark, sf_dir):
+    return recon.strict_decode(_nations(spark, sf_dir), NATION).select(typed(NATION.field("N-KEY")).cast("long").alias("key"), typed(NATION.field("N-NAME")).alias("name"))
+
+
+def posting_manifest(spark, sf_dir):
+    out = custody.posting_manifest(_nations(spark, sf_dir), NATION, custody.PostingSpec("unit-1", "N-KEY", "N-NAME", contiguous=True))
+    return out.select("unit_id", "records", "last_hash", F.col("first_seq").cast("long").alias("first_seq"), F.col("last_seq").cast("long").alias("last_seq"), "findings")
+
+
+def extract_manifest(spark, sf_dir):
+    out = profiles.extract_manifest(_nations(spark, sf_dir), NATION, "unit-1", {"source": "nation"})
+    return out.select("unit", F.col("declared")["source"].alias("source"), "records", "chain_sha256", "copybook_sha256")
+
+
+def chain_by_ranges(spark, sf_dir):
+    """The record chain with at most seven records to a task: ranges are ordered apart and hashed one after the other."""
+    return custody.record_chain(_nations(spark, sf_dir), most=7)
+
+
+def bank_report(spark, sf_dir):
+    """The operator's report as JSON and as text."""
+    totals, found = route.reconcile_banking(_with_trailer(spark, sf_dir), _variants(), CONTROL)
+    made = views.reconcile_report(totals, found, {"unit": "unit-1"})
+    return spark.createDataFrame([(k, made[k]) for k in ("json", "markdown")], "format string, text string")
+
+
+def pilot_redaction(spark, sf_dir):
+    """The redacted fields of the declared sample unit, after the whole workflow and its leak check."""
+    made = pilot.run_pilot(pilot.sample_unit(spark), pilot.sample_pilot("unit-1"))
+    return made.rows["redaction"].where("field <> 'FILLER'").select("record_index", "field", "action", "redacted", "value", "value_sha256")
+
+
+def pilot_packet(spark, sf_dir):
+    """The packet's pins and checklist for artifacts of known text."""
+    packet = views.pilot_packet({"redaction": "one", "extract": "two"}, "notes")
+    rows = [("pin " + k, v) for k, v in packet["artifacts"].items()] + [("notes", packet["notes_sha256"])] + [(f["rule_id"], f["detail"]) for f in packet["findings"]] + [("done " + c["item"], str(c["done"]).lower()) for c in packet["checklist"]]
+    return spark.createDataFrame(rows, "item string, text string")
+
+
+PRICE = compile_layout("""
+    01 PRICE-REC.
+       05 P-AMT   PIC S9(9)V99 COMP-3.
+       05 P-RATE  PIC 9(2)V999.
+       05 P-CODE  PIC X(3).
+""")
+
+
+def _prices(spark, sf_dir):
+    """Bytes made by hand: the price's digits and a sign as nibbles, then text."""
+    packed = F.unhex(F.concat(F.lpad((_money("o_totalprice") * 100).cast("long").cast("string"), 11, "0"), F.lit("C")))
+    return _once(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_index"), F.concat(packed, F.lit(b"12345USD")).alias("record")))
+
+
+def currency_rules(spark, sf_dir):
+    """Several findings in one row, the scale of the value itself, and a mismatch that is declared to be none."""
+    C = profiles.CurrencyRule
+    rules = (C("P-AMT", "amount", 2, "P-CODE"), C("P-AMT", "amount", 3, "P-NONE"), C("P-AMT", "amount", 3, scale_is_finding=False), C("P-RATE", "rate", 2), C("P-GONE", "amount", 2))
+    rows = profiles.currency_validate(_prices(spark, sf_dir), PRICE, rules)
+    return rows.select("record_index", "field", "value", "observed_scale", "code", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+def redact_published(spark, sf_dir):
+    """The published rule: raw bytes stay where a value is only hashed, also for fields that aren't listed."""
+    rule = profiles.Redaction("pilot", {"P-CODE": "hash_only", "P-RATE": "token"}, keep_raw=True)
+    rows = profiles.redact(_prices(spark, sf_dir), PRICE, rule)
+    return rows.withColumn("rule_id", F.coalesce("rule_id", F.lit("")))
+
+
+DATES = compile_layout("""
+    01 DATE-REC.
+       05 D-DAY   PIC 9(8).
+       05 D-JUL   PIC 9(5).
+       05 D-PACK  PIC 9(8) COMP-3.
+""")
+
+
+def date_findings(spark, sf_dir):
+    """Zeros that no sentinel declares, days 366 of common years, and packed bytes, which hold no digits of text."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd")
+    text = F.concat(F.when(key % 17 == 0, F.lit("00000000")).otherwise(day), F.when(key % 5 == 0, F.lit("23366")).otherwise(F.lit("24366")))
+    packed = F.unhex(F.concat(F.lit("0"), day, F.lit("C")))
+    rows = _once(_table(spark, sf_dir, "orders").select(key.alias("record_index"), F.concat(F.encode(text, "US-ASCII"), packed).alias("record")))
+    D = profiles.DateRule
+    found = profiles.date_findings(profiles.date_validate(rows, DATES, (D("D-DAY", require_sentinel=True), D("D-JUL", "YYDDD"), D("D-PACK"), D("D-NONE"))))
+    return found.groupBy("rule_id", "message").agg(F.count("*").alias("n"))
+
+
+MILLS = compile_layout("01 M-REC.\n 05 M-TYPE PIC X.\n 05 M-FLAG PIC X.\n 05 M-AMT PIC 9(9)V999.\n")
+MILLS_END = compile_layout("01 E-REC.\n 05 E-TYPE PIC X.\n 05 E-COUNT PIC 9(9)V9.\n 05 E-DEBIT PIC 9(9)V999.\n 05 E-CREDIT PIC 9(9)V99.\n")
+
+
+def banking_decimals(spark, sf_dir):
+    """Amounts of three decimals are dirty, not rounded; a count with a decimal and a total of three declare nothing."""
+    digits = F.lpad((_money("l_extendedprice") * 1000).cast("long").cast("string"), 12, "0")
+    index = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = _table(spark, sf_dir, "lineitem").select(index.alias("record_index"), F.encode(F.concat(F.lit("D"), F.col("l_returnflag"), digits), "US-ASCII").alias("record"))
+    end = spark.createDataFrame([(2**60, b"T" + b"0000000031" + b"000000000000" + b"00000000000")], "record_index long, record binary")
+    spec = route.VariantSpec(0, 1, (route.Variant("detail", b"D", MILLS), route.Variant("trailer", b"T", MILLS_END)))
+    control = route.Control("detail", "trailer", "M-AMT", "M-FLAG", ("R", "A"), ("N",), "E-COUNT", "E-DEBIT", "E-CREDIT", {"M-AMT": "amount"})
+    totals, found = route.reconcile_banking(_once(rows.union(end)), spec, control)
+    counts = found.groupBy("rule_id").agg(F.count("*").cast("decimal(38,2)").alias("n"))
+    return counts.union(totals.select(F.concat(F.lit("observed "), "measure"), "observed"))
+
+
+def banking_inconsistent(spark, sf_dir):
+    """A profile that doesn't call the summed field an amount: the finding is told and nothing is summed."""
+    control = replace(CONTROL, roles={"L-PRICE": "rate"})
+    totals, found = route.reconcile_banking(_with_trailer(spark, sf_dir), _variants(), control)
+    return found.select("rule_id", "message").union(totals.select("measure", F.coalesce(F.col("observed").cast("string"), F.lit("(not summed)"))))
+
+
+def diff_note(spark, sf_dir):
+    """Equal artifacts against targets of different standing; dimensions that aren't allowed; a hash that one side lacks."""
+    t = recon.control_totals(_nations(spark, sf_dir), NATION)
+    one, other = decode_long(_nations(spark, sf_dir), NATION), decode_long(_nations(spark, sf_dir).where("record_index <> 3"), NATION)
+    A, T = views.Artifacts, views.Target
+    cases = {
+        "equal, no oracle": (A(totals=t), A(totals=t), T()), "equal, oracle": (A(totals=t), A(totals=t), T(views.ORACLE)),
+        "fields not allowed": (A(fields=one, totals=t), A(fields=other, totals=t), T("declared_baseline", ("control_totals",))),
+        "fields allowed": (A(fields=one), A(fields=other), T()), "one hash": (A(totals=t, hashes={"out": "1"}), A(totals=t), T(views.ORACLE)),
+    }
+    out = None
+    for name, (a, b, target) in cases.items():
+        rows = views.diff_artifacts(a, b, target).select(F.lit(name).alias("case"), "rule_id", "detail")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def json_dialects(spark, sf_dir):
+    """Control characters in both dialects of escapes."""
+    text = F.concat(F.col("r_name"), *(F.lit(x) for x in ("\b", "\f", "\n", "\t", "\x0b", "\x1f", "\\b", '"')))
+    line = F.to_json(F.struct(text.alias("v")))
+    return _table(spark, sf_dir, "region").select("r_regionkey", recon.json_escapes(line).alias("short"), recon.json_escapes(line, short=False).alias("long"))
 
 
 QUERIES = {f.__name__: f for f in (
     decode_display, decode_comp3, decode_comp, decode_comp5, decode_compx, decode_comp6, decode_cp500_text, decode_cp500_zoned, decode_edited, conditions_88, conditions_range, control_totals, dirty_evidence,
     dirty_totals, explain_long, explain_one, variant_route, variant_counts, banking_reconcile, banking_tampered, batch_control, record_hash, posting_sequence_dups, posting_sequence_gaps, posting_txn_dups, posting_chain,
     batch_chain, batch_chain_verify, db2_indicators, sentinel_scan, date_validate, currency_scale, redefines_views, redact_tokens, redact_hashes, diff_fields, diff_totals, transform_add, transform_set_true, transform_delta,
-    status_totals, raw_slices, posting_findings, record_lines, field_map, fixture_replay,
+    status_totals, raw_slices, posting_findings, record_lines, field_map, fixture_replay, ingest_records, ingest_nth, ingest_spans, ingest_manifest, reconcile_receipt, reconcile_ledger, strict_decode, posting_manifest,
+    extract_manifest, chain_by_ranges, bank_report, pilot_redaction, pilot_packet, currency_rules, redact_published, date_findings, banking_decimals, banking_inconsistent, diff_note, json_dialects,
 )}
 
 _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
@@ -450,6 +659,29 @@ _SEALS = "SELECT r_regionkey AS no, r_name AS id, sha256('in:' || r_name) AS i,
 _LINKS = f"""WITH RECURSIVE b AS ({_SEALS}), c AS (
   SELECT no, '' AS prev_hash, sha256(id || chr(30) || i || chr(30) || c || chr(30) || o || chr(30)) AS link_hash FROM b WHERE no = 0
   UNION ALL SELECT b.no, c.link_hash, sha256(b.id || chr(30) || b.i || chr(30) || b.c || chr(30) || b.o || chr(30) || c.link_hash) FROM b JOIN c ON b.no = c.no + 1)"""
+_NATION_HEXES = f"(SELECT string_agg({_NATION_HEX}, '' ORDER BY n_nationkey) FROM nation)"
+_NATION_CHAIN = f"""WITH RECURSIVE r AS (SELECT n_nationkey AS k, {_NATION_HEX} AS x FROM nation), c AS (SELECT k, sha256(unhex(x)) AS h FROM r WHERE k = 0 UNION ALL SELECT r.k, sha256(unhex(hex(encode(c.h)) || r.x)) FROM r JOIN c ON r.k = c.k + 1)"""
+_LINE = f"""'{{"record_index":' || n_nationkey || ',"fields":{{"N-KEY":"' || n_nationkey || '","N-NAME":"' || n_name || '","N-REGION":"' || n_regionkey || '"}},"conditions":{{}},"audit":{{"raw_offset":' || n_nationkey * 20 || ',"raw_len":20,"record_sha256":"' || {_NATION_SHA} || '"}}}}'"""
+_CENTS = f"lpad(({_TOTAL} * 100)::BIGINT::VARCHAR, 11, '0')"
+_OWED_IND = f"(CASE WHEN {_BAL} < 0 THEN -1 WHEN {_BAL} > 5000 THEN 12 ELSE 0 END)::VARCHAR"
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _manifest(case: str, tail: str, length: int, records: int, code: int, partial: bool = False, stripped: bool = False) -> str:
+    """A file of 25 records of 20 bytes and the tail, as hex."""
+    return f"SELECT '{case}' AS \"case\", sha256(unhex({_NATION_HEXES} || '{tail}')) AS sha256, {500 + length}::BIGINT AS file_bytes, {records}::BIGINT AS record_count, {0 if records else -1}::BIGINT AS first_offset, {(records - 1) * 20 if records else -1}::BIGINT AS last_offset, {str(partial).lower()} AS partial, {str(stripped).lower()} AS stripped_line_feed, {code} AS exit_code"
+
+
+def _report() -> str:
+    sums = f"SELECT (count(*) || '.00') AS n, CAST(sum({_PRICE}) FILTER ({_PAID}) AS DECIMAL(38,2))::VARCHAR AS d, CAST(sum({_PRICE}) FILTER (NOT {_PAID}) AS DECIMAL(38,2))::VARCHAR AS c FROM lineitem"
+    total = lambda m, c: f"""'{{"declared": "' || {c} || '", "measure": "{m}", "observed": "' || {c} || '", "ok": true}}'"""
+    line = lambda m, c: f"'| {m} | ' || {c} || ' | ' || {c} || ' | True |' || chr(10)"
+    json_ = f"""'{{"balanced": true, "findings": [], "non_claims": ["posting", "ledger state", "business meaning"], "sources": {{"unit": "{_sha('unit-1')}"}}, "totals": [' || {total('record_count', 'n')} || ', ' || {total('debit_total', 'd')} || ', ' || {total('credit_total', 'c')} || ']}}'"""
+    text = f"""'# Reconciliation' || chr(10) || chr(10) || 'Balanced: yes' || chr(10) || chr(10) || '| measure | declared | observed | ok |' || chr(10) || '|-|-|-|-|' || chr(10) || {line('record_count', 'n')} || {line('debit_total', 'd')} || {line('credit_total', 'c')} || chr(10)"""
+    return f"WITH s AS ({sums}) SELECT 'json' AS format, {json_} AS text FROM s UNION ALL SELECT 'markdown', {text} FROM s"
 
 
 def _sums(where: str, good: str) -> str:
@@ -500,11 +732,11 @@ ORACLE_SQL = {
     "db2_indicators": f"SELECT c_custkey AS record_index, CASE WHEN b < 0 THEN 'null' WHEN b > 5000 THEN 'truncated' ELSE 'present' END AS status, CASE WHEN b >= 0 THEN b::VARCHAR END AS value, CASE WHEN b > 5000 THEN 12::BIGINT END AS original_length FROM (SELECT c_custkey, {_BAL} AS b FROM customer)",
     "sentinel_scan": f"SELECT o_orderkey AS record_index, 'O-STATUS' AS field, 'still open' AS meaning, 'O' AS value FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'O-DATE', 'day of note', '19950101' FROM orders WHERE {_DATE} = '19950101'",
     "date_validate": f"SELECT o_orderkey AS record_index, CASE WHEN o_orderkey % 17 = 0 THEN '00000000' WHEN o_orderkey % 13 = 0 THEN strftime(o_orderdate, '%Y%m') || '32' ELSE {_DATE} END AS text, CASE WHEN o_orderkey % 17 = 0 THEN 'declared_sentinel' WHEN o_orderkey % 13 = 0 THEN 'invalid_calendar' ELSE 'valid' END AS status FROM orders",
-    "currency_scale": f"SELECT o_orderkey AS record_index, 'O-TOTAL' AS field, {_TOTAL}::VARCHAR AS value, 'ok' AS rule_id, false AS admitted_as_money FROM orders UNION ALL SELECT o_orderkey, 'O-TOTAL', {_TOTAL}::VARCHAR, 'CURRENCY-SCALE-MISMATCH', false FROM orders UNION ALL SELECT o_orderkey, 'O-CUST', o_custkey::VARCHAR, 'CURRENCY-ROLE-NOT-AMOUNT', false FROM orders",
+    "currency_scale": f"SELECT o_orderkey AS record_index, 'O-TOTAL' AS field, {_TOTAL}::VARCHAR AS value, '' AS rule_ids, false AS admitted_as_money FROM orders UNION ALL SELECT o_orderkey, 'O-TOTAL', {_TOTAL}::VARCHAR, 'CURRENCY-SCALE-MISMATCH', false FROM orders UNION ALL SELECT o_orderkey, 'O-CUST', o_custkey::VARCHAR, 'CURRENCY-ROLE-NOT-AMOUNT', false FROM orders",
     "redefines_views": "SELECT s_suppkey AS record_index, 'S-BODY' AS view, 'S-BODY' AS field, rtrim(s_name[1:20]) AS value, s_suppkey % 2 <> 0 AS active FROM supplier UNION ALL SELECT s_suppkey, 'S-SPLIT', 'S-HEAD', rtrim(s_name[1:8]), s_suppkey % 2 = 0 FROM supplier UNION ALL SELECT s_suppkey, 'S-SPLIT', 'S-TAIL', rtrim(s_name[9:20]), s_suppkey % 2 = 0 FROM supplier",
     "redact_tokens": "SELECT c_custkey AS record_index, 'C-NAME' AS field, 'TOK-' || sha256('pilot:' || c_name)[1:12] AS value FROM customer",
     "redact_hashes": f"""WITH v AS (SELECT c_custkey AS k, c_mktsegment AS s, {_BAL} AS b FROM customer), h AS (SELECT k, 'C-BALANCE' AS field, b::VARCHAR AS v FROM v UNION ALL SELECT k, 'C-OWED', b::VARCHAR FROM v UNION ALL SELECT k, 'C-OWED-IND', (CASE WHEN b < 0 THEN -1 WHEN b > 5000 THEN 12 ELSE 0 END)::VARCHAR FROM v)
-        SELECT k AS record_index, field, 'hash_only' AS action, NULL AS value, sha256(v) AS value_sha256, 'PRIVACY-UNLISTED-FIELD' AS rule_id FROM h UNION ALL SELECT k, 'C-SEGMENT', 'hash', NULL, sha256(s), '' FROM v UNION ALL SELECT k, 'C-KEY', 'allow', k::VARCHAR, NULL, '' FROM v""",
+        SELECT k AS record_index, field, 'hash_only' AS action, NULL AS value, sha256(v) AS value_sha256, 'PRIVACY-UNLISTED-FIELD' AS rule_id FROM h UNION ALL SELECT k, 'C-SEGMENT', 'hash', NULL, sha256(s), '' FROM v UNION ALL SELECT k, 'C-KEY', 'allow', k::VARCHAR, sha256(k::VARCHAR), '' FROM v""",
     "diff_fields": f"""SELECT coalesce(a.k, b.k) AS record_index, 'C-SEGMENT' AS name, CASE WHEN b.k IS NULL THEN 'DIFF-MISSING-FIELD' ELSE 'DIFF-FIELD-MISMATCH' END AS rule_id, a.s AS "left", b.s AS "right" FROM ({_SEG}) a FULL OUTER JOIN ({_SHIFTED}) b ON a.k = b.k WHERE a.s IS DISTINCT FROM b.s""",
     "diff_totals": f"""SELECT kind, name, 'DIFF-CONTROL-TOTAL-MISMATCH' AS rule_id, a.v AS "left", b.v AS "right" FROM ({_customer_totals('')}) a JOIN ({_customer_totals('WHERE c_custkey % 11 <> 0')}) b USING (kind, name) WHERE a.v <> b.v""",
     "transform_add": f"SELECT o_orderkey AS record_index, CAST(trunc(({_TOTAL} + 12.345) * 100) / 100 AS DECIMAL(18,2)) AS total, true AS changed FROM orders",
@@ -514,5 +746,40 @@ ORACLE_SQL = {
     "raw_slices": "SELECT n_nationkey::BIGINT AS record_index, lower(hex(encode(rpad(n_name, 15, ' ')))) AS raw_hex, 20::BIGINT AS record_len FROM nation",
     "posting_findings": f"SELECT 'POSTING-DUPLICATE-SEQUENCE' AS rule_id, count(*) AS n FROM ({_DUPS}) UNION ALL SELECT 'POSTING-SEQUENCE-GAP', count(*) FROM ({_GAPS}) UNION ALL SELECT 'POSTING-DUPLICATE-TXN-ID', count(*) FROM ({_AGAIN})",
     "record_lines": f"""SELECT n_nationkey::BIGINT AS record_index, '{{"record_index":' || n_nationkey || ',"fields":{{"N-KEY":"' || n_nationkey || '","N-NAME":"' || n_name || '","N-REGION":"' || n_regionkey || '"}},"conditions":{{}},"audit":{{"raw_offset":' || n_nationkey * 20 || ',"raw_len":20,"record_sha256":"' || {_NATION_SHA} || '"}}}}' AS line FROM nation""",
-    "fixture_replay": "SELECT * FROM (VALUES ('FIXTURE-VERDICT-MISMATCH', 'tampered: expected 1, got 0'), ('FIXTURE-NON-CLAIM-REQUIRED', 'tampered'), ('FIXTURE-FINDING-MISMATCH', 'left BANK-NO-TRAILER'), ('FIXTURE-FINDING-MISMATCH', 'right BANK-CONTROL-MISMATCH')) AS t(rule_id, detail)",
+    "fixture_replay": "SELECT * FROM (VALUES ('FIXTURE-VERDICT-MISMATCH', 'tampered: expected mismatch, got pass'), ('FIXTURE-NON-CLAIM-REQUIRED', 'tampered'), ('FIXTURE-FINDING-MISMATCH', 'left BANK-NO-TRAILER'), ('FIXTURE-FINDING-MISMATCH', 'right BANK-CONTROL-MISMATCH')) AS t(rule_id, detail)",
+    "ingest_records": f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS record_index, o_orderkey AS order_key, {_TOTAL} AS total, o_orderstatus AS status FROM orders",
+    "ingest_nth": "SELECT 11::BIGINT AS record_index, 20 AS raw_len, false AS partial, n_name AS name FROM nation WHERE n_nationkey = 11",
+    "ingest_spans": f"SELECT n_nationkey::BIGINT AS record_index, n_nationkey::BIGINT * 20 AS raw_offset, 20 AS raw_len, false AS partial, {_NATION_SHA} AS record_sha256 FROM nation UNION ALL SELECT 25, 500, 7, true, sha256('0099CUT')",
+    "ingest_manifest": " UNION ALL ".join((_manifest("clean", "", 0, 25, 0), _manifest("line-feed-reject", "0A", 1, 0, 2), _manifest("line-feed-allow", "0A", 1, 25, 0), _manifest("line-feed-strip", "0A", 1, 25, 0, stripped=True), _manifest("partial-reject", b"0099CUT".hex(), 7, 0, 2), _manifest("partial-evidence", b"0099CUT".hex(), 7, 26, 1, partial=True))),
+    "reconcile_receipt": f"SELECT 'nation' AS fixture, '{_sha(NATION.text)}' AS copybook_sha256, count(*) AS record_count, 3 AS field_count, 0 AS condition_count, 0::BIGINT AS unsupported_count, sha256(string_agg(line || chr(10), '' ORDER BY k)) AS decode_output_sha256, true AS has_binary, false AS has_comp6 FROM (SELECT n_nationkey AS k, {_LINE} AS line FROM nation)",
+    "reconcile_ledger": "SELECT 'field:X-BAD' AS unsupported, count(*) AS n FROM nation UNION ALL SELECT 'condition:X-ON', count(*) FROM nation UNION ALL SELECT 'all: field:X-BAD,condition:X-ON', 2 * count(*) FROM nation",
+    "strict_decode": "SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation",
+    "posting_manifest": f"{_NATION_CHAIN} SELECT 'unit-1' AS unit_id, (SELECT count(*) FROM nation) AS records, h AS last_hash, 0::BIGINT AS first_seq, 24::BIGINT AS last_seq, 0::BIGINT AS findings FROM c ORDER BY k DESC LIMIT 1",
+    "extract_manifest": f"{_NATION_CHAIN} SELECT 'unit-1' AS unit, 'nation' AS source, (SELECT count(*) FROM nation) AS records, h AS chain_sha256, '{_sha(NATION.text)}' AS copybook_sha256 FROM c ORDER BY k DESC LIMIT 1",
+    "chain_by_ranges": f"{_NATION_CHAIN} SELECT h AS hash, (SELECT count(*) FROM nation) AS records FROM c ORDER BY k DESC LIMIT 1",
+    "bank_report": _report(),
+    "pilot_redaction": """WITH d AS (SELECT * FROM (VALUES (0::BIGINT, 'D', 'ACCT0001', '100.00'), (1, 'D', 'ACCT0002', '50.00'), (2, 'C', 'ACCT0003', '30.00')) AS t(i, p, a, m))
+        SELECT i AS record_index, 'REC-TYPE' AS field, 'allow' AS action, false AS redacted, 'D' AS value, sha256('D') AS value_sha256 FROM d UNION ALL SELECT i, 'DR-CR-IND', 'allow', false, p, sha256(p) FROM d
+        UNION ALL SELECT i, 'ACCT-ID', 'token', true, 'TOK-' || sha256('pilot:' || a)[1:12], sha256(a) FROM d UNION ALL SELECT i, 'AMOUNT', 'allow', false, m, sha256(m) FROM d""",
+    "pilot_packet": "SELECT * FROM (VALUES ('pin redaction', sha256('one')), ('pin extract', sha256('two')), ('notes', sha256('notes')), ('PILOT-MISSING-REQUIRED', 'casefile'), ('done redaction', 'true'), ('done extract', 'true'), ('done casefile', 'false')) AS t(item, text)",
+    "currency_rules": f"""WITH o AS (SELECT o_orderkey AS k, {_TOTAL}::VARCHAR AS v FROM orders)
+        SELECT k AS record_index, 'P-AMT' AS field, v AS value, 2 AS observed_scale, 'USD' AS code, '' AS rule_ids FROM o UNION ALL SELECT k, 'P-AMT', v, 2, NULL, 'CURRENCY-SCALE-MISMATCH,CURRENCY-MISSING-CODE' FROM o
+        UNION ALL SELECT k, 'P-AMT', v, 2, NULL, '' FROM o UNION ALL SELECT k, 'P-RATE', '12.345', NULL, NULL, 'CURRENCY-ROLE-NOT-AMOUNT' FROM o UNION ALL SELECT k, 'P-GONE', NULL, NULL, NULL, 'CURRENCY-MISSING-FIELD' FROM o""",
+    "redact_published": f"""WITH o AS (SELECT o_orderkey AS k, {_TOTAL}::VARCHAR AS v, {_CENTS} || 'c' AS x FROM orders)
+        SELECT k AS record_index, 'P-AMT' AS field, 'hash' AS action, true AS redacted, NULL AS value, sha256(v) AS value_sha256, sha256(unhex(x)) AS raw_sha256, x AS raw_hex, 'PRIVACY-UNLISTED-FIELD' AS rule_id FROM o
+        UNION ALL SELECT k, 'P-RATE', 'token', true, 'TOK-' || sha256('pilot:12.345')[1:12], sha256('12.345'), sha256('12345'), NULL, '' FROM o UNION ALL SELECT k, 'P-CODE', 'hash_only', true, NULL, sha256('USD'), sha256('USD'), NULL, '' FROM o""",
+    "date_findings": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 17 = 0) AS zeros, count(*) FILTER (o_orderkey % 5 = 0) AS odd FROM orders)
+        SELECT 'DATE-INVALID-CALENDAR-DATE' AS rule_id, 'D-DAY: invalid_calendar' AS message, zeros AS n FROM n UNION ALL SELECT 'DATE-SENTINEL-UNDECLARED', 'D-DAY: invalid_calendar', zeros FROM n UNION ALL SELECT 'DATE-INVALID-CALENDAR-DATE', 'D-JUL: invalid_calendar', odd FROM n
+        UNION ALL SELECT 'DATE-INVALID-FORMAT', 'D-PACK: invalid_format', n FROM n UNION ALL SELECT 'DATE-MISSING-FIELD', 'D-NONE: missing', n FROM n""",
+    "banking_decimals": """SELECT 'BANK-DIRTY-DETAIL' AS rule_id, count(*)::DECIMAL(38,2) AS n FROM lineitem UNION ALL SELECT 'BANK-NO-TRAILER', 2.00 UNION ALL SELECT 'observed record_count', count(*)::DECIMAL(38,2) FROM lineitem
+        UNION ALL SELECT 'observed debit_total', 0.00 UNION ALL SELECT 'observed credit_total', 0.00""",
+    "banking_inconsistent": f"""WITH s AS (SELECT count(*) || '.00' AS n, CAST(sum({_PRICE}) FILTER ({_PAID}) AS DECIMAL(38,2))::VARCHAR AS d, CAST(sum({_PRICE}) FILTER (NOT {_PAID}) AS DECIMAL(38,2))::VARCHAR AS c FROM lineitem)
+        SELECT 'BANK-PROFILE-INCONSISTENT' AS rule_id, 'L-PRICE is not declared an amount; nothing is summed' AS message UNION ALL SELECT 'BANK-CONTROL-MISMATCH', 'debit_total: declared ' || d || ' != observed (not summed)' FROM s
+        UNION ALL SELECT 'BANK-CONTROL-MISMATCH', 'credit_total: declared ' || c || ' != observed (not summed)' FROM s UNION ALL SELECT 'record_count', n FROM s UNION ALL SELECT 'debit_total', '(not summed)' UNION ALL SELECT 'credit_total', '(not summed)'""",
+    "diff_note": f"""SELECT * FROM (VALUES ('equal, no oracle', 'DIFF-TARGET-NOT-ORACLE', '{views.NOT_ORACLE.format("not_oracle").replace("'", "''")}'), ('fields not allowed', 'DIFF-TARGET-NOT-ORACLE', '{views.NOT_ORACLE.format("declared_baseline").replace("'", "''")}'),
+        ('fields allowed', 'DIFF-MISSING-FIELD', '3 N-KEY'), ('fields allowed', 'DIFF-MISSING-FIELD', '3 N-NAME'), ('fields allowed', 'DIFF-MISSING-FIELD', '3 N-REGION'), ('one hash', 'DIFF-HASH-MISMATCH', 'out')) AS t("case", rule_id, detail)""",
+    "json_dialects": """SELECT r_regionkey, '{"v":"' || r_name || '\\u0008\\u000c\\n\\t\\u000b\\u001f\\\\b\\""}' AS short, '{"v":"' || r_name || '\\u0008\\u000c\\u000a\\u0009\\u000b\\u001f\\\\b\\""}' AS long FROM region""",
+    "field_map": f"""WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS s, {_BAL}::VARCHAR AS b, {_OWED_IND} AS i FROM customer)
+        SELECT k AS record_index, 'C-KEY' AS field, 0 AS "offset", 9 AS size, 'allow' AS action, sha256(k::VARCHAR) AS value_sha256 FROM c UNION ALL SELECT k, 'C-NAME', 9, 25, 'token', sha256(n) FROM c UNION ALL SELECT k, 'C-SEGMENT', 34, 12, 'hash', sha256(s) FROM c
+        UNION ALL SELECT k, 'C-BALANCE', 46, 9, 'hash_only', sha256(b) FROM c UNION ALL SELECT k, 'C-OWED', 55, 5, 'hash_only', sha256(b) FROM c UNION ALL SELECT k, 'C-OWED-IND', 60, 2, 'hash_only', sha256(i) FROM c""",
 }

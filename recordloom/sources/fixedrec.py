@@ -1,12 +1,16 @@
 """Fixed-length record files as a Spark data source, with ingest policies checked before any record is read.
 
 ``spark.read.format("fixedrec")`` splits a file into ranges of whole records; each task seeks to its range. A filter on
-record_index narrows the ranges. Files are opened through Arrow's file systems, so a path may be local or a store's URI.
+record_index narrows the ranges. A folder stands for its files in the order of their names: records are numbered through, offsets
+are those in their file, and the policy holds for each file. Files are opened through Arrow's file systems, so a path may be
+local or a store's URI.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from enum import IntEnum
@@ -66,11 +70,24 @@ class Span:
     stripped: bool
 
 
+def _at(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
 def _open(path: str):
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs, at = _at(path)
     return fs.open_input_file(at)
 
 
+def files_of(path: str) -> list[str]:
+    """The file itself, or the files of a folder by name, without those that begin with a dot or an underscore."""
+    fs, at = _at(path)
+    if fs.get_file_info(at).type != pafs.FileType.Directory:
+        return [path]
+    found = fs.get_file_info(pafs.FileSelector(at))
+    return [f"{path.rstrip('/')}/{name}" for name in sorted(f.base_name for f in found if f.type == pafs.FileType.File) if name[0] not in "._"]
+
+
 def examine(path: str, policy: Policy) -> Span:
     """Applies the policy to the file's length and last byte; raises IngestError where it refuses."""
     with _open(path) as f:
@@ -92,6 +109,8 @@ def examine(path: str, policy: Policy) -> Span:
 
 @dataclass
 class Range(InputPartition):
+    path: str
+    before: int
     first: int
     count: int
     tail: int
@@ -119,18 +138,21 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        span = examine(self.path, self.policy)
-        all_ = span.records + (span.tail > 0)
-        low, high = max(self.low, 0), all_ - 1 if self.high is None else min(self.high, all_ - 1)
-        step = max(1, self.split // self.policy.record_len)
-        return [Range(a, min(step, high + 1 - a), span.tail if a + step > high and high == all_ - 1 else 0) for a in range(low, high + 1, step)] or [Range(0, 0, 0)]
+        step, out, before = max(1, self.split // self.policy.record_len), [], 0
+        for path in files_of(self.path):
+            span = examine(path, self.policy)
+            n = span.records + (span.tail > 0)
+            low, high = max(self.low - before, 0), n - 1 if self.high is None else min(self.high - before, n - 1)
+            out += [Range(path, before, a, min(step, high + 1 - a), span.tail if a + step > high and high == n - 1 else 0) for a in range(low, high + 1, step)]
+            before += n
+        return out or [Range(self.path, 0, 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         n = self.policy.record_len
         if not part.count:
             return
         step = max(1, _READ_BYTES // n)
-        with _open(self.path) as f:
+        with _open(part.path) as f:
             f.seek(part.first * n)
             for a in range(part.first, part.first + part.count, step):
                 k = min(step, part.first + part.count - a)
@@ -139,7 +161,7 @@ class _Reader(DataSourceReader):
                 cut = [data[i * n : (i + 1) * n] for i in range(k)]
                 index = list(range(a, a + k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(index, pa.int64()), pa.array([i * n for i in index], pa.int64()), pa.array([len(c) for c in cut], pa.int32()), pa.array([len(c) < n for c in cut]), pa.array(cut, pa.binary())],
+                    [pa.array([part.before + i for i in index], pa.int64()), pa.array([i * n for i in index], pa.int64()), pa.array([len(c) for c in cut], pa.int32()), pa.array([len(c) < n for c in cut]), pa.array(cut, pa.binary())],
                     ["record_index", "raw_offset", "raw_len", "partial", "record"],
                 )
 
@@ -159,13 +181,56 @@ class FixedRecordSource(DataSource):
 
 
 def read_records(spark: SparkSession, path: str, policy: Policy, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """record_index, raw_offset, raw_len, partial, record of a file; refused files raise before a plan is made."""
-    examine(path, policy)
+    """record_index, raw_offset, raw_len, partial, record of a file or a folder; refused files raise before a plan is made."""
+    for at in files_of(path):
+        examine(at, policy)
     spark.dataSource.register(FixedRecordSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("fixedrec").options(path=path, record_len=policy.record_len, newline=policy.newline, partial=policy.partial, split_bytes=split_bytes).load()
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the folder that all executors share; one on this machine only where nothing else is used."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="recordloom-")
+    at = f"file://{at[5:]}" if at.startswith("file:/") and not at.startswith("file://") else at
+    return f"{at.rstrip('/')}/recordloom-{label}-{uuid.uuid4().hex}"
+
+
+def write_records(df: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+    """Writes the records (record_index, record) in order to a folder of files that ``read_records`` numbers through.
+
+    Each task writes a range of record_index to a file of its own and renames it when it is whole, so a task that is run again
+    writes the same file. Returns file, records, bytes of each; nothing but these passes through the driver.
+    """
+    folder = folder.rstrip("/")
+    fs, at = _at(folder)
+    fs.create_dir(at, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _at(folder)
+        name, part, n, size, out = None, f"{at}/_{uuid.uuid4().hex}", 0, 0, None
+        for batch in batches:
+            for place, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is None:
+                    name, out = f"part-{place:06}.dat", fs.open_output_stream(part)
+                out.write(record)
+                n, size = n + 1, size + len(record)
+        if out is not None:
+            out.close()
+            fs.move(part, f"{at}/{name}")
+            yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    rows = df.select("record_index", "record")
+    rows = rows.repartitionByRange(files, "record_index") if files else rows.repartitionByRange("record_index")
+    rows = rows.sortWithinPartitions("record_index").select(F.spark_partition_id().alias("place"), "record")
+    made = rows.mapInArrow(run, "file string, records long, bytes long").collect()  # a row for each file
+    return df.sparkSession.createDataFrame(sorted(map(tuple, made)), "file string, records long, bytes long")
+
+
 def nth_record(records: DataFrame, index: int) -> DataFrame:
     return records.where(F.col("record_index") == index)
 

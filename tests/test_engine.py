@@ -11,7 +11,7 @@ from recordloom.functions.decode import CP500, UNSUPPORTED, condition, decode, d
 from recordloom.functions.encode import encode_record
 from recordloom.operators import custody, profiles, recon, route, views
 from recordloom.plans.copybook import CopybookError, compile_layout
-from recordloom.plans.pilot import LeakError, Pilot, run_pilot
+from recordloom.plans.pilot import Evidence, LeakError, Pilot, leaks, run_pilot
 from recordloom.sources.fixedrec import ExitCode, IngestError, Policy, examine, file_manifest, read_records
 
 
@@ -183,6 +183,8 @@ def test_chain_does_not_depend_on_partitions(spark):
         assert custody.record_chain(d).first()["hash"] == want
     in_row = df.agg(F.transform(F.sort_array(F.collect_list(F.struct("record_index", "record"))), lambda x: x["record"]).alias("a")).select(custody.chain_in_row(F.col("a")).alias("h"))
     assert in_row.first()["h"] == want
+    ranges = custody.record_chain(df.repartition(7), most=60).first()
+    assert (ranges["hash"], ranges["records"]) == (want, 500)
 
 
 def test_batch_chain(spark):
@@ -217,13 +219,18 @@ def test_profiles(spark):
     got = [(r["field"], r["status"]) for r in dates.orderBy("record_index", "field").collect()]
     assert [s for f, s in got if f == "D"] == ["valid", "invalid_calendar", "invalid_calendar", "invalid_format"]
     assert [s for f, s in got if f == "J"] == ["valid", "invalid_calendar", "declared_sentinel", "valid"]
-    assert {r["rule_id"] for r in profiles.date_findings(dates).collect()} == {"DATE-MISSING-FIELD", "DATE-INVALID-CALENDAR-DATE", "DATE-SENTINEL-UNDECLARED", "DATE-INVALID-FORMAT"}
+    rules = lambda d: {r["rule_id"] for r in profiles.date_findings(d).collect()}
+    assert rules(dates) == {"DATE-MISSING-FIELD", "DATE-INVALID-CALENDAR-DATE", "DATE-INVALID-FORMAT"}
+    strict = profiles.date_validate(df, layout, (profiles.DateRule("D", require_sentinel=True), profiles.DateRule("A"))).orderBy("record_index", "field").collect()
+    assert [list(r["rule_ids"]) for r in strict if r["field"] == "D"] == [[], *[["DATE-INVALID-CALENDAR-DATE", "DATE-SENTINEL-UNDECLARED"]] * 2, ["DATE-INVALID-FORMAT"]]
+    assert all(list(r["rule_ids"]) == ["DATE-INVALID-FORMAT"] for r in strict if r["field"] == "A")  # packed bytes are no digits of text
     ind = profiles.null_indicators(df, layout, (profiles.Indicator("A", "I"), profiles.Indicator("A", "W"), profiles.Indicator("A", "NO"), profiles.Indicator("NO", "I")))
     first = ind.where("rule_id is null").orderBy("record_index").collect()
     assert [(r["status"], r["value"]) for r in first] == [("null", None), ("present", "123.45"), ("truncated", "123.45"), ("present", "123.45")]
     assert {r["rule_id"] for r in ind.collect()} == {None, "DB2-WRONG-INDICATOR-USAGE", "DB2-MISSING-INDICATOR", "DB2-MISSING-VALUE-FIELD"}
-    cur = profiles.currency_validate(df, layout, (profiles.CurrencyRule("A", "amount", 2, "W"), profiles.CurrencyRule("A", "amount", 3), profiles.CurrencyRule("A", "rate", 2), profiles.CurrencyRule("Z", "amount", 2)))
-    assert {r["rule_id"] for r in cur.collect()} == {"CURRENCY-MISSING-CODE", "CURRENCY-SCALE-MISMATCH", "CURRENCY-ROLE-NOT-AMOUNT", "CURRENCY-MISSING-FIELD"}
+    cur = profiles.currency_validate(df, layout, (profiles.CurrencyRule("A", "amount", 2, "W"), profiles.CurrencyRule("A", "amount", 3, "NO"), profiles.CurrencyRule("A", "amount", 3, scale_is_finding=False), profiles.CurrencyRule("A", "rate", 2), profiles.CurrencyRule("Z", "amount", 2)))
+    got = [(r["field"], r["observed_scale"], r["code"], list(r["rule_ids"])) for r in cur.where("record_index = 0").collect()]
+    assert got == [("A", 2, "", []), ("A", 2, None, ["CURRENCY-SCALE-MISMATCH", "CURRENCY-MISSING-CODE"]), ("A", 2, None, []), ("A", None, None, ["CURRENCY-ROLE-NOT-AMOUNT"]), ("Z", None, None, ["CURRENCY-MISSING-FIELD"])]
     hits = profiles.sentinel_scan(df, layout, (profiles.Sentinel("D", "none", value="0"), profiles.Sentinel("I", "gone", raw_hex="FFFF")))
     assert {(r["record_index"], r["meaning"]) for r in hits.collect()} == {(2, "none"), (0, "gone")}
 
@@ -233,6 +240,9 @@ def test_redaction(spark):
     df = rows(spark, b"000123ANNA007")
     r = {x["field"]: x for x in profiles.redact(df, layout, profiles.Redaction("pilot", {"ID": "token", "N": "hash"})).collect()}
     assert r["ID"]["value"].startswith("TOK-") and len(r["ID"]["value"]) == 16 and r["N"]["value"] is None and r["N"]["raw_hex"] is None and r["Q"]["rule_id"] == "PRIVACY-UNLISTED-FIELD"
+    assert all(r[f]["value_sha256"] and r[f]["raw_sha256"] and r[f]["redacted"] for f in r)
+    kept = {x["field"]: x for x in profiles.redact(df, layout, profiles.Redaction("pilot", {"ID": "allow", "N": "hash_only"}, keep_raw=True)).collect()}
+    assert (kept["Q"]["action"], kept["Q"]["raw_hex"], kept["N"]["raw_hex"], kept["ID"]["redacted"]) == ("hash", "303037", None, False) and kept["ID"]["value_sha256"]
     t = spark.range(1).select(profiles.token(F.lit("ACCT0001"), "pilot").alias("t")).first()["t"]
     assert t == "TOK-5bea7a2f914e"
 
@@ -241,7 +251,11 @@ def test_pilot_and_leaks(spark):
     df = file_of(spark, [("D", "100.00"), ("C", "50.50")], (2, "100.00", "50.50"))
     pilot = Pilot("u1", SPEC, CONTROL, custody.PostingSpec("u1", "ID"), profiles.Redaction("s", {"T": "allow", "P": "allow", "AMT": "allow", "RATE": "allow", "ID": "token", "MEMO": "hash"}))
     out = run_pilot(df, pilot)
-    assert json.loads(out["casefile"])["balanced"] and json.loads(out["packet"])["complete"]
+    assert json.loads(out.texts["casefile"])["balanced"] and json.loads(out.texts["packet"])["complete"]
+    assert out.rows["redaction"].count() == 12 and json.loads(out.texts["packet"])["rows"]["redaction"]["records"] == 12
+    # a clear value of a record far behind the first thousand is found, too
+    far = df.union(file_of(spark, [("Zebra", "1.00")]).where("record_index = 1").withColumn("record_index", F.lit(5000).cast("long")))
+    assert leaks(far, Evidence({"report": "about memo"}, {}), pilot) == ["report"]
     from dataclasses import replace
 
     with pytest.raises(LeakError):
@@ -251,9 +265,39 @@ def test_pilot_and_leaks(spark):
 def test_diff(spark):
     layout = compile_layout("01 R.\n05 A PIC 9(3).\n05 B PIC X(4).\n")
     a, b = decode_long(rows(spark, b"042ANNA"), layout), decode_long(rows(spark, b"043ANNA"), layout)
-    found = views.diff_artifacts(views.Artifacts(fields=a, hashes={"x": "1"}), views.Artifacts(fields=b, hashes={"x": "2"}, is_oracle=True))
-    assert [r["rule_id"] for r in found.collect()] == ["DIFF-FIELD-MISMATCH", "DIFF-HASH-MISMATCH", "DIFF-TARGET-NOT-ORACLE"]
-    assert views.diff_artifacts(views.Artifacts(fields=a), views.Artifacts(fields=a)).count() == 0
+    rules = lambda *x: [r["rule_id"] for r in views.diff_artifacts(*x).collect()]
+    one, other = views.Artifacts(fields=a, hashes={"x": "1"}), views.Artifacts(fields=b, hashes={"x": "2", "y": "3"})
+    assert rules(one, other) == rules(one, other, views.Target(views.ORACLE)) == ["DIFF-FIELD-MISMATCH", "DIFF-HASH-MISMATCH", "DIFF-HASH-MISMATCH"]
+    assert rules(one, other, views.Target(allowed=("field_values",))) == ["DIFF-FIELD-MISMATCH"]
+    assert rules(one, other, views.Target(allowed=("control_totals",))) == ["DIFF-TARGET-NOT-ORACLE"]
+    assert rules(one, one) == ["DIFF-TARGET-NOT-ORACLE"] and rules(one, one, views.Target(views.ORACLE)) == []
+    with pytest.raises(ValueError, match="unknown"):
+        views.Target("trusted")
+
+
+def test_fixture_needs_non_claims_unless_it_passes(spark):
+    none = spark.createDataFrame([], "rule_id string")
+    assert views.replay_fixture(views.Fixture("a", "pass", frozenset()), "pass", none).count() == 0
+    assert [r["rule_id"] for r in views.replay_fixture(views.Fixture("a", "refused", frozenset()), "refused", none).collect()] == ["FIXTURE-NON-CLAIM-REQUIRED"]
+    assert views.replay_fixture(views.Fixture("a", "refused", frozenset(), ("meaning",)), "refused", none).count() == 0
+
+
+def test_stages_are_timed(spark):
+    df = rows(spark, b"042ANNA", b"043BOB ").withColumns({"raw_offset": F.col("record_index") * 7, "raw_len": F.lit(7)})
+    made, seconds = recon.reconcile_profile(df, "01 R.\n05 A PIC 9(3).\n05 B PIC X(4).\n", "two")
+    assert list(seconds) == ["parse", "record", "aggregate"] and all(s > 0 for s in seconds.values()) and made.receipt.first()["record_count"] == 2
+
+
+def test_a_folder_of_files_is_numbered_through(spark, tmp_path):
+    for name, data in (("b.dat", b"33"), ("a.dat", b"1122"), ("_half", b"9"), ("c.dat", b"")):
+        (tmp_path / name).write_bytes(data)
+    df = read_records(spark, str(tmp_path), Policy(2), split_bytes=2)
+    assert [(r["record_index"], r["raw_offset"], bytes(r["record"])) for r in df.orderBy("record_index").collect()] == [(0, 0, b"11"), (1, 2, b"22"), (2, 0, b"33")]
+    assert [bytes(r["record"]) for r in df.where("record_index >= 1 and record_index < 3").orderBy("record_index").collect()] == [b"22", b"33"]
+    assert df.where("record_index = 7").count() == 0
+    (tmp_path / "b.dat").write_bytes(b"3")
+    with pytest.raises(IngestError):
+        read_records(spark, str(tmp_path), Policy(2))
 
 
 def test_stream_of_files(spark, tmp_path):
@@ -277,4 +321,6 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["dump", *args, "--record", "0"], spark) == 0 and "ANNA" in capsys.readouterr().out
     assert main(["decode", *args], spark) == 1 and main(["decode", *args, "--dirty-mode", "strict"], spark) == 2
     assert main(["ingest", "--data", str(tmp_path / "d.dat"), "--record-len", "5"], spark) == 2
+    assert main(["pilot", "--out", str(tmp_path / "packet"), "--notes", "n"], spark) == 0 and json.loads(capsys.readouterr().out)["complete"]
+    assert (tmp_path / "packet" / "casefile.txt").exists() and not any("ACCT0001" in p.read_text() for p in (tmp_path / "packet").rglob("*") if p.is_file() and p.suffix in (".txt", ".json"))
     assert main(["reconcile", *args], spark) == 0 and main(["explain", *args, "--field", "NONE"], spark) == 4
