@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+# Wording of public licenses and notices, with the regions that their texts leave open.
 #: label -> template. A replaceable region gives a pattern for each of its words and how many there may be.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License <<beginOptional>>Version<<endOptional>> 2.0 <<beginOptional>>(the \"License\")<<endOptional>> <<beginOptional>>you may not use this file except in compliance with the License<<endOptional>>",
@@ -28,6 +29,39 @@ TEMPLATES = {
     "copyright-notice": "Copyright <<beginOptional>>(c)<<endOptional>> <<var;name=years;match=[0-9]{4};words=1-3>> <<var;name=holder;match=.+;words=1-8>> All rights reserved",
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "spdx-tag": "SPDX License Identifier <<var;name=id;match=.+;words=1-4>>",
+    "mit-license": """Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;name=work;match=.+;words=1-4>> and associated documentation files
+        <<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+        sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS",
+        WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        <<var;name=holders;match=.+;words=1-10>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+        WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. <<beginOptional>><<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;match=.+;words=1-10>> nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission.<<endOptional>> THIS SOFTWARE IS PROVIDED BY
+        <<var;name=holders;match=.+;words=1-10>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "bsd-3-clause": """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. <<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;match=.+;words=1-10>> nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission.""",
+    "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name=holders;match=.+;words=1-6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+        SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        <<var;name=scheme;match=https?;words=0-1>> <<beginOptional>>www.apache.org/licenses/LICENSE-2.0<<endOptional>>
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
+        express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-notice": """free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU
+        <<beginOptional>><<var;name=kind;match=lesser|affero|library;words=1-1>><<endOptional>> General Public License as published by the Free Software Foundation;
+        <<beginOptional>>either<<endOptional>> version <<var;name=version;match=[1-3];words=1-2>> of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>.""",
+    "zlib": """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
+    "unlicense": """free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+        form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "boost": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+        <<beginOptional>>(the "Software")<<endOptional>> to use, reproduce, display, distribute, execute, and transmit the Software""",
 }
 #: So many mandatory words make a match certain; fewer score in proportion.
 CERTAIN = 5

@@ -39,6 +39,41 @@ def test_matches_equal_brute_force(spark):
     assert "apache-2.0" not in found[2]["labels"] and "mit-text" not in found[14]["labels"]
 
 
+def filled(label, optional=True, words="Some Holder and Others"):
+    """A template's wording with every optional region in or out and every open region filled."""
+    fit = {"lesser|affero|library": "Lesser", "[1-3]": "2", "https?": "https"}
+
+    def walk(parts):
+        out = []
+        for p in parts:
+            out += [p.decode()] if isinstance(p, bytes) else (walk(p) if optional else []) if isinstance(p, list) else [] if p[1] == 0 and not optional else [fit.get(p[0], words if p[2] > 1 else words.split()[0])]
+        return out
+
+    return " ".join(walk(licenses.parse(licenses.TEMPLATES[label])))
+
+
+LONG = ["mit-license", "bsd-2-clause", "bsd-3-clause", "isc", "apache-2.0-notice", "gpl-notice", "zlib", "unlicense", "boost"]
+
+
+def test_whole_licenses(spark):
+    """With and without their optional regions they match; with one mandatory word changed they don't."""
+    texts, want = [], []
+    for label in LONG:
+        for optional in (True, False):
+            text = filled(label, optional)
+            w = text.split()
+            own = [p for p in licenses.parse(licenses.TEMPLATES[label]) if isinstance(p, bytes)]
+            mandatory = [i for i, x in enumerate(licenses.split_words(text)) if x in own and licenses.split_words(licenses.TEMPLATES[label]).count(x) == 1]
+            odd = " ".join([*w[: mandatory[-1]], "otherwise", *w[mandatory[-1] + 1 :]])
+            texts += [f"{prose(1, 40)} {text.upper()}. {prose(2, 40)}", odd]
+            want += [(label, True), (label, False)]
+    found = rows_of(licenses.scan_licenses(docs_of(spark, texts)))
+    for i, (label, there) in enumerate(want):
+        assert (label in found[i]["labels"].split(",")) == there, (label, there, texts[i])
+        assert tuple(found[i])[1:] == brute(texts[i])
+    assert "bsd-3-clause" in found[texts.index(next(t for t, w in zip(texts, want, strict=True) if w == ("bsd-2-clause", True)))]["labels"]
+
+
 def test_awkward_rows(awkward, nothing):
     rows = licenses.scan_licenses(awkward).collect()
     assert len(rows) == awkward.count() and all(r["labels"] == "" and r["first_word"] is None for r in rows)
