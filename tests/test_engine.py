@@ -321,6 +321,6 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["dump", *args, "--record", "0"], spark) == 0 and "ANNA" in capsys.readouterr().out
     assert main(["decode", *args], spark) == 1 and main(["decode", *args, "--dirty-mode", "strict"], spark) == 2
     assert main(["ingest", "--data", str(tmp_path / "d.dat"), "--record-len", "5"], spark) == 2
-    assert main(["pilot", "--out", str(tmp_path / "packet"), "--notes", "n"], spark) == 0 and json.loads(capsys.readouterr().out)["complete"]
+    assert main(["pilot", "--out", str(tmp_path / "packet"), "--notes", "n"], spark) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["complete"]
     assert (tmp_path / "packet" / "casefile.txt").exists() and not any("ACCT0001" in p.read_text() for p in (tmp_path / "packet").rglob("*") if p.is_file() and p.suffix in (".txt", ".json"))
     assert main(["reconcile", *args], spark) == 0 and main(["explain", *args, "--field", "NONE"], spark) == 4
