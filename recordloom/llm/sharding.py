@@ -7,13 +7,15 @@ can be skipped by a filter on any of the dimensions, not only by one on the firs
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import matched, ranked, text_or_empty, written
 
 BITS = 5
+#: The curve is a table of all cells that is broadcast; all dimensions together have at most so many bits, so it has a million rows at most.
+MOST_BITS = 20
 #: Running sums over all rows are taken within so many equal runs, and over their sums.
 CHUNKS = 1024
 #: Bytes that a record costs besides its text.
@@ -48,6 +50,13 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def curve_table(spark: SparkSession, dims: int, bits: int) -> DataFrame:
+    """cell, own: the index along the curve of each cell; a cell is the dimensions' numbers, the first in the highest bits."""
+    cell = np.arange(1 << (dims * bits), dtype=np.int64)
+    points = np.stack([(cell >> (bits * (dims - 1 - i))) & ((1 << bits) - 1) for i in range(dims)], axis=1)
+    return spark.createDataFrame(pa.table({"cell": cell, "own": hilbert_index(points, bits)}))
+
+
 def _boundaries(df: DataFrame, c: str, bits: int) -> list:
     """At most 2**bits - 1 ascending values of a column that cut its rows into nearly equal parts; none for nulls."""
     values = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
@@ -81,22 +90,20 @@ def hilbert_shards(docs: DataFrame, dims: dict[str, Column], shards: int = 40, l
     size and by doc_id: equal texts follow each other, and only a cut between two shards can part them. Under the law ``rows``
     the shards' row counts are at most one apart; under ``bytes`` a row's shard follows from the bytes before it. slot counts
     from 0 without gaps. Repeated rows get slots of their own; a null text is empty, without bytes and of checksum 0; an empty
-    table gives no rows.
+    table gives no rows. With many dimensions each has fewer bits, MOST_BITS in all.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law}")
     text = text_or_empty()
     rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), *(c.alias(f"dim_{k}") for k, c in dims.items()))
     rows = written(rows, "dims")
-    names = [f"dim_{k}" for k in dims]
-    cells = [_cell(c, _boundaries(rows, c, bits)).cast("int") for c in names]
-
-    @F.pandas_udf("long")
-    def curve(*columns: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
-
+    bits = max(1, min(bits, MOST_BITS // len(dims)))
+    cell = F.lit(0).cast("long")
+    for k in dims:
+        cell = cell * (1 << bits) + _cell(f"dim_{k}", _boundaries(rows, f"dim_{k}", bits)).cast("long")
     group = ["same", "text_crc32", "size"]
-    rows = written(rows.select("doc_id", *group, curve(*cells).alias("own")), "own")
+    curve = F.broadcast(curve_table(docs.sparkSession, len(dims), bits))
+    rows = written(rows.select("doc_id", *group, cell.alias("cell")).join(curve, "cell").drop("cell"), "own")
     apart = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
     apart = written(apart.drop("most"), "apart")
     rows = matched(rows, apart, group, rows.count(), how="left").withColumn("curve", F.coalesce("least", "own")).drop("least", "own")

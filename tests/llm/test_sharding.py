@@ -74,7 +74,7 @@ def test_order_and_cuts_equal_brute_force(spark, monkeypatch):
 
 
 def test_runs_are_narrow_in_every_dimension(spark):
-    rows = [(i, "t", f"s{i % 16:02}", (i * 7919) % 4096) for i in range(4096)]
+    rows = [(i, f"t{i}", f"s{i % 16:02}", (i * 7919) % 4096) for i in range(4096)]  # equal texts would lie together
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     found = sharding.hilbert_shards(docs, {"source": F.col("source"), "n_chars": F.col("n_chars")}, shards=64)
     spans = found.join(docs.drop("text"), "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("s"), (F.max("n_chars") - F.min("n_chars")).alias("w")).collect()
