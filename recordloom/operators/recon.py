@@ -111,14 +111,17 @@ def reconcile_profile(df: DataFrame, copybook: str, fixture: str, resolver: Call
 def control_totals(df: DataFrame, layout: Layout, encoding: str = ASCII) -> DataFrame:
     """kind, name, total, count: records, exact sums of valid numeric values, true conditions, invalid and unsupported counts.
 
-    One aggregation over the scan; sums are exact decimals that fail on overflow rather than saturate.
+    One aggregation over the scan; sums are exact decimals that fail on overflow rather than saturate. A numeric field has a
+    number just where its bytes are valid, so its sum and its counts come from one decoding.
     """
     layout.check_keys()
     numeric = [f for f in layout.elementary() if f.category == "numeric"]
     other = [f for f in layout.elementary() if f.category in ("alphanumeric", "edited")]
     aggs = [F.count("*").alias("n")]
-    aggs += [F.sum(F.when(valid(f, encoding), number(f, encoding)).cast(f"decimal(38,{f.pic.scale})")).alias(f"s{i}") for i, f in enumerate(numeric)]
-    aggs += [F.count_if(~valid(f, encoding)).alias(f"i{i}") for i, f in enumerate(numeric + other)]
+    numbers = [F.when(F.length("record") >= f.offset + f.size, number(f, encoding)) for f in numeric]
+    aggs += [F.sum(v.cast(f"decimal(38,{f.pic.scale})")).alias(f"s{i}") for i, (f, v) in enumerate(zip(numeric, numbers, strict=True))]
+    aggs += [(F.count("*") - F.count(v)).alias(f"i{i}") for i, v in enumerate(numbers)]
+    aggs += [F.count_if(~valid(f, encoding)).alias(f"i{i}") for i, f in enumerate(other, len(numeric))]
     aggs += [F.count_if(condition(c, layout, encoding)).alias(f"c{i}") for i, c in enumerate(layout.conditions)]
     one = df.agg(*aggs)
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
