@@ -71,6 +71,12 @@ def chain_in_row(records: Column) -> Column:
     return F.aggregate(records, F.lit(""), lambda h, r: F.sha2(F.concat(h.cast("binary"), r), 256))
 
 
+def unit_chains(df: DataFrame, unit: str, order: str = "record_index", record: str = "record") -> DataFrame:
+    """unit, hash, records: a chain of its own for each unit, all units at once; a unit's records must fit a row."""
+    rows = df.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(record).cast("binary").alias("r")))).alias("all"))
+    return rows.select(unit, chain_in_row(F.transform("all", lambda x: x["r"])).alias("hash"), F.size("all").cast("long").alias("records"))
+
+
 def ordered_digest(df: DataFrame, order: str, text: str) -> DataFrame:
     """hash, records: sha256 over all texts in order, each with a line feed after it.
 

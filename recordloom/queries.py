@@ -516,6 +516,14 @@ def chain_by_ranges(spark, sf_dir):
     return custody.record_chain(_nations(spark, sf_dir), most=7)
 
 
+def order_chains(spark, sf_dir):
+    """A record chain for each order over its lines, whose bytes are made by hand."""
+    key, no = F.col("l_orderkey"), F.col("l_linenumber")
+    text = F.concat(F.lpad(key.cast("string"), 10, "0"), F.lpad(no.cast("string"), 3, "0"), F.col("l_returnflag"))
+    rows = _table(spark, sf_dir, "lineitem").select(key.alias("unit"), no.alias("record_index"), F.encode(text, "US-ASCII").alias("record"))
+    return custody.unit_chains(rows, "unit")
+
+
 def bank_report(spark, sf_dir):
     """The operator's report as JSON and as text."""
     totals, found = route.reconcile_banking(_with_trailer(spark, sf_dir), _variants(), CONTROL)
@@ -637,7 +645,7 @@ QUERIES = {f.__name__: f for f in (
     dirty_totals, explain_long, explain_one, variant_route, variant_counts, banking_reconcile, banking_tampered, batch_control, record_hash, posting_sequence_dups, posting_sequence_gaps, posting_txn_dups, posting_chain,
     batch_chain, batch_chain_verify, db2_indicators, sentinel_scan, date_validate, currency_scale, redefines_views, redact_tokens, redact_hashes, diff_fields, diff_totals, transform_add, transform_set_true, transform_delta,
     status_totals, raw_slices, posting_findings, record_lines, field_map, fixture_replay, ingest_records, ingest_nth, ingest_spans, ingest_manifest, reconcile_receipt, reconcile_ledger, strict_decode, posting_manifest,
-    extract_manifest, chain_by_ranges, bank_report, pilot_redaction, pilot_packet, currency_rules, redact_published, date_findings, banking_decimals, banking_inconsistent, diff_note, json_dialects,
+    extract_manifest, chain_by_ranges, order_chains, bank_report, pilot_redaction, pilot_packet, currency_rules, redact_published, date_findings, banking_decimals, banking_inconsistent, diff_note, json_dialects,
 )}
 
 _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
@@ -757,6 +765,7 @@ ORACLE_SQL = {
     "posting_manifest": f"{_NATION_CHAIN} SELECT 'unit-1' AS unit_id, (SELECT count(*) FROM nation) AS records, h AS last_hash, 0::BIGINT AS first_seq, 24::BIGINT AS last_seq, 0::BIGINT AS findings FROM c ORDER BY k DESC LIMIT 1",
     "extract_manifest": f"{_NATION_CHAIN} SELECT 'unit-1' AS unit, 'nation' AS source, (SELECT count(*) FROM nation) AS records, h AS chain_sha256, '{_sha(NATION.text)}' AS copybook_sha256 FROM c ORDER BY k DESC LIMIT 1",
     "chain_by_ranges": f"{_NATION_CHAIN} SELECT h AS hash, (SELECT count(*) FROM nation) AS records FROM c ORDER BY k DESC LIMIT 1",
+    "order_chains": "SELECT l_orderkey AS unit, list_reduce(list(lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 3, '0') || l_returnflag ORDER BY l_linenumber, l_returnflag), lambda h, x: sha256(h || x), '') AS hash, count(*) AS records FROM lineitem GROUP BY l_orderkey",
     "bank_report": _report(),
     "pilot_redaction": """WITH d AS (SELECT * FROM (VALUES (0::BIGINT, 'D', 'ACCT0001', '100.00'), (1, 'D', 'ACCT0002', '50.00'), (2, 'C', 'ACCT0003', '30.00')) AS t(i, p, a, m))
         SELECT i AS record_index, 'REC-TYPE' AS field, 'allow' AS action, false AS redacted, 'D' AS value, sha256('D') AS value_sha256 FROM d UNION ALL SELECT i, 'DR-CR-IND', 'allow', false, p, sha256(p) FROM d

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def record_stream(spark: SparkSession, folder: str, record_len: int, glob: str = "*", files_per_trigger: int = 16) -> DataFrame:
     """path, modified, record_index, raw_offset, raw_len, partial, record of each new file.
 
-    A file is read whole by one task, so this suits arriving batches; ``read_records`` splits large files.
+    A file is read whole by one task, which holds it twice at most, so this suits arriving batches; ``read_records`` splits large files.
     """
     files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).load(folder)
     n = F.ceil(F.col("length") / record_len).cast("int")
-    index = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("i")
-    rows = files.select(F.col("path"), F.col("modificationTime").alias("modified"), "content", index)
-    record = F.substring("content", F.col("i") * record_len + 1, F.lit(record_len))
-    at = F.col("i").cast("long")
-    return rows.select("path", "modified", at.alias("record_index"), (at * record_len).alias("raw_offset"), F.length(record).alias("raw_len"), (F.length(record) < record_len).alias("partial"), record.alias("record"))
+    # cut before the explode, which would copy a column of the whole content to every record
+    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(index, lambda i: F.substring("content", i * record_len + 1, F.lit(record_len)))
+    rows = files.select(F.col("path"), F.col("modificationTime").alias("modified"), F.posexplode(cut).alias("i", "record"))
+    at, size = F.col("i").cast("long"), F.length("record")
+    return rows.select("path", "modified", at.alias("record_index"), (at * record_len).alias("raw_offset"), size.alias("raw_len"), (size < record_len).alias("partial"), "record")
