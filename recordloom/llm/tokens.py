@@ -42,6 +42,8 @@ def encoding(path: str, pattern: str = PATTERN):
 def encoded(encoder, text: str) -> np.ndarray:
     """The tokens of the whole text. A long run of white space but its last character, or all of it at the end of the text, is one
     piece to the pattern; what stands before and after it is cut the same without it."""
+    if len(text) < 10_000:  # too short to hold such a run
+        return encoder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
     parts, at = [], 0
     for m in LONG_SPACE.finditer(text):
         to = m.end() if m.end() == len(text) else m.end() - 1
