@@ -71,11 +71,17 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_copies(_documents(spark, sf_dir)).drop("source")
 
 
+def op11_line_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill_digests
+
+    return infill_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index_search, op2_section_tokens, op3_factorized_toxicity, op4_hilbert_shards, op5_template_licenses, op6_entropy_secrets, op7_deep_shallow_dedup, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark)}
+    return {f.__name__: f for f in (op1_multi_index_search, op2_section_tokens, op3_factorized_toxicity, op4_hilbert_shards, op5_template_licenses, op6_entropy_secrets, op7_deep_shallow_dedup, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark, op11_line_infill)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import contamination, licenses, secrets
+    from . import contamination, infill, licenses, secrets
 
-    return {"op5_template_licenses": licenses.oracle(), "op6_entropy_secrets": secrets.oracle(), "op10_contained_benchmark": contamination.oracle()}
+    return {"op5_template_licenses": licenses.oracle(), "op6_entropy_secrets": secrets.oracle(), "op10_contained_benchmark": contamination.oracle(), "op11_line_infill": infill.oracle()}
