@@ -79,6 +79,26 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank", label: str =
     return out.withColumn(name, F.col("__before") + F.col(at).bitwiseAND((1 << 33) - 1)).drop("__part", "__before", at), total
 
 
+def running(df: DataFrame, amount: str, *order: Column | str, name: str, label: str) -> DataFrame:
+    """df with ``name``, the sum of ``amount`` over all rows before in the order."""
+    schema = df.schema
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            upto = before + np.cumsum(batch.column(amount).to_numpy(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - batch.column(amount).to_numpy())], [*batch.schema.names, "__before"])
+            before = int(upto[-1]) if len(upto) else before
+
+    summed = written(placed.mapInArrow(run, f"{fields}, __part int, __before long"), label)
+    sums = sorted((r["__part"], r["s"]) for r in summed.groupBy("__part").agg(F.sum(amount).alias("s")).collect())  # a row for each partition
+    starts = np.concatenate([[0], np.cumsum([s for _, s in sums])]).tolist()
+    known = df.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(sums, starts, strict=False)], "__part int, __start long")
+    return summed.join(F.broadcast(known), "__part").withColumn(name, F.col("__start") + F.col("__before")).drop("__part", "__start", "__before")
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

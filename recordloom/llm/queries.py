@@ -77,11 +77,25 @@ def op11_line_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(_documents(spark, sf_dir))
 
 
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked_documents
+
+    return ranked_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packed
+
+    return packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids", "source")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index_search, op2_section_tokens, op3_factorized_toxicity, op4_hilbert_shards, op5_template_licenses, op6_entropy_secrets, op7_deep_shallow_dedup, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark, op11_line_infill)}
+    return {f.__name__: f for f in (op1_multi_index_search, op2_section_tokens, op3_factorized_toxicity, op4_hilbert_shards, op5_template_licenses, op6_entropy_secrets, op7_deep_shallow_dedup, op8_minmax_neardup, op9_entropy_mix, op10_contained_benchmark, op11_line_infill, op12_threshold_search, op13_mixture_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import contamination, infill, licenses, secrets
+    from . import contamination, infill, lexical, licenses, secrets
 
-    return {"op5_template_licenses": licenses.oracle(), "op6_entropy_secrets": secrets.oracle(), "op10_contained_benchmark": contamination.oracle(), "op11_line_infill": infill.oracle()}
+    return {"op5_template_licenses": licenses.oracle(), "op6_entropy_secrets": secrets.oracle(), "op10_contained_benchmark": contamination.oracle(), "op11_line_infill": infill.oracle(), "op12_threshold_search": lexical.oracle()}
