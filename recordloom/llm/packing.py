@@ -25,7 +25,7 @@ from . import common
 
 WINDOW = 2048
 #: A packet's largest number of tokens; the share of a source in a window is off its target by less than that.
-PACKET = 512
+PACKET = 256
 END = 1
 #: Entries after which a task's tables of words begin anew.
 KNOWN = 300_000
