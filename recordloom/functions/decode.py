@@ -160,7 +160,11 @@ def typed(f: Field, encoding: str = ASCII, record: str = "record") -> Column:
 
 def condition(c: Condition, layout: Layout, encoding: str = ASCII, record: str = "record") -> Column:
     """True, false, or null where the parent has no value. Text compares as if padded with spaces."""
-    f = layout.field(c.parent)
+    return holds(c, layout.field(c.parent), encoding, record)
+
+
+def holds(c: Condition, f: Field, encoding: str = ASCII, record: str | Column = "record") -> Column:
+    """The condition on a field at its place in ``record``."""
     if f.category == "numeric":
         v = number(f, encoding, record)
         lit = lambda x: F.lit(Decimal(x))

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,23 +95,59 @@ def ordered_digest(df: DataFrame, order: str, text: str) -> DataFrame:
     return df.select(F.col(order), F.col(text)).repartition(1).sortWithinPartitions(order).mapInArrow(run, "hash string, records long")
 
 
+def sequence_words(df: DataFrame, seq: str) -> DataFrame:
+    """w, bits, n: a sequence set as words of 64 values from 64 w on, a bit for each value that occurs, and how many rows have one.
+
+    One hash aggregation on longs, with partial sums before the shuffle: no value is sorted, and what is shuffled is a
+    row for each task and word.
+    """
+    v = F.col("v")
+    return df.where(F.col(seq).isNotNull()).select(F.col(seq).cast("long").alias("v")).groupBy(F.shiftright(v, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v & 63 AS int))")).alias("bits"), F.count("*").alias("n"))
+
+
 def sequence_duplicates(df: DataFrame, seq: str) -> DataFrame:
-    """value, times of sequence values that occur more than once."""
-    return df.where(F.col(seq).isNotNull()).groupBy(F.col(seq).alias("value")).agg(F.count("*").alias("times")).where("times > 1")
+    """value, times of sequence values that occur more than once.
+
+    Only values of words that have more rows than bits are counted one by one.
+    """
+    words = sequence_words(df, seq).where(F.col("n") > F.bit_count("bits")).select("w")
+    values = df.where(F.col(seq).isNotNull()).withColumn("w", F.shiftright(F.col(seq).cast("long"), 6))
+    return values.join(words, "w", "left_semi").groupBy(F.col(seq).alias("value")).agg(F.count("*").alias("times")).where("times > 1")
+
+
+def _bucket_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """first, last of the missing runs between a bucket's values, and as b, lo, hi its number and outermost values."""
+    for batch in batches:
+        out = []
+        for b, words in zip(batch.column("b").to_pylist(), batch.column("words"), strict=True):
+            bits = np.zeros(1 << 9, "<i8")
+            bits[words.values.field("w").to_numpy() - (b << 9)] = words.values.field("bits").to_numpy()
+            found = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")) + (b << 15)
+            cut = np.flatnonzero(np.diff(found) > 1)
+            out.append((b, int(found[0]), int(found[-1]), [{"first": f, "last": t} for f, t in zip((found[cut] + 1).tolist(), (found[cut + 1] - 1).tolist(), strict=True)]))
+        if out:
+            runs = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), runs), strict=True)], ["b", "lo", "hi", "gaps"])
 
 
 def sequence_gaps(df: DataFrame, seq: str) -> DataFrame:
     """first, last of each run of values that are missing between two that occur.
 
-    Values are range partitioned; neighbours across two partitions are compared by each partition's first and last value, so no
-    single task sees all values.
+    Words of 64 values are gathered into buckets of 512 words, in each of which a task finds the gaps. Gaps between buckets come
+    from their outermost values: neighbours are compared within groups of 32,768 buckets, then within groups of such groups, so
+    every step sees a bounded number of rows at a time and none sees the values.
     """
-    values = df.where(F.col(seq).isNotNull()).select(F.col(seq).cast("long").alias("v")).distinct()
-    placed = values.repartitionByRange("v").withColumn("p", F.spark_partition_id()).checkpoint()
-    inside = placed.select("v", F.lead("v").over(Window.partitionBy("p").orderBy("v")).alias("n"))
-    edges = placed.groupBy("p").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row for each partition
-    across = edges.select(F.col("hi").alias("v"), F.lead("lo").over(Window.orderBy("lo")).alias("n"))
-    return inside.union(across).where("n > v + 1").select((F.col("v") + 1).alias("first"), (F.col("n") - 1).alias("last"))
+    word = F.struct("w", "bits")
+    buckets = sequence_words(df, seq).groupBy(F.shiftright("w", 9).alias("b")).agg(F.collect_list(word).alias("words"))
+    buckets = buckets.mapInArrow(_bucket_gaps, "b long, lo long, hi long, gaps array<struct<first:bigint,last:bigint>>").checkpoint()
+    out = buckets.select(F.explode("gaps").alias("g")).select("g.*")
+    edges = buckets.select("b", "lo", "hi")
+    for group in (*[F.shiftright("b", 15)] * 3, F.lit(0)):  # 49 bits of bucket numbers; the last step sees 16 rows at most
+        after = F.lead("lo").over(Window.partitionBy(group).orderBy("b"))
+        between = edges.select(F.when(after.isNotNull(), F.col("hi") + 1).alias("first"), (after - 1).alias("last"))
+        out = out.union(between.where("first <= last"))
+        edges = edges.groupBy(group.alias("b")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return out
 
 
 def repeated_ids(df: DataFrame, ident: str, order: str = "record_index") -> DataFrame:

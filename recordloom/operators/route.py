@@ -66,6 +66,19 @@ def decode_variant(df: DataFrame, spec: VariantSpec, name: str, encoding: str =
     return df.where(F.coalesce(spec.route() == name, F.lit(False))).select("*", *(typed(f, encoding).alias(f.name) for f in v.layout.elementary()))
 
 
+def decode_variants(df: DataFrame, spec: VariantSpec, encoding: str = ASCII) -> DataFrame:
+    """df with variant (null: refused) and fields, which has a struct for each declared type: null but for the record's own.
+
+    All types are decoded in the same pass over the records. A record is typed by the first type whose discriminator it has;
+    of two fields with one name in a type's layout the query would lose one, so these are refused.
+    """
+    for v in spec.variants:
+        v.layout.check_keys()
+    kind = spec.route()
+    own = [F.when(kind == v.name, F.struct(*(typed(f, encoding).alias(f.name) for f in v.layout.elementary()))).alias(v.name) for v in spec.variants]
+    return df.select("*", kind.alias("variant"), F.struct(*own).alias("fields"))
+
+
 @dataclass(frozen=True)
 class Control:
     """Which variants are detail and trailer, what is summed by which polarity, and where the trailer declares totals."""

@@ -33,6 +33,62 @@ def diff_fields(left: DataFrame, right: DataFrame, key: str = "record_index", na
     return j.withColumn("rule_id", rule).where("rule_id is not null").select(key, name, "rule_id", "left", "right")
 
 
+#: Keys of a leaf of a digest tree, and leaves of a node above.
+LEAF_KEYS, FAN_OUT = 4096, 1024
+
+
+def digest_tree(long: DataFrame, key: str = "record_index", name: str = "name", value: str = "value", width: int = LEAF_KEYS) -> DataFrame:
+    """leaf, rows, x, y, total: a digest of all fields of each range of ``width`` keys, whatever the order of rows.
+
+    Written next to an artifact it can be compared again without reading the artifact. Digests are two 64-bit exclusive ors
+    of hashes under different seeds, with a count and an exact sum, so that repeated rows don't cancel. Null differs from empty.
+    """
+    cells = [F.col(key), F.col(name), F.col(value), F.col(value).isNull(), F.col(name).isNull()]
+    hashed = long.select(F.floor(F.col(key) / width).cast("long").alias("leaf"), F.xxhash64(F.lit(1), *cells).alias("h"), F.xxhash64(F.lit(2), *cells).alias("g"))
+    return hashed.groupBy("leaf").agg(F.count("*").alias("rows"), F.bit_xor("h").alias("x"), F.bit_xor("g").alias("y"), F.sum(F.col("g").cast("decimal(38,0)")).alias("total"))
+
+
+def differing_leaves(left: DataFrame, right: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """leaf of each range whose digests in two trees differ, or that one tree alone has.
+
+    Nodes of ``fan_out`` leaves are compared first; only leaves of nodes that differ are joined.
+    """
+
+    def nodes(tree: DataFrame) -> DataFrame:
+        return tree.groupBy(F.floor(F.col("leaf") / fan_out).alias("node")).agg(F.sum("rows").alias("rows"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.sum("total").cast("decimal(38,0)").alias("total"))
+
+    def apart(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+        digest = F.struct("rows", "x", "y", "total")
+        j = a.select(on, digest.alias("a")).join(b.select(on, digest.alias("b")), on, "full_outer")
+        return j.where(~F.col("a").eqNullSafe(F.col("b"))).select(on)
+
+    open_ = apart(nodes(left), nodes(right), "node")
+    inside = lambda tree: tree.withColumn("node", F.floor(F.col("leaf") / fan_out)).join(open_, "node", "left_semi")
+    return apart(inside(left), inside(right), "leaf")
+
+
+def diff_ranges(left: DataFrame, right: DataFrame, key: str = "record_index", name: str = "name", value: str = "value", width: int = LEAF_KEYS, trees: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> DataFrame:
+    """The rows of ``diff_fields``, found by digests of key ranges first.
+
+    Only the rows of ranges that differ are joined, so what is shuffled falls with what is equal. trees are digest trees of the
+    sides of the same ``width``, where they are known; keys are whole numbers, and rows without one are always compared.
+    """
+    made = [t if t is not None else digest_tree(d, key, name, value, width) for t, d in zip(trees, (left, right), strict=True)]
+    leaves = differing_leaves(*made).checkpoint()
+    return diff_fields(*(in_leaves(d, leaves, key, width) for d in (left, right)), key, name, value)
+
+
+def in_leaves(long: DataFrame, leaves: DataFrame, key: str, width: int) -> DataFrame:
+    """The rows whose key is in one of the leaves, or null."""
+    leaf = F.floor(F.col(key) / width).cast("long")
+    few = F.broadcast(leaves) if leaves.count() <= LEAVES_BROADCAST else leaves
+    return long.withColumn("__leaf", leaf).join(few.withColumnRenamed("leaf", "__leaf"), "__leaf", "left_semi").drop("__leaf").union(long.where(F.col(key).isNull()))
+
+
+#: Differing leaves, counted, up to which their numbers are broadcast.
+LEAVES_BROADCAST = 1_000_000
+
+
 def diff_sets(left: DataFrame, right: DataFrame, column: str, rule: str = "DIFF-FINDING-SET-MISMATCH") -> DataFrame:
     """rule_id, value, side: distinct values that one side alone has."""
     a, b = left.select(F.col(column).alias("value")).distinct(), right.select(F.col(column).alias("value")).distinct()

@@ -89,6 +89,17 @@ class Field:
     depending: str | None = None
     source: str = ""
     line: int = 0
+    least: int = 1
+
+
+@dataclass(frozen=True)
+class Item:
+    """An item of the schema tree: its field, at an offset from its parent's first byte; the bytes of one occurrence; its children."""
+
+    field: Field
+    stride: int
+    children: tuple[Item, ...] = ()
+    conditions: tuple[Condition, ...] = ()
 
 
 @dataclass
@@ -108,6 +119,7 @@ class Layout:
     text: str
     expanded: str
     used_copy: bool
+    roots: tuple[Item, ...] = ()
 
     def elementary(self) -> tuple[Field, ...]:
         return tuple(f for f in self.fields if f.category != "group")
@@ -183,7 +195,7 @@ def _item(tokens: list[str], source: str, line: int) -> Field:
         name, rest = rest[0].upper(), rest[1:]
     pic = usage = redefines = depending = None
     unknown = separate = leading = False
-    occurs, i = 1, 0
+    least, occurs, i = 1, 1, 0
     upper = [t.upper() for t in rest]
     while i < len(rest):
         t = upper[i]
@@ -199,7 +211,8 @@ def _item(tokens: list[str], source: str, line: int) -> Field:
         elif t == "REDEFINES":
             redefines, i = upper[i + 1], i + 2
         elif t == "OCCURS":
-            occurs, i = int(rest[i + 1]), i + 2
+            least = occurs = int(rest[i + 1])
+            i += 2
             if i + 1 < len(rest) and upper[i] == "TO":
                 occurs, i = int(rest[i + 1]), i + 2
         elif t == "DEPENDING":
@@ -213,13 +226,17 @@ def _item(tokens: list[str], source: str, line: int) -> Field:
         else:
             i += 1
     if pic is None:
-        return Field(name, level, 0, 0, "unsupported" if unknown else "group", redefines=redefines, occurs=occurs, depending=depending, source=source, line=line)
+        return Field(name, level, 0, 0, "unsupported" if unknown else "group", redefines=redefines, occurs=occurs, depending=depending, source=source, line=line, least=least)
     p = parse(pic)
     category = "unsupported" if unknown or (p.category == "numeric" and usage == "COMP-6" and p.signed) else p.category
     if category == "numeric" and usage in ("COMP", "COMP-5", "COMP-X") and storage_bytes(p, usage) > 8:
         category = "unsupported"
     size = storage_bytes(p, usage, separate)
-    return Field(name, level, 0, size, category, p, usage or "DISPLAY", separate, leading, redefines=redefines, occurs=occurs, depending=depending, source=source, line=line)
+    return Field(name, level, 0, size, category, p, usage or "DISPLAY", separate, leading, redefines=redefines, occurs=occurs, depending=depending, source=source, line=line, least=least)
+
+
+def _names(item: Item) -> set[str]:
+    return {item.field.name} | {n for c in item.children for n in _names(c)}
 
 
 def compile_layout(text: str, resolver: Resolver | dict[str, str] = no_copy) -> Layout:
@@ -274,9 +291,27 @@ def compile_layout(text: str, resolver: Resolver | dict[str, str] = no_copy) ->
             end = max(end, here)
         return end
 
+    def shape(nodes: list[_Node], seen: frozenset[str]) -> tuple[tuple[Item, ...], int]:
+        """The schema tree of some siblings, and their bytes. seen: names that stand before, which an ODO may depend on."""
+        out: list[Item] = []
+        start: dict[str, int] = {}
+        end = 0
+        for node in nodes:
+            item = node.item
+            if item.depending is not None and (item.depending not in seen or not 0 <= item.least <= item.occurs):
+                raise CopybookError(f"{item.name} depends on {item.depending}, which is not before it, or its bounds are no range")
+            children, inside = shape(node.children, seen)
+            stride = inside if item.category == "group" else item.size
+            at = start[item.redefines] if item.redefines else end
+            start[item.name] = at
+            out.append(Item(replace(item, offset=at, size=stride), stride, children, tuple(Condition(c, item.name, v, q) for c, v, q in node.conditions)))
+            end = max(end, at + stride * item.occurs)
+            seen = seen | {item.name} | {n for c in children for n in _names(c)}
+        return tuple(out), end
+
     length = 0
     for root in roots:
         length = max(length, lay([root], 0, "", ()))
     if not fields:
         raise CopybookError("the copybook has no item")
-    return Layout(tuple(fields), tuple(conditions), length, text, expanded_text(lines), any(s != "(main)" for _, s, _ in lines))
+    return Layout(tuple(fields), tuple(conditions), length, text, expanded_text(lines), any(s != "(main)" for _, s, _ in lines), tuple(shape([root], frozenset())[0][0] for root in roots))

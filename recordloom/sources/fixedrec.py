@@ -116,6 +116,25 @@ class Range(InputPartition):
     tail: int
 
 
+def read_range(part: Range, n: int) -> Iterator[pa.RecordBatch]:
+    """The records of a range, n bytes each; the last may be a tail of fewer."""
+    if not part.count:
+        return
+    step = max(1, _READ_BYTES // n)
+    with _open(part.path) as f:
+        f.seek(part.first * n)
+        for a in range(part.first, part.first + part.count, step):
+            k = min(step, part.first + part.count - a)
+            last = a + k == part.first + part.count
+            data = f.read(k * n if not (last and part.tail) else (k - 1) * n + part.tail)
+            cut = [data[i * n : (i + 1) * n] for i in range(k)]
+            index = list(range(a, a + k))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.before + i for i in index], pa.int64()), pa.array([i * n for i in index], pa.int64()), pa.array([len(c) for c in cut], pa.int32()), pa.array([len(c) < n for c in cut]), pa.array(cut, pa.binary())],
+                ["record_index", "raw_offset", "raw_len", "partial", "record"],
+            )
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -148,22 +167,7 @@ class _Reader(DataSourceReader):
         return out or [Range(self.path, 0, 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        n = self.policy.record_len
-        if not part.count:
-            return
-        step = max(1, _READ_BYTES // n)
-        with _open(part.path) as f:
-            f.seek(part.first * n)
-            for a in range(part.first, part.first + part.count, step):
-                k = min(step, part.first + part.count - a)
-                last = a + k == part.first + part.count
-                data = f.read(k * n if not (last and part.tail) else (k - 1) * n + part.tail)
-                cut = [data[i * n : (i + 1) * n] for i in range(k)]
-                index = list(range(a, a + k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.before + i for i in index], pa.int64()), pa.array([i * n for i in index], pa.int64()), pa.array([len(c) for c in cut], pa.int32()), pa.array([len(c) < n for c in cut]), pa.array(cut, pa.binary())],
-                    ["record_index", "raw_offset", "raw_len", "partial", "record"],
-                )
+        return read_range(part, self.policy.record_len)
 
 
 class FixedRecordSource(DataSource):
@@ -200,7 +204,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{at.rstrip('/')}/recordloom-{label}-{uuid.uuid4().hex}"
 
 
-def write_records(df: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+def write_records(df: DataFrame, folder: str, files: int | None = None, prefix: str = "part") -> DataFrame:
     """Writes the records (record_index, record) in order to a folder of files that ``read_records`` numbers through.
 
     Each task writes a range of record_index to a file of its own and renames it when it is whole, so a task that is run again
@@ -216,7 +220,7 @@ def write_records(df: DataFrame, folder: str, files: int | None = None) -> DataF
         for batch in batches:
             for place, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if out is None:
-                    name, out = f"part-{place:06}.dat", fs.open_output_stream(part)
+                    name, out = f"{prefix}-{place:06}.dat", fs.open_output_stream(part)
                 out.write(record)
                 n, size = n + 1, size + len(record)
         if out is not None:
