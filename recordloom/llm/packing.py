@@ -14,7 +14,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ WINDOW = 2048
 #: A packet's largest number of tokens; the share of a source in a window is off its target by less than that.
 PACKET = 256
 END = 1
-#: Entries after which a task's tables of words begin anew.
+#: Words after which a table of words is put aside for a new one; two are kept at most.
 KNOWN = 300_000
 
 # ---- token ids ------------------------------------------------------------------------------------------------------
@@ -35,9 +37,11 @@ KNOWN = 300_000
 #: Normalizer and splitter (fixed values) under which a text's ids are those of its pieces between spaces, one after the other.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
-#: Pieces of these characters, ASCII that prints and Latin-1 letters, are split here; all others go through the whole tokenizer.
-_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts or pieces of these characters (ASCII that prints or parts words, and Latin-1 letters; no apostrophe, which splits by other
+#: rules, and no <, with which special tokens begin) are split here; other pieces go through the whole tokenizer.
+_PLAIN = re.compile("[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
+_SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
 def _byte_letters() -> list[str]:
@@ -50,7 +54,7 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to encoding each whole text.
 
-    Where the tokenizer drops white space and works word by word, ids of pieces between spaces are kept in a bounded table.
+    Where the tokenizer drops white space and works word by word, ids of words are kept in a bounded table.
     """
 
     def __init__(self, path: str, known: int = KNOWN):
@@ -63,43 +67,48 @@ class Encoder:
         spaced = any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rule.get("added_tokens", []))
         self.by_word = rule.get("normalizer") == _NORMALIZER and first == _SPLIT and rule.get("post_processor") is None and not spaced
         self.letters = _byte_letters()
-        self.most, self.pieces, self.parts = known, {}, {}
+        self.most, self.known, self.older = known, {}, {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        spelt = "".join(self.letters[b] for b in part.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            return self._whole(piece)
-        out = []
-        for part in _PARTS.findall(piece.lower()):
-            if (ids := self.parts.get(part)) is None:
-                if len(self.parts) >= self.most:
-                    self.parts.clear()
-                ids = self.parts[part] = self._part(part)
-            out.append(ids)
-        return b"".join(out)
+        spelt = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def _learn(self, keys: list[str]) -> None:
+        """Ids of parts, or of pieces (which begin with a space). Of a full table those in use are carried over to the next."""
+        if len(self.known) >= self.most:
+            self.known, self.older = {}, self.known
+        for key in set(keys).difference(self.known):
+            if (ids := self.older.get(key)) is None:
+                ids = self._part(key) if key[0] != " " else self._whole(key[1:])
+            self.known[key] = ids
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self._whole(text)
-        pieces = text.split(" ")
-        if len(self.pieces) >= self.most:
-            self.pieces.clear()
-        for piece in set(pieces).difference(self.pieces):
-            self.pieces[piece] = self._piece(piece)
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        if _PLAIN.fullmatch(text):
+            keys = _PARTS.findall(text.lower())
+        else:
+            keys = []
+            for piece in text.translate(_SPACES).split(" "):
+                keys += _PARTS.findall(piece.lower()) if _PLAIN.fullmatch(piece) else [" " + piece]
+        self._learn(keys)
+        return b"".join(map(self.known.__getitem__, keys))
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 def tokens(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """doc_id, source, ids of every row: the ids of the whole text and then ``end``, four bytes each. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), np.array([end], "<u4").tobytes()
+        encoder, last = _encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
