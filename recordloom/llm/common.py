@@ -131,6 +131,11 @@ _S33 = np.uint64(33)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A copy of the bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     x = x ^ (x >> _S33)
