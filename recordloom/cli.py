@@ -59,17 +59,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         n = a.record_len if a.record_len is not None else layout.record_len if layout else 0
         policy = Policy(n, a.newline, a.partial)
         if a.command == "ingest":
-            manifest = file_manifest(spark, a.data, policy).first().asDict()
-            print(json.dumps(manifest))
-            return manifest["exit_code"]
+            manifests = [r.asDict() for r in file_manifest(spark, a.data, policy).orderBy("path").collect()]  # a row for each file
+            for manifest in manifests:
+                print(json.dumps(manifest))
+            return max((m["exit_code"] for m in manifests), default=ExitCode.SUCCESS)
         if layout is None:
             print("--copybook is needed", file=sys.stderr)
             return ExitCode.BAD_LAYOUT
         rows = read_records(spark, a.data, policy)
         if a.command == "dump":
-            show(decode_long(nth_record(rows, a.record), layout, a.encoding, groups=True))
+            show(decode_long(nth_record(spark, a.data, policy, a.record), layout, a.encoding, groups=True))
         elif a.command == "explain":
-            show(explain_field(rows, layout, a.field, a.record, a.encoding))
+            show(explain_field(nth_record(spark, a.data, policy, a.record), layout, a.field, a.record, a.encoding))
         elif a.command == "totals":
             show(control_totals(rows, layout, a.encoding))
         elif a.command == "decode":
@@ -90,6 +91,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except IngestError as e:
         print(e, file=sys.stderr)
         return e.code
+    except OSError as e:
+        print(e, file=sys.stderr)
+        return ExitCode.UNREADABLE
     except LeakError as e:
         print(e, file=sys.stderr)
         return ExitCode.STRICT_FAILURE

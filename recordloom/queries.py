@@ -442,9 +442,9 @@ def ingest_records(spark, sf_dir):
 
 
 def ingest_nth(spark, sf_dir):
-    """One record by its number; the filter reaches the source, which reads the bytes of this record alone."""
-    rows = fixedrec.read_records(spark, _in_file(_nations(spark, sf_dir), "nations", 3), fixedrec.Policy(NATION.record_len))
-    return fixedrec.nth_record(rows, 11).select("record_index", "raw_len", "partial", typed(NATION.field("N-NAME")).alias("name"))
+    """One record by its number; the source reads the bytes of this record alone."""
+    rows = fixedrec.nth_record(spark, _in_file(_nations(spark, sf_dir), "nations", 3), fixedrec.Policy(NATION.record_len), 11)
+    return rows.select("record_index", "raw_len", "partial", typed(NATION.field("N-NAME")).alias("name"))
 
 
 def _nation_file(spark, sf_dir, end: bytes = b"") -> str:

@@ -1,4 +1,4 @@
-"""Queries on nested records, record types, arriving files and key ranges, with their SQL. Bytes are made by hand where it says so."""
+"""Queries on nested records, record types, arriving files, key ranges and tables in SQL, with their SQL. Bytes are made by hand where it says so."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from recordloom.functions.decode import decode_long, typed
 from recordloom.functions.nested import count_findings, decode_nested
 from recordloom.operators import route, views
 from recordloom.plans.copybook import compile_layout
-from recordloom.sources import fixedrec
+from recordloom.sources import copybook_table, fixedrec
 from recordloom.streaming.arrivals import record_stream
 
 TREE = compile_layout("""
@@ -92,7 +92,26 @@ def diff_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.diff_ranges(decode_long(c, q.CUSTOMER), decode_long(b, q.CUSTOMER), width=16)
 
 
-QUERIES = {f.__name__: f for f in (nested_occurs, odo_findings, variant_fields, stream_arrivals, diff_by_ranges)}
+def sql_using(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL over a table that a copybook declares: four of its columns, over files that the copybook splits into records."""
+    folder = q._in_file(q.orders(spark, sf_dir), "sql-orders", 4)
+    copybook_table.register(spark)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY VIEW order_file USING copybook OPTIONS (path '{folder}', copybook '{q.ORDER.text}', fields 'O-STATUS,O-TOTAL,O-DATE,IS-SETTLED', split_bytes '{1000 * q.ORDER.record_len}')""")
+    return spark.sql("""
+        SELECT O_STATUS AS status, cast(O_DATE / 10000 AS int) AS year, count(*) AS orders, cast(sum(O_TOTAL) AS decimal(18,2)) AS total, count_if(IS_SETTLED) AS settled
+        FROM order_file WHERE O_DATE BETWEEN 19940301 AND 19970615 AND O_STATUS IN ('F', 'P') AND O_TOTAL > 1000 GROUP BY ALL""")
+
+
+def sql_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL over a view of column expressions, joined with a table; what the query doesn't name isn't decoded."""
+    copybook_table.copybook_view(spark, "order_view", q._in_file(q.orders(spark, sf_dir), "view-orders", 4), q.ORDER)
+    q._table(spark, sf_dir, "customer").createOrReplaceTempView("customer_view")
+    return spark.sql("""
+        SELECT c_mktsegment AS segment, O_PRIORITY AS priority, count(*) AS orders, cast(sum(O_TOTAL) AS decimal(18,2)) AS total
+        FROM order_view JOIN customer_view ON O_CUST = c_custkey WHERE IS_OPEN GROUP BY ALL""")
+
+
+QUERIES = {f.__name__: f for f in (nested_occurs, odo_findings, variant_fields, stream_arrivals, diff_by_ranges, sql_using, sql_view)}
 
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_returnflag) AS no FROM lineitem"
 ORACLE_SQL = {
@@ -105,6 +124,9 @@ ORACLE_SQL = {
         UNION ALL SELECT {q._INDEX}, 'detail', l_orderkey, l_linenumber::INT, {q._PRICE}, NULL FROM lineitem
         UNION ALL SELECT 1152921504606846976, 'trailer', 0, NULL, CAST(sum({q._PRICE}) FILTER ({q._PAID}) AS DECIMAL(18,2)), count(*) FROM lineitem""",
     "stream_arrivals": q.ORACLE_SQL["ingest_records"],
+    "sql_using": f"""SELECT o_orderstatus AS status, {q._DATE}[1:4]::INT AS year, count(*) AS orders, CAST(sum({q._TOTAL}) AS DECIMAL(18,2)) AS total, count(*) AS settled FROM orders
+        WHERE {q._DATE} BETWEEN '19940301' AND '19970615' AND o_orderstatus IN ('F', 'P') AND {q._TOTAL} > 1000 GROUP BY ALL""",
+    "sql_view": f"""SELECT c_mktsegment AS segment, o_orderpriority AS priority, count(*) AS orders, CAST(sum({q._TOTAL}) AS DECIMAL(18,2)) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY ALL""",
     "diff_by_ranges": """SELECT c_custkey AS record_index, 'C-SEGMENT' AS name, 'DIFF-FIELD-MISMATCH' AS rule_id, c_mktsegment AS "left", 'ELSEWHERE' AS "right" FROM customer WHERE c_custkey % 250 = 0 AND c_custkey % 400 <> 0 AND c_mktsegment <> 'ELSEWHERE'
         UNION ALL SELECT c_custkey, name, 'DIFF-MISSING-FIELD', v, NULL FROM (
             SELECT c_custkey, unnest(['C-KEY', 'C-NAME', 'C-SEGMENT', 'C-BALANCE', 'C-OWED', 'C-OWED-IND']) AS name, unnest([c_custkey::VARCHAR, c_name, c_mktsegment, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, """ + q._OWED_IND + """]) AS v FROM customer WHERE c_custkey % 400 = 0)""",

@@ -1,7 +1,8 @@
 """Fixed-length record files as a Spark data source, with ingest policies checked before any record is read.
 
-``spark.read.format("fixedrec")`` splits a file into ranges of whole records; each task seeks to its range. A filter on
-record_index narrows the ranges. A folder stands for its files in the order of their names: records are numbered through, offsets
+``spark.read.format("fixedrec")`` splits a file into ranges of whole records; each task seeks to its range. ``first`` and ``last`` narrow
+the ranges. They are options and no pushed filters, as Spark 4.1 keeps one reader for all uses of a Python relation: after a
+filtered use, others of the same frame or view would get the narrowed reader and lose rows. A folder stands for its files in the order of their names: records are numbered through, offsets
 are those in their file, and the policy holds for each file. Files are opened through Arrow's file systems, so a path may be
 local or a store's URI.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "record_index long, raw_offset long, raw_len int, partial boolean, record binary"
 SPLIT_BYTES = 64 << 20
@@ -35,6 +36,7 @@ class ExitCode(IntEnum):
     UNSUPPORTED = 3
     BAD_LAYOUT = 4
     INTERNAL = 5
+    UNREADABLE = 5  # another name of the same: no such file, or a setting that can't be used
 
 
 class IngestError(ValueError):
@@ -140,21 +142,7 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
         self.policy = Policy(int(options["record_len"]), options.get("newline", "reject"), options.get("partial", "reject"))
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if getattr(f, "attribute", None) != ("record_index",):
-                yield f
-            elif isinstance(f, EqualTo):
-                self.low, self.high = max(self.low, f.value), min(f.value, self.high if self.high is not None else f.value)
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            elif isinstance(f, (LessThan, LessThanOrEqual)):
-                top = f.value - isinstance(f, LessThan)
-                self.high = top if self.high is None else min(self.high, top)
-            else:
-                yield f
+        self.low, self.high = int(options.get("first", 0)), int(options["last"]) if "last" in options else None
 
     def partitions(self):
         step, out, before = max(1, self.split // self.policy.record_len), [], 0
@@ -171,7 +159,7 @@ class _Reader(DataSourceReader):
 
 
 class FixedRecordSource(DataSource):
-    """Options: path, record_len, newline, partial, split_bytes."""
+    """Options: path, record_len, newline, partial, split_bytes, first, last (numbers of records)."""
 
     @classmethod
     def name(cls) -> str:
@@ -184,13 +172,16 @@ class FixedRecordSource(DataSource):
         return _Reader(self.options)
 
 
-def read_records(spark: SparkSession, path: str, policy: Policy, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """record_index, raw_offset, raw_len, partial, record of a file or a folder; refused files raise before a plan is made."""
+def read_records(spark: SparkSession, path: str, policy: Policy, split_bytes: int = SPLIT_BYTES, first: int = 0, last: int | None = None) -> DataFrame:
+    """record_index, raw_offset, raw_len, partial, record of a file or a folder; refused files raise before a plan is made.
+
+    With first and last only the bytes of these records and those between are read.
+    """
     for at in files_of(path):
         examine(at, policy)
     spark.dataSource.register(FixedRecordSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("fixedrec").options(path=path, record_len=policy.record_len, newline=policy.newline, partial=policy.partial, split_bytes=split_bytes).load()
+    ends = {"first": first} | ({} if last is None else {"last": last})
+    return spark.read.format("fixedrec").options(path=path, record_len=policy.record_len, newline=policy.newline, partial=policy.partial, split_bytes=split_bytes, **ends).load()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -235,34 +226,51 @@ def write_records(df: DataFrame, folder: str, files: int | None = None, prefix:
     return df.sparkSession.createDataFrame(sorted(map(tuple, made)), "file string, records long, bytes long")
 
 
-def nth_record(records: DataFrame, index: int) -> DataFrame:
-    return records.where(F.col("record_index") == index)
+def nth_record(spark: SparkSession, path: str, policy: Policy, index: int) -> DataFrame:
+    """The record of that number, or no row; its bytes alone are read."""
+    return read_records(spark, path, policy, first=index, last=index)
 
 
-def file_manifest(spark: SparkSession, path: str, policy: Policy) -> DataFrame:
-    """One row: sha256, length, counts, policies, first and last offset (-1 where empty), verdict. The digest streams the file once."""
+def _judged(path: str, policy: Policy) -> tuple[Span, ExitCode, str]:
+    """What a file holds, its exit code and why. A path that can't be read is told, not raised."""
+    none = Span(0, 0, 0, False)
     try:
-        span, code, why = examine(path, policy), ExitCode.SUCCESS, ""
+        span = examine(path, policy)
     except IngestError as e:
-        span, code, why = Span(0, 0, 0, False), e.code, str(e)
-    if code == ExitCode.SUCCESS and span.tail:
-        code, why = ExitCode.EVIDENCE_WARNINGS, "a partial record is kept as evidence"
-    records = span.records + (span.tail > 0)
+        return none, e.code, str(e)
+    except OSError as e:
+        return none, ExitCode.UNREADABLE, f"the file can't be read: {e.strerror or e}"
+    return (span, ExitCode.EVIDENCE_WARNINGS, "a partial record is kept as evidence") if span.tail else (span, ExitCode.SUCCESS, "")
+
+
+_MANIFEST = "path string, record_len int, record_count long, newline_policy string, partial_policy string, first_offset long, last_offset long, partial boolean, stripped_line_feed boolean, exit_code int, reason string"
+
+
+def file_manifest(spark: SparkSession, path: str, policy: Policy) -> DataFrame:
+    """A row for each file: sha256, length, counts, policies, first and last offset (-1 where empty), verdict.
+
+    A folder has a row for each of its files, none if it is empty. A path that isn't there or can't be read has exit code 5 and no
+    digest. Each digest streams its file once, files side by side.
+    """
+    rows = []
+    for at in files_of(path):
+        span, code, why = _judged(at, policy)
+        n = span.records + (span.tail > 0)
+        rows.append((at, policy.record_len, n, policy.newline, policy.partial, 0 if n else -1, (n - 1) * policy.record_len if n else -1, span.tail > 0, span.stripped, int(code), why))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in batch.column(0).to_pylist():
+            hashes, sizes = [], []
+            for at, code in zip(batch.column("path").to_pylist(), batch.column("exit_code").to_pylist(), strict=True):
                 h, n = hashlib.sha256(), 0
-                with _open(at) as f:
-                    while data := f.read(_READ_BYTES):
-                        h.update(data)
-                        n += len(data)
-                yield pa.RecordBatch.from_pydict({"sha256": [h.hexdigest()], "file_bytes": pa.array([n], pa.int64())})
-
-    row = spark.createDataFrame([(path,)], "path string").mapInArrow(digest, "sha256 string, file_bytes long")
-    lit = F.lit
-    return row.select(
-        lit(path).alias("path"), "sha256", "file_bytes", lit(policy.record_len).alias("record_len"), lit(records).cast("long").alias("record_count"), lit(policy.newline).alias("newline_policy"), lit(policy.partial).alias("partial_policy"),
-        lit(0 if records else -1).cast("long").alias("first_offset"), lit((records - 1) * policy.record_len if records else -1).cast("long").alias("last_offset"),
-        lit(span.tail > 0).alias("partial"), lit(span.stripped).alias("stripped_line_feed"), lit(int(code)).alias("exit_code"), lit(why).alias("reason"),
-    )
+                if code != ExitCode.UNREADABLE:
+                    with _open(at) as f:
+                        while data := f.read(_READ_BYTES):
+                            h.update(data)
+                            n += len(data)
+                hashes.append(h.hexdigest() if code != ExitCode.UNREADABLE else None)
+                sizes.append(n if code != ExitCode.UNREADABLE else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())], [*batch.schema.names, "sha256", "file_bytes"])
+
+    made = spark.createDataFrame(rows, _MANIFEST).repartition(max(1, len(rows)), "path").mapInArrow(digest, _MANIFEST + ", sha256 string, file_bytes long")
+    return made.select("path", "sha256", "file_bytes", *(c.split(" ")[0] for c in _MANIFEST.split(", ")[1:]))
