@@ -4,7 +4,7 @@ Each document gets a rate (expected copies): the rates closest in relative entro
 every source's target, none above ``most``. The solution tilts the base exponentially, rate = min(most, base * exp(l * size
 / mean size)), with one multiplier l a source. Newton steps on the convex dual find all multipliers at once: each step is
 one distributed aggregation over a histogram of (source, size), which loses nothing since a rate depends on these alone.
-Rates are then rounded into whole copies so that each source's words stay within about its smallest documents of the
+Rates are then rounded into whole copies so that each source's words stay within about its smallest document of the
 target. Only Spark's own functions run.
 """
 
@@ -22,8 +22,6 @@ STEPS = 60
 TOLERANCE = 1e-6
 #: Ranks within a (source, size) cell are counted in so many parts, so that a cell of copies is no single task.
 PARTS = 256
-#: Sizes that are rounded one after the other.
-RANGE = 1024
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -87,33 +85,38 @@ def balanced(cells: DataFrame, targets: DataFrame, base: float = 1.5, most: floa
 
 
 def _cell_copies(cells: DataFrame, multipliers: DataFrame, base: float, most: int) -> DataFrame:
-    """source, size, copies (of all documents of the cell together): error feedback from the largest size to the smallest.
+    """source, size, copies (of all documents of the cell together), in whole numbers whose words meet what the rates ask.
 
-    A cell takes the whole number of copies that brings the words nearest to what the rates ask so far. The sizes of a source are
-    taken in ranges of RANGE, each on its own and from its own error of none, so that no list is longer than a range; the range of
-    the smallest sizes comes last and starts from the errors that the others left.
+    From the largest size down, a cell takes what the copies asked so far, rounded, exceed those of the cells before by. These
+    running sums leave a source off by about its largest document at most. That is then made good from the largest size down by the
+    cells that can still give or take, for each power of two the ones of its smallest and its largest size: a list of a few
+    for each source, in which the words still owed are carried along and fall to about half the smallest size at the end.
     """
     m = multipliers.withColumnRenamed("source", "src")
     rate = F.when(F.col("limit"), F.lit(float(most))).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean"), base, float(most)))
-    rated = cells.where("size > 0").join(m, _same(F.col("source"), F.col("src"))).select("source", "size", "n", rate.alias("rate"), F.floor(F.col("size") / RANGE).alias("at"))
-    lists = written(rated.groupBy("source", "at").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells")), "ranges")
-    out = "array<struct<size:bigint,copies:bigint>>"
+    asked = F.col("n") * F.col("rate")
+    rated = cells.where("size > 0").join(m, _same(F.col("source"), F.col("src"))).select("source", "size", "n", rate.alias("rate"))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())  # a row for each size of a source
+    upto = F.floor(F.sum(asked).over(down.rowsBetween(Window.unboundedPreceding, 0)) + 0.5)
+    given = rated.withColumn("upto", upto).withColumn("copies", F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0)))
+    copies = F.least(F.greatest("copies", F.lit(0)), most * F.col("n")).cast("long")
+    given = written(given.select("source", "size", "n", copies.alias("copies"), (F.col("size") * (asked - copies)).alias("owed")), "rounded")
+
+    cell = F.struct("size", "n", "copies")
+    can = {"more": F.col("copies") < most * F.col("n"), "less": F.col("copies") > 0}
+    ends = [f(F.when(c, cell)).alias(f"{k}{i}") for k, c in can.items() for i, f in enumerate((F.min, F.max))]
+    few = given.groupBy("source", F.length(F.bin("size")).alias("octave")).agg(F.array(*ends).alias("cells"), F.sum("owed").alias("owed"))
+    lists = few.groupBy("source").agg(F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_list("cells")), lambda c: c.isNotNull())), asc=False).alias("cells"), F.round(F.sum("owed"), 3).alias("owed"))
 
     def step(a: Column, c: Column) -> Column:
-        asked = a["owed"] + c["size"] * c["n"] * c["rate"]
-        copies = F.least(F.greatest(F.round(asked / c["size"]), F.lit(0.0)), (most * c["n"]).cast("double")).cast("long")
-        return F.struct((asked - copies * c["size"]).alias("owed"), F.concat(a["out"], F.array(F.struct(c["size"].alias("size"), copies.alias("copies")))).alias("out"))
-
-    def fed(rows: DataFrame, owed: Column) -> DataFrame:
-        return rows.select("source", F.aggregate("cells", F.struct(owed.alias("owed"), F.array().cast(out).alias("out")), step).alias("fed"))
-
-    first = lists.groupBy(F.col("source").alias("src")).agg(F.min("at").alias("low"))
-    lists = lists.join(first, _same(F.col("source"), F.col("src"))).drop("src")
-    high = written(fed(lists.where("at > low"), F.lit(0.0)), "fed")
-    left = high.groupBy(F.col("source").alias("src")).agg(F.round(F.sum("fed.owed"), 3).alias("left"))
-    low = lists.where("at = low").join(left, _same(F.col("source"), F.col("src")), "left")
-    both = high.union(fed(low, F.coalesce("left", F.lit(0.0))))
-    return both.select("source", F.explode("fed.out").alias("c")).select("source", "c.size", "c.copies")
+        more = F.least(F.greatest(F.round(a["owed"] / c["size"]), -c["copies"].cast("double")), (most * c["n"] - c["copies"]).cast("double")).cast("long")
+        return F.struct((a["owed"] - more * c["size"]).alias("owed"), F.concat(a["out"], F.array(F.struct(c["size"].alias("size"), more.alias("more")))).alias("out"))
+
+    nothing = F.array().cast("array<struct<size:bigint,more:bigint>>")
+    made = lists.select(F.col("source").alias("src"), F.explode(F.aggregate("cells", F.struct(F.col("owed").cast("double").alias("owed"), nothing.alias("out")), step)["out"]).alias("c"))
+    made = made.select("src", F.col("c.size").alias("at"), "c.more").where("more <> 0")
+    out = given.join(made, _same(F.col("source"), F.col("src")) & (F.col("size") == F.col("at")), "left")
+    return out.select("source", "size", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"))
 
 
 def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:

@@ -337,17 +337,31 @@ def repeated_spans(texts: DataFrame, length: int, gram: int = GRAM, largest_grou
         pool = merged.select("key", "one.*", "off", "times", "ctx", "lo", "hi")
 
 
+def _distinct(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """The texts with one row for each did, and the spans of those that had several: all of the text. None where none had."""
+    again = common.written(texts.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").select("did"), "again")
+    if not (n := again.count()):
+        return texts, None
+    again = common.sized(again, n)
+    one = common.written(texts.join(again, "did", "left_semi").groupBy("did").agg(F.first("text").alias("text")), "one-each")
+    whole = one.where(F.octet_length("text") >= length).select("did", F.lit(0).cast("long").alias("lo"), (F.octet_length("text") - length).cast("long").alias("hi"))
+    return texts.join(again, "did", "left_anti").select("did", "text").union(one.select("did", "text")), whole
+
+
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest_group: int = LARGEST_GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text; more columns are ignored).
 
     Every byte goes that is covered by a ``length``-byte string that also starts elsewhere, in the same text or another; strings
     are judged on the input. Texts are UTF-8 bytes, a null text is empty and matches never cross texts. Rows with equal texts
     lose all bytes if they have ``length`` or more. Repeated rows and null doc_ids are rows of their own. An empty table gives
-    no rows. ``gram`` must be less than ``length``. Rows are told apart by the MD5 of doc_id and text.
+    no rows. ``gram`` must be less than ``length``. Rows are told apart by the MD5 of doc_id and text; those that are equal are worked
+    on once.
     """
     did = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), common.text_or_empty())))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("did", did)
-    spans = common.written(repeated_spans(docs.select("did", "text"), length, gram, largest_group), "spans")
+    texts, whole = _distinct(docs.select("did", "text"), length)
+    spans = repeated_spans(texts, length, gram, largest_group)
+    spans = common.written(spans if whole is None else spans.union(whole), "spans")
     lists = spans.groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = docs.join(lists, "did", "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -54,10 +54,8 @@ def test_reruns_agree(spark):
     assert one == two
 
 
-def test_rounding_in_ranges(spark, monkeypatch):
-    """Ranges of 64 sizes: what the upper ones leave goes to the lowest, and the words still come within a small document of the target."""
-    monkeypatch.setattr(mixing, "RANGE", 64)
-    rows = mixing.mixed_copies(corpus(spark)).collect()
+def off_target(rows):
+    """Each source's distance from its target and its smallest document."""
     taken, target, least = defaultdict(int), {}, {}
     for r in rows:
         taken[r["source"]] += r["taken"]
@@ -65,7 +63,24 @@ def test_rounding_in_ranges(spark, monkeypatch):
         if r["size"]:
             least[r["source"]] = min(least.get(r["source"], r["size"]), r["size"])
     assert all(r["taken"] <= 2 * r["size"] for r in rows)
-    assert all(abs(taken[s] - target[s]) <= max(least[s], 2) for s in target)
+    return {s: (abs(taken[s] - target[s]), least[s]) for s in target if s in least}
+
+
+def test_words_come_within_a_small_document(spark):
+    assert all(d <= max(least, 2) for d, least in off_target(mixing.mixed_copies(corpus(spark)).collect()).values())
+
+
+def test_sources_of_long_documents_only(spark):
+    """No small document makes up for what the long ones leave."""
+    sizes = [2000 + 1100 * i for i in range(60)]
+    docs = docs_of(spark, [f"{s} " + "w " * (s - 1) for s in sizes for _ in "abc"], ["a", "b", "c"])
+    found = off_target(mixing.mixed_copies(docs).collect())
+    assert len(found) == 3 and all(d <= least for d, least in found.values()), found
+
+
+def test_few_documents_of_one_size(spark):
+    docs = docs_of(spark, ["w " * 500] * 40 + ["w " * 777] * 3, ["a", "b"])
+    assert all(d <= least for d, least in off_target(mixing.mixed_copies(docs).collect()).values())
 
 
 def test_rates_tilt_exponentially(spark):

@@ -72,6 +72,17 @@ def test_repeated_rows_are_occurrences(spark):
     assert sorted((r["n_removed"] == r["n_bytes"], r["n_removed"]) for r in rows) == [(False, 0)] + [(True, len(text))] * 3
 
 
+def test_many_repeated_rows_are_worked_on_once(spark):
+    """A thousand equal rows of 60 kB, null ids included; another text shares a passage with them."""
+    text, other = prose(31, 10_000), prose(32, 300)
+    docs = spark.createDataFrame([(None, text)] * 1000 + [(1, other + text[:900] + other[::-1]), (2, prose(33, 50)), (2, prose(33, 50))], "doc_id long, text string").repartition(4)
+    rows = substrings.remove_repeated(docs).collect()
+    assert sum(r["doc_id"] is None and r["n_removed"] == r["n_bytes"] == len(text) and r["n_spans"] == 1 for r in rows) == 1000
+    one = next(r for r in rows if r["doc_id"] == 1)
+    assert one["kept_sha256"] == hashlib.sha256((other + other[::-1]).encode()).hexdigest() and one["n_removed"] == 900
+    assert [r["n_removed"] for r in rows if r["doc_id"] == 2] == [0 if len(prose(33, 50)) < 400 else len(prose(33, 50))] * 2
+
+
 def test_deep_shallow_order_sorts():
     rng = random.Random(4)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(300)] + [b"a" * 40, b"a" * 40, b""]
