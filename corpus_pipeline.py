@@ -82,14 +82,26 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice; once if it has no word, as it then counts for nothing.
 
-    Rows that are equal in every column are taken alike; rows are told apart by 128 hashed bits, so that reruns agree.
+    Rows that are equal in every column are told apart by nothing, so what the mix takes of them together is dealt out among them
+    evenly. Rows are compared by 128 hashed bits, so that reruns agree.
     """
     plain = _plain(docs)
     keyed = plain.withColumn("row", F.struct(_hash(plain, 0), _hash(plain, 1)))
     copies = mixing.mixed_copies(keyed.select(F.col("row").alias("doc_id"), "text", "source"))
-    times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    copies = copies.groupBy(F.col("doc_id").alias("row")).agg(F.max(times).alias("times")).where("times > 0")
-    return _named(keyed.join(copies, "row").select("*", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")), docs)
+    taken = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    found = common.written(copies.groupBy(F.col("doc_id").alias("row")).agg(F.sum(taken).alias("all"), F.count("*").alias("rows")), "taken")
+    times = found.where("rows = 1 and all > 0").select("row", F.col("all").alias("times"))
+    out = keyed.join(times, "row")
+    again = found.where("rows > 1")
+    if again.limit(1).count():
+        placed = common.written(keyed.withColumn("at", F.monotonically_increasing_id()), "placed")
+        equal, _ = common.ranked(placed.select("row", "at").join(common.sized(again, again.count()), "row"), "row", "at", name="place", label="equal")
+        equal = common.written(equal, "equal")
+        head = equal.groupBy("row").agg(F.min("place").alias("head"))
+        nth = F.col("place") - F.col("head")
+        dealt = equal.join(common.sized(head, again.count()), "row").select("at", (F.expr("all div rows") + (nth < F.col("all") % F.col("rows")).cast("long")).alias("times"))
+        out = out.unionByName(placed.join(dealt.where("times > 0"), "at").drop("at"))
+    return _named(out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy")), docs)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
