@@ -3,68 +3,73 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from recordloom.functions.decode import ASCII, typed, valid
 from recordloom.operators.findings import FINDING, finding
 from recordloom.plans.copybook import Layout
+from recordloom.sources.fixedrec import files_of, new_folder, open_file
 
 GENESIS = ""
 #: Parts two fields of a seal.
 UNIT = "\x1e"
 
 
-#: Records up to which one task sorts and streams all; more are sorted in so many at a time.
-STREAM_ROWS = 5_000_000
+def ordered_files(df: DataFrame, order: str, ranges: int | None = None) -> list[str]:
+    """df in order, as files of the shared folder that follow each other: sorted by ranges, each row written once.
 
+    Rows of equal order come by their other columns, so that the files don't depend on how df was partitioned.
+    """
+    folder = new_folder(df.sparkSession, "ordered")
+    placed = df.repartitionByRange(ranges, order) if ranges else df.repartitionByRange(order)
+    placed.sortWithinPartitions(order, *(c for c in df.columns if c != order)).write.parquet(folder)
+    return files_of(folder)
+
+
+def file_batches(files: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of some files, file after file and a batch at a time."""
+    for path in files:
+        with open_file(path) as f:
+            yield from pq.ParquetFile(f).iter_batches(8192)
 
-def _stream(start: str, step) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, n = start, 0
-        for batch in batches:
-            for value in batch.column(batch.num_columns - 1):
-                state = step(state, value.as_py())
-                n += 1
-        yield pa.RecordBatch.from_pydict({"hash": [state], "records": pa.array([n], pa.int64())})
 
-    return run
+def streamed(spark: SparkSession, files: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run over all rows of ordered files in one task, which holds a batch: for states that pass from each row to the next."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names in batch.column(0).to_pylist():
+                yield from run(file_batches(names))
 
-def _in_order(df: DataFrame, most: int) -> Iterator[DataFrame]:
-    """The rows as ranges of ascending ``o`` that a task can sort each: all of them, or ranges that are written first."""
-    if (n := df.count()) <= most:
-        yield df
-        return
-    placed = df.repartitionByRange(-(-n // most), "o").withColumn("p", F.spark_partition_id()).checkpoint()
-    for r in placed.select("p").distinct().orderBy("p").collect():  # a row for each range
-        yield placed.where(F.col("p") == r["p"]).drop("p")
+    return spark.createDataFrame([(files,)], "files array<string>").mapInArrow(task, schema)
 
 
-def record_chain(df: DataFrame, order: str = "record_index", record: str = "record", most: int = STREAM_ROWS) -> DataFrame:
-    """hash, records: h0 = sha256(r0), then sha256(hex of the hash so far, then the record), in order of ``order``.
+def record_chain(df: DataFrame, order: str = "record_index", record: str = "record", most: int | None = None) -> DataFrame:
+    """hash, records: h0 = sha256(r0), then sha256(hex of the hash so far, then the record), in order of ``order`` (equal ones by their bytes).
 
-    Each link needs the one before, so tasks hash one after the other; they hold one batch at a time. More than ``most`` records
-    are ordered by a range partitioning first, and each task takes over from the hash of the range before.
+    Records are sorted by ranges, of at most about ``most`` records where that is given. Each link needs the one before, so one
+    task then streams the ranges.
     """
+    rows = df.select(F.col(order).alias("o"), F.col(record).cast("binary").alias("r"))
+    ranges = -(-rows.count() // most) or 1 if most else None
 
-    def step(state: str, raw: bytes) -> str:
-        return hashlib.sha256(state.encode() + raw).hexdigest()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, n = "", 0
+        for batch in batches:
+            for raw in batch.column("r").to_pylist():
+                state = hashlib.sha256(state.encode() + (raw or b"")).hexdigest()
+                n += 1
+        yield pa.RecordBatch.from_pydict({"hash": [state], "records": pa.array([n], pa.int64())})
 
-    spark, state, total = df.sparkSession, "", 0
-    ranges = list(_in_order(df.select(F.col(order).alias("o"), F.col(record).cast("binary").alias("r")), most))
-    for i, rows in enumerate(ranges):
-        out = rows.repartition(1).sortWithinPartitions("o").mapInArrow(_stream(state, step), "hash string, records long")
-        if len(ranges) == 1:
-            return out
-        r = out.first()
-        state, total = r["hash"], total + r["records"]
-    return spark.createDataFrame([(state, total)], "hash string, records long")
+    return streamed(df.sparkSession, ordered_files(rows, "o", ranges), run, "hash string, records long")
 
 
 def chain_in_row(records: Column) -> Column:
@@ -73,26 +78,57 @@ def chain_in_row(records: Column) -> Column:
 
 
 def unit_chains(df: DataFrame, unit: str, order: str = "record_index", record: str = "record") -> DataFrame:
-    """unit, hash, records: a chain of its own for each unit, all units at once; a unit's records must fit a row."""
-    rows = df.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(record).cast("binary").alias("r")))).alias("all"))
-    return rows.select(unit, chain_in_row(F.transform("all", lambda x: x["r"])).alias("hash"), F.size("all").cast("long").alias("records"))
+    """unit, hash, records: a chain of its own for each unit, all units at once.
 
+    A unit's records are sorted in one task and streamed from there, so a large unit takes time, as its links need each other, but
+    no memory. A null unit is one.
+    """
+    kind = df.schema[unit].dataType
+    schema = StructType([StructField(unit, kind), StructField("hash", StringType()), StructField("records", LongType())])
 
-def ordered_digest(df: DataFrame, order: str, text: str) -> DataFrame:
-    """hash, records: sha256 over all texts in order, each with a line feed after it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, n = None, "", 0
+        for batch in batches:
+            units, done = batch.column(0), []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                here = units[i]
+                if n and here.as_py() != at.as_py():
+                    done.append((at, state, n))
+                    state, n = "", 0
+                at, state, n = here, hashlib.sha256(state.encode() + (raw or b"")).hexdigest(), n + 1
+            if done:
+                yield made(done, units.type)
+        if n:
+            yield made([(at, state, n)], units.type)
 
-    A digest's state can't leave a task, so one task streams all, a batch at a time; the rows are sorted there, with spilling.
-    """
+    def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        at, state, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in at], kind), pa.array(state), pa.array(n, pa.int64())], [unit, "hash", "records"])
+
+    rows = df.select(F.col(unit).alias("u"), F.col(record).cast("binary").alias("r"), F.col(order).alias("o"))
+    return rows.repartition("u").sortWithinPartitions("u", "o", "r").select("u", "r").mapInArrow(run, schema)
+
+
+def file_digest(spark: SparkSession, files: list[str], column: str) -> DataFrame:
+    """hash, records: sha256 over all texts of ordered files, each with a line feed after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, n = hashlib.sha256(), 0
         for batch in batches:
-            for value in batch.column(1):
-                digest.update(value.as_py().encode() + b"\n")
-                n += 1
+            texts = batch.column(column).to_pylist()
+            digest.update("".join(f"{t or ''}\n" for t in texts).encode())
+            n += len(texts)
         yield pa.RecordBatch.from_pydict({"hash": [digest.hexdigest()], "records": pa.array([n], pa.int64())})
 
-    return df.select(F.col(order), F.col(text)).repartition(1).sortWithinPartitions(order).mapInArrow(run, "hash string, records long")
+    return streamed(spark, files, run, "hash string, records long")
+
+
+def ordered_digest(df: DataFrame, order: str, text: str) -> DataFrame:
+    """hash, records: sha256 over all texts in order, each with a line feed after it.
+
+    The rows are sorted by ranges. A digest's state can't leave a task, so one task streams the ranges, a batch at a time.
+    """
+    return file_digest(df.sparkSession, ordered_files(df.select(F.col(order).alias("o"), F.col(text).alias("t")), "o"), "t")
 
 
 def sequence_words(df: DataFrame, seq: str) -> DataFrame:
@@ -209,21 +245,23 @@ SEALED = ("batch_id", "input_hash", "control_hash", "output_hash")
 def seal_chain(batches: DataFrame, order: str = "batch_no", before: str = GENESIS) -> DataFrame:
     """batches with prev_hash and link_hash: each link seals the batch's id and hashes together with the link before.
 
-    One task streams the seals in order, as each needs the one before; records don't pass through here.
+    Seals are sorted by ranges and streamed in order by one task, as each needs the one before; records don't pass through here.
     """
+    kept = [order, *SEALED]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = before
         for batch in found:
             was, made = [], []
-            for parts in zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns)), strict=True):
+            for parts in zip(*(batch.column(c).to_pylist() for c in SEALED), strict=True):
                 was.append(prev)
                 prev = hashlib.sha256(UNIT.join([*(p for p in parts if p is not None), prev]).encode()).hexdigest()
                 made.append(prev)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(was, pa.string()), pa.array(made, pa.string())], [order, "prev_hash", "link_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(order), pa.array(was, pa.string()), pa.array(made, pa.string())], [order, "prev_hash", "link_hash"])
 
-    rows = batches.select(F.col(order).cast("long").alias(order), *(F.col(c).cast("string").alias(c) for c in SEALED)).repartition(1).sortWithinPartitions(order)
-    return batches.join(rows.mapInArrow(run, f"`{order}` long, prev_hash string, link_hash string"), order)
+    rows = batches.select(F.col(order).cast("long").alias(order), *(F.col(c).cast("string").alias(c) for c in SEALED))
+    files = ordered_files(rows.select(*kept), order)
+    return batches.join(streamed(batches.sparkSession, files, run, f"`{order}` long, prev_hash string, link_hash string"), order)
 
 
 def verify_chain(sealed: DataFrame, order: str = "batch_no", before: str = GENESIS) -> DataFrame:

@@ -8,14 +8,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.functions.decode import ASCII, CP500, condition, decode_long, number, raw_bytes, raw_hex, valid, value
 from recordloom.functions.encode import encode_number, encode_text
-from recordloom.operators.custody import ordered_digest
+from recordloom.operators.custody import file_digest, ordered_digest
 from recordloom.operators.findings import FINDING, finding
 from recordloom.plans.copybook import Field, Layout, compile_layout, no_copy
+from recordloom.sources.fixedrec import files_of
 
 STALE_RISK = "the copybook is declared by the caller; a stale one decodes to plausible values"
 
@@ -53,7 +54,10 @@ def record_json(df: DataFrame, layout: Layout, encoding: str = ASCII, claim: str
         block = F.concat(F.lit(',"edited":'), _json(*each, nulls=True))
     line = F.concat(F.lit('{"record_index":'), F.col("record_index").cast("string"), F.lit(',"fields":'), fields, F.lit(',"conditions":'), conditions, F.lit(',"audit":'), F.regexp_replace(_json(*audit), "}$", ""), block, F.lit("}}"))
     missing = F.array(*(F.when(t.isNull(), F.lit(f"condition:{c.name}")) for t, c in zip(truths, layout.conditions, strict=True)))
-    return df.select("record_index", json_escapes(line).alias("line"), F.array_compact(F.concat(F.array(*map(F.lit, odd)).cast("array<string>"), missing.cast("array<string>"))).alias("unsupported"))
+    unsupported = F.array_compact(F.concat(F.array(*map(F.lit, odd)).cast("array<string>"), missing.cast("array<string>")))
+    # a line is made once, though its escapes look at it several times
+    once = df.select("record_index", F.explode(F.array(F.struct(line.alias("line"), unsupported.alias("unsupported")))).alias("made"))
+    return once.select("record_index", json_escapes(F.col("made.line")).alias("line"), "made.unsupported")
 
 
 def unsupported_ledger(lines: DataFrame) -> DataFrame:
@@ -108,12 +112,9 @@ def reconcile_profile(df: DataFrame, copybook: str, fixture: str, resolver: Call
     return made, {"parse": parsed - began, "record": lined - parsed, "aggregate": time.perf_counter() - lined}
 
 
-def control_totals(df: DataFrame, layout: Layout, encoding: str = ASCII) -> DataFrame:
-    """kind, name, total, count: records, exact sums of valid numeric values, true conditions, invalid and unsupported counts.
-
-    One aggregation over the scan; sums are exact decimals that fail on overflow rather than saturate. A numeric field has a
-    number just where its bytes are valid, so its sum and its counts come from one decoding.
-    """
+def _total_aggs(layout: Layout, encoding: str) -> list[Column]:
+    """What ``_total_rows`` needs of the records, as named aggregates. A numeric field has a number just where its bytes are valid,
+    so its sum and its counts come from one decoding."""
     layout.check_keys()
     numeric = [f for f in layout.elementary() if f.category == "numeric"]
     other = [f for f in layout.elementary() if f.category in ("alphanumeric", "edited")]
@@ -122,8 +123,13 @@ def control_totals(df: DataFrame, layout: Layout, encoding: str = ASCII) -> Data
     aggs += [F.sum(v.cast(f"decimal(38,{f.pic.scale})")).alias(f"s{i}") for i, (f, v) in enumerate(zip(numeric, numbers, strict=True))]
     aggs += [(F.count("*") - F.count(v)).alias(f"i{i}") for i, v in enumerate(numbers)]
     aggs += [F.count_if(~valid(f, encoding)).alias(f"i{i}") for i, f in enumerate(other, len(numeric))]
-    aggs += [F.count_if(condition(c, layout, encoding)).alias(f"c{i}") for i, c in enumerate(layout.conditions)]
-    one = df.agg(*aggs)
+    return aggs + [F.count_if(condition(c, layout, encoding)).alias(f"c{i}") for i, c in enumerate(layout.conditions)]
+
+
+def _total_rows(one: DataFrame, layout: Layout) -> DataFrame:
+    """kind, name, total, count out of the one row of aggregates."""
+    numeric = [f for f in layout.elementary() if f.category == "numeric"]
+    other = [f for f in layout.elementary() if f.category in ("alphanumeric", "edited")]
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     row = lambda kind, name, total, count: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), total.alias("total"), count.alias("count"))
     rows = [row("records", "", none, F.col("n"))]
@@ -134,6 +140,51 @@ def control_totals(df: DataFrame, layout: Layout, encoding: str = ASCII) -> Data
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").withColumn("count", F.coalesce("count", zero))
 
 
+def control_totals(df: DataFrame, layout: Layout, encoding: str = ASCII) -> DataFrame:
+    """kind, name, total, count: records, exact sums of valid numeric values, true conditions, invalid and unsupported counts.
+
+    One aggregation over the scan; sums are exact decimals that fail on overflow rather than saturate.
+    """
+    return _total_rows(df.agg(*_total_aggs(layout, encoding)), layout)
+
+
+@dataclass(frozen=True)
+class Pass:
+    """What one pass over the records has left: the folder of lines, control totals, and seconds of its stages."""
+
+    lines: DataFrame
+    totals: DataFrame
+    ledger: DataFrame
+    output_sha256: str
+    records: int
+    seconds: dict[str, float]
+
+
+def reconcile_pass(df: DataFrame, copybook: str, folder: str, resolver: Callable[[str], str | None] | dict[str, str] = no_copy, encoding: str = ASCII) -> Pass:
+    """Lines, control totals and the unsupported ledger of a file of records (record_index, raw_offset, raw_len, record) out of one job.
+
+    Records are ordered by ranges first. The job that then makes and writes the lines gathers all totals while it does so, in
+    its last stage, where a task that is run again counts once. folder must be new; its files follow each other in record order, so
+    the digest of the output streams them as they are, without a sort. Seconds are those of parse, record and aggregate.
+    """
+    began = time.perf_counter()
+    layout = compile_layout(copybook, resolver)
+    parsed = time.perf_counter()
+    spark, seen = df.sparkSession, Observation()
+    ordered = df.select("record_index", "raw_offset", "raw_len", "record").repartitionByRange("record_index").sortWithinPartitions("record_index")
+    aggs = _total_aggs(layout, encoding)
+    kinds = df.agg(*aggs).schema
+    made = record_json(ordered.observe(seen, *aggs), layout, encoding)
+    made.write.parquet(folder)
+    lined = time.perf_counter()
+    lines = spark.read.schema("record_index long, line string, unsupported array<string>").parquet(folder)
+    totals = _total_rows(spark.createDataFrame([tuple(seen.get[k] for k in kinds.names)], kinds), layout)
+    out = file_digest(spark, files_of(folder), "line").first()
+    if out["records"] != seen.get["n"]:
+        raise RuntimeError(f"{out['records']} lines were written of {seen.get['n']} records")
+    return Pass(lines, totals, unsupported_ledger(lines), out["hash"], out["records"], {"parse": parsed - began, "record": lined - parsed, "aggregate": time.perf_counter() - lined})
+
+
 def courts_of(f: Field, layout: Layout, encoding: str = ASCII) -> list[str]:
     """What took part in a field's value, for the trail of evidence."""
     out = ["picture", "layout"] + (["copy-replacing"] if layout.used_copy else [])
@@ -152,7 +203,7 @@ NON_CLAIMS = ("business meaning", "posting", "ledger state")
 def explain_field(df: DataFrame, layout: Layout, name: str, record_index: int, encoding: str = ASCII) -> DataFrame:
     """Where a field of one record comes from and what its bytes are: provenance, offset, raw, value, validity, courts.
 
-    The record is chosen by a filter on record_index, which the source takes as a byte range.
+    ``nth_record`` hands over one record's bytes alone; of a larger df the record is filtered out.
     """
     f = layout.field(name)
     lits = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")

@@ -1,4 +1,4 @@
-"""Queries on nested records, record types, arriving files, key ranges and tables in SQL, with their SQL. Bytes are made by hand where it says so."""
+"""Queries on nested records, record types, arriving files, key ranges, tables in SQL, rule tables and saved records, with their SQL. Bytes are made by hand where it says so."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom import queries as q
-from recordloom.functions.decode import decode_long, typed
+from recordloom.functions.decode import decode_long, number, typed
 from recordloom.functions.nested import count_findings, decode_nested
-from recordloom.operators import route, views
+from recordloom.operators import custody, recon, route, rule_tables, views
 from recordloom.plans.copybook import compile_layout
 from recordloom.sources import copybook_table, fixedrec
 from recordloom.streaming.arrivals import record_stream
@@ -111,7 +111,59 @@ def sql_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM order_view JOIN customer_view ON O_CUST = c_custkey WHERE IS_OPEN GROUP BY ALL""")
 
 
-QUERIES = {f.__name__: f for f in (nested_occurs, odo_findings, variant_fields, stream_arrivals, diff_by_ranges, sql_using, sql_view)}
+def sentinel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules by the thousand: every third order's key by value, and each day on which a customer divisible by 50 has ordered by its bytes."""
+    o = q._table(spark, sf_dir, "orders")
+    keys = o.where("o_orderkey % 3 = 0").select(F.lit("O-KEY").alias("field"), F.lit("third").alias("meaning"), F.col("o_orderkey").cast("string").alias("value"), F.lit(None).cast("string").alias("raw_hex"))
+    days = o.where("o_custkey % 50 = 0").select(F.lit("O-DATE"), F.lit("day"), F.lit(None).cast("string"), F.hex(F.encode(F.date_format("o_orderdate", "yyyyMMdd"), "US-ASCII")))
+    gone = spark.createDataFrame([("O-GONE", "none", "1", None)], "field string, meaning string, value string, raw_hex string")
+    rules = keys.union(days).union(gone)
+    found = rule_tables.sentinels_by_table(q.orders(spark, sf_dir), q.ORDER, rules).select("record_index", "field", "meaning", "value")
+    told = rule_tables.fieldless(rules, q.ORDER).select(F.lit(None).cast("long"), "rule_id", "message", F.lit(None).cast("string"))
+    return found.union(told)
+
+
+def date_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates by a table of rules and sentinels: each day of the events' first month is declared to be none, as is 00000000."""
+    key = F.col("o_orderkey")
+    text = F.when(key % 17 == 0, F.lit("00000000")).when(key % 13 == 0, F.concat(F.date_format("o_orderdate", "yyyyMM"), F.lit("32"))).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    rows = q._once(q._table(spark, sf_dir, "orders").select(key.alias("record_index"), F.encode(text, "US-ASCII").alias("record")))
+    layout = compile_layout("01 D.\n 05 D-DATE PIC 9(8).\n")
+    rules = spark.createDataFrame([("D-DATE", "YYYYMMDD", True), ("D-DATE", "YYDDD", None), ("D-NONE", "YYYYMMDD", None)], "field string, format string, require_sentinel boolean")
+    days = q._table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.lit("D-DATE").alias("field"), F.date_format("o_orderdate", "yyyyMMdd").alias("text"))
+    sentinels = days.union(spark.createDataFrame([("D-DATE", "00000000")], "field string, text string"))
+    found = rule_tables.dates_by_table(rows, layout, rules, sentinels)
+    return found.select("record_index", "format", "text", "status", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+def pass_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control totals and the output's digest, gathered in the one job that writes the lines."""
+    rows = q.lines(spark, sf_dir).withColumns({"raw_offset": F.col("record_index"), "raw_len": F.length("record")})
+    made = recon.reconcile_pass(rows, q.LINE.text, fixedrec.new_folder(spark, "lines"))
+    totals = made.totals.where("kind in ('records', 'sum', 'condition')")
+    digest = recon.ordered_digest(made.lines, "record_index", "line").select(F.lit("digest").alias("kind"), (F.col("hash") == made.output_sha256).cast("string").alias("name"), F.lit(None).cast("string").alias("total"), F.col("records").alias("count"))
+    return totals.union(digest)
+
+
+def transformed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with an amount added, saved as a folder of records that its job commits, and read again."""
+    out, _ = recon.transform(q.orders(spark, sf_dir), q.ORDER, recon.Transform("add", "O-TOTAL", "12.34"))
+    folder = fixedrec.new_folder(spark, "transformed")
+    fixedrec.save_records(out.select("record_index", F.col("after").alias("record")), folder, 5)
+    rows = fixedrec.read_records(spark, folder, fixedrec.Policy(q.ORDER.record_len))
+    return rows.select("record_index", typed(q.ORDER.field("O-KEY")).cast("long").alias("order_key"), number(q.ORDER.field("O-TOTAL")).cast("decimal(18,2)").alias("total"))
+
+
+def line_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record chain over all lines and the digest of all keys in order, each against itself from other partitions and ranges."""
+    rows = q.lines(spark, sf_dir)
+    a, b = custody.record_chain(rows), custody.record_chain(rows.repartition(11), most=20_000)
+    keys = rows.select("record_index", F.col("record_index").cast("string").alias("t"))
+    digest = custody.ordered_digest(keys, "record_index", "t")
+    return a.join(b, ["hash", "records"], "left_semi").select(F.lit("chain").alias("kind"), "records", F.lit(None).cast("string").alias("hash")).union(digest.select(F.lit("digest"), "records", "hash"))
+
+
+QUERIES = {f.__name__: f for f in (nested_occurs, odo_findings, variant_fields, stream_arrivals, diff_by_ranges, sql_using, sql_view, sentinel_table, date_table, pass_totals, transformed_file, line_chain)}
 
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_returnflag) AS no FROM lineitem"
 ORACLE_SQL = {
@@ -127,6 +179,15 @@ ORACLE_SQL = {
     "sql_using": f"""SELECT o_orderstatus AS status, {q._DATE}[1:4]::INT AS year, count(*) AS orders, CAST(sum({q._TOTAL}) AS DECIMAL(18,2)) AS total, count(*) AS settled FROM orders
         WHERE {q._DATE} BETWEEN '19940301' AND '19970615' AND o_orderstatus IN ('F', 'P') AND {q._TOTAL} > 1000 GROUP BY ALL""",
     "sql_view": f"""SELECT c_mktsegment AS segment, o_orderpriority AS priority, count(*) AS orders, CAST(sum({q._TOTAL}) AS DECIMAL(18,2)) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY ALL""",
+    "sentinel_table": f"""SELECT o_orderkey AS record_index, 'O-KEY' AS field, 'third' AS meaning, o_orderkey::VARCHAR AS value FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 'O-DATE', 'day', {q._DATE} FROM orders WHERE {q._DATE} IN (SELECT {q._DATE} FROM orders WHERE o_custkey % 50 = 0) UNION ALL SELECT NULL, 'SENTINEL-NO-FIELD', 'no field O-GONE', NULL""",
+    "date_table": f"""WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN '00000000' WHEN o_orderkey % 13 = 0 THEN {q._DATE}[1:6] || '32' ELSE {q._DATE} END AS x FROM orders), s AS (SELECT DISTINCT {q._DATE} AS x FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT '00000000'),
+        j AS (SELECT k, t.x, s.x IS NOT NULL AS known FROM t LEFT JOIN s ON t.x = s.x)
+        SELECT k AS record_index, 'YYYYMMDD' AS format, x AS text, CASE WHEN known THEN 'declared_sentinel' WHEN x[7:8] = '32' THEN 'invalid_calendar' ELSE 'valid' END AS status, CASE WHEN NOT known AND x[7:8] = '32' THEN 'DATE-INVALID-CALENDAR-DATE,DATE-SENTINEL-UNDECLARED' ELSE '' END AS rule_ids FROM j
+        UNION ALL SELECT k, 'YYDDD', x, CASE WHEN known THEN 'declared_sentinel' ELSE 'invalid_format' END, CASE WHEN known THEN '' ELSE 'DATE-INVALID-FORMAT' END FROM j""",
+    "pass_totals": q.ORACLE_SQL["control_totals"] + " UNION ALL SELECT 'digest', 'true', NULL, count(*) FROM lineitem",
+    "transformed_file": f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS record_index, o_orderkey AS order_key, CAST({q._TOTAL} + 12.34 AS DECIMAL(18,2)) AS total FROM orders",
+    "line_chain": f"SELECT 'chain' AS kind, count(*) AS records, NULL AS hash FROM lineitem UNION ALL SELECT 'digest', count(*), sha256(string_agg(i || chr(10), '' ORDER BY i)) FROM (SELECT {q._INDEX} AS i FROM lineitem)",
     "diff_by_ranges": """SELECT c_custkey AS record_index, 'C-SEGMENT' AS name, 'DIFF-FIELD-MISMATCH' AS rule_id, c_mktsegment AS "left", 'ELSEWHERE' AS "right" FROM customer WHERE c_custkey % 250 = 0 AND c_custkey % 400 <> 0 AND c_mktsegment <> 'ELSEWHERE'
         UNION ALL SELECT c_custkey, name, 'DIFF-MISSING-FIELD', v, NULL FROM (
             SELECT c_custkey, unnest(['C-KEY', 'C-NAME', 'C-SEGMENT', 'C-BALANCE', 'C-OWED', 'C-OWED-IND']) AS name, unnest([c_custkey::VARCHAR, c_name, c_mktsegment, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, """ + q._OWED_IND + """]) AS v FROM customer WHERE c_custkey % 400 = 0)""",

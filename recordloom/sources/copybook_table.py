@@ -165,7 +165,7 @@ class _Columns:
             raise CopybookError("give copybook, its text, or copybook_path")
         text = options.get("copybook")
         if text is None:
-            with fixedrec._open(options["copybook_path"]) as f:
+            with fixedrec.open_file(options["copybook_path"]) as f:
                 text = f.read().decode()
         self.layout: Layout = compile_layout(text, from_directory(options["copydir"])) if "copydir" in options else compile_layout(text)
         self.encoding = options.get("encoding", ASCII)
@@ -197,7 +197,7 @@ class _Reader(fixedrec._Reader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         n, names = self.policy.record_len, ["record_index", *self.columns.items]
         step = max(1, (1 << 20) // n)
-        with fixedrec._open(part.path) as file:
+        with fixedrec.open_file(part.path) as file:
             file.seek(part.first * n)
             for a in range(part.first, part.first + part.count, step):
                 k = min(step, part.first + part.count - a)

@@ -10,6 +10,7 @@ local or a store's URI.
 from __future__ import annotations
 
 import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,10 @@ from enum import IntEnum
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "record_index long, raw_offset long, raw_len int, partial boolean, record binary"
 SPLIT_BYTES = 64 << 20
@@ -76,7 +78,7 @@ def _at(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def _open(path: str):
+def open_file(path: str):
     fs, at = _at(path)
     return fs.open_input_file(at)
 
@@ -92,7 +94,7 @@ def files_of(path: str) -> list[str]:
 
 def examine(path: str, policy: Policy) -> Span:
     """Applies the policy to the file's length and last byte; raises IngestError where it refuses."""
-    with _open(path) as f:
+    with open_file(path) as f:
         size = f.size()
         last = b""
         if size and size % policy.record_len == 1:
@@ -123,7 +125,7 @@ def read_range(part: Range, n: int) -> Iterator[pa.RecordBatch]:
     if not part.count:
         return
     step = max(1, _READ_BYTES // n)
-    with _open(part.path) as f:
+    with open_file(part.path) as f:
         f.seek(part.first * n)
         for a in range(part.first, part.first + part.count, step):
             k = min(step, part.first + part.count - a)
@@ -171,6 +173,87 @@ class FixedRecordSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options, schema, overwrite)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task's file: its place among the others, its name in the staging folder, its records and bytes."""
+
+    place: int
+    name: str
+    records: int
+    bytes: int
+
+
+class _Writer(DataSourceArrowWriter):
+    """Writes each task's records to a file in a staging folder; the job's commit moves the files in, its abort removes them.
+
+    A task that is killed or run again leaves nothing that is read: readers skip the staging folder, and only files that
+    a finished task has told are moved. The last thing written is _SUCCESS, which lists the files.
+    """
+
+    def __init__(self, options: dict, schema, overwrite: bool):
+        if "record" not in schema.names:
+            raise IngestError("there is no column record to write", ExitCode.UNREADABLE)
+        self.folder, self.overwrite, self.prefix = options["path"].rstrip("/"), overwrite, options.get("prefix", "part")
+        self.job = uuid.uuid4().hex
+        self.staging = f"{self.folder}/_staging-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        task = TaskContext.get()
+        fs, at = _at(self.staging)
+        fs.create_dir(at, recursive=True)
+        name, records, size = f"{task.partitionId():06}-{uuid.uuid4().hex}", 0, 0
+        with fs.open_output_stream(f"{at}/{name}") as out:
+            for batch in iterator:
+                for record in batch.column("record").to_pylist():
+                    if record is not None:
+                        out.write(record)
+                        records, size = records + 1, size + len(record)
+        return _Written(task.partitionId(), name, records, size)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, to = _at(self.folder)
+        _, staged = _at(self.staging)
+        fs.create_dir(to, recursive=True)
+        before = [] if not self.overwrite else [f.path for f in fs.get_file_info(pafs.FileSelector(to)) if f.type == pafs.FileType.File]
+        for path in before:
+            fs.delete_file(path)
+        files = []
+        for m in sorted((m for m in messages if m is not None and m.records), key=lambda m: m.place):
+            name = f"{self.prefix}-{m.place:06}.dat"
+            fs.move(f"{staged}/{m.name}", f"{to}/{name}")
+            files.append({"file": name, "records": m.records, "bytes": m.bytes})
+        with fs.open_output_stream(f"{to}/_SUCCESS") as out:
+            out.write(json.dumps({"job": self.job, "files": files}).encode())
+        self._clean(fs, staged)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clean(*_at(self.staging))
+
+    @staticmethod
+    def _clean(fs: pafs.FileSystem, staged: str) -> None:
+        if fs.get_file_info(staged).type == pafs.FileType.Directory:
+            fs.delete_dir(staged)
+
+
+def save_records(df: DataFrame, folder: str, files: int | None = None, mode: str = "append", prefix: str = "part") -> DataFrame:
+    """Saves the records (record_index, record) in order as a folder that ``read_records`` numbers through; all files or none.
+
+    Returns file, records, bytes of what this job wrote. Null records aren't written. ``append`` adds to what is there, under a
+    prefix of its own; ``overwrite`` removes it when the new files are complete.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(FixedRecordSource)
+    rows = df.select("record_index", "record")
+    rows = rows.repartitionByRange(files, "record_index") if files else rows.repartitionByRange("record_index")
+    rows.sortWithinPartitions("record_index").select("record").write.format("fixedrec").mode(mode).option("path", folder).option("prefix", prefix).save()
+    with open_file(f"{folder.rstrip('/')}/_SUCCESS") as f:
+        told = json.loads(f.read())
+    return spark.createDataFrame([(x["file"], x["records"], x["bytes"]) for x in told["files"]], "file string, records long, bytes long")
+
 
 def read_records(spark: SparkSession, path: str, policy: Policy, split_bytes: int = SPLIT_BYTES, first: int = 0, last: int | None = None) -> DataFrame:
     """record_index, raw_offset, raw_len, partial, record of a file or a folder; refused files raise before a plan is made.
@@ -264,7 +347,7 @@ def file_manifest(spark: SparkSession, path: str, policy: Policy) -> DataFrame:
             for at, code in zip(batch.column("path").to_pylist(), batch.column("exit_code").to_pylist(), strict=True):
                 h, n = hashlib.sha256(), 0
                 if code != ExitCode.UNREADABLE:
-                    with _open(at) as f:
+                    with open_file(at) as f:
                         while data := f.read(_READ_BYTES):
                             h.update(data)
                             n += len(data)
