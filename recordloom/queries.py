@@ -7,6 +7,7 @@ it is one plan of column expressions: scans read only the columns that a query u
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import replace
 from decimal import Decimal
 
@@ -531,16 +532,29 @@ def bank_report(spark, sf_dir):
     return spark.createDataFrame([(k, made[k]) for k in ("json", "markdown")], "format string, text string")
 
 
+def _pilot_unit(spark, sf_dir):
+    """Customers as a unit of the workflow: what they owe are debits, what they are owed credits; the trailer balances them."""
+    c = _table(spark, sf_dir, "customer")
+    owed, paid = F.abs(_money("c_acctbal")), _money("c_acctbal") < 0
+    details = _records(c, F.col("c_custkey"), pilot.DETAIL, {"REC-TYPE": F.lit("D"), "DR-CR-IND": F.when(paid, "C").otherwise("D"), "ACCT-ID": F.concat(F.lit("K"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")), "AMOUNT": owed, "FILLER": F.lit("")})
+    zero = F.lit(Decimal("0.00"))
+    sums = c.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(~paid, owed)), zero).alias("d"), F.coalesce(F.sum(F.when(paid, owed)), zero).alias("c"))
+    return details.union(_records(sums, F.lit(2**60), pilot.TRAILER, {"REC-TYPE": F.lit("T"), "TRL-COUNT": F.col("n"), "TRL-DEBIT": F.col("d"), "TRL-CREDIT": F.col("c"), "FILLER": F.lit("")}))
+
+
 def pilot_redaction(spark, sf_dir):
-    """The redacted fields of the declared sample unit, after the whole workflow and its leak check."""
-    made = pilot.run_pilot(pilot.sample_unit(spark), pilot.sample_pilot("unit-1"))
+    """The redacted fields of all customers, after the whole workflow and its leak check."""
+    made = pilot.run_pilot(_pilot_unit(spark, sf_dir), pilot.sample_pilot("unit-1"))
     return made.rows["redaction"].where("field <> 'FILLER'").select("record_index", "field", "action", "redacted", "value", "value_sha256")
 
 
 def pilot_packet(spark, sf_dir):
-    """The packet's pins and checklist for artifacts of known text."""
-    packet = views.pilot_packet({"redaction": "one", "extract": "two"}, "notes")
-    rows = [("pin " + k, v) for k, v in packet["artifacts"].items()] + [("notes", packet["notes_sha256"])] + [(f["rule_id"], f["detail"]) for f in packet["findings"]] + [("done " + c["item"], str(c["done"]).lower()) for c in packet["checklist"]]
+    """The packet of the same workflow: its checklist, its notes, and the pins of its row artifacts over all customers."""
+    made = pilot.run_pilot(_pilot_unit(spark, sf_dir), pilot.sample_pilot("unit-1", "notes"))
+    packet = json.loads(made.texts["packet"])
+    rows = [("notes", packet["notes_sha256"]), ("complete", str(packet["complete"]).lower())] + [(f["rule_id"], f["detail"]) for f in packet["findings"]] + [("done " + c["item"], str(c["done"]).lower()) for c in packet["checklist"]]
+    rows += [("rows " + k, str(v["records"])) for k, v in packet["rows"].items()] + [("redaction sha256", packet["rows"]["redaction"]["hash"])]
+    rows += [("pin " + k, v) for k, v in packet["artifacts"].items() if k == "redaction"]
     return spark.createDataFrame(rows, "item string, text string")
 
 
@@ -674,6 +688,9 @@ _CENTS = f"lpad(({_TOTAL} * 100)::BIGINT::VARCHAR, 11, '0')"
 _OWED_IND = f"(CASE WHEN {_BAL} < 0 THEN -1 WHEN {_BAL} > 5000 THEN 12 ELSE 0 END)::VARCHAR"
 
 
+_PILOT = f"SELECT c_custkey AS k, CASE WHEN {_BAL} < 0 THEN 'C' ELSE 'D' END AS p, 'K' || lpad(c_custkey::VARCHAR, 7, '0') AS a, abs({_BAL})::VARCHAR AS m FROM customer"
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -683,6 +700,17 @@ def _manifest(case: str, tail: str, length: int, records: int, code: int, partia
     return f"SELECT '{case}' AS \"case\", sha256(unhex({_NATION_HEXES} || '{tail}')) AS sha256, {500 + length}::BIGINT AS file_bytes, {records}::BIGINT AS record_count, {0 if records else -1}::BIGINT AS first_offset, {(records - 1) * 20 if records else -1}::BIGINT AS last_offset, {str(partial).lower()} AS partial, {str(stripped).lower()} AS stripped_line_feed, {code} AS exit_code"
 
 
+def _packet() -> str:
+    """The lines of the redaction as JSON, their digest, and what the packet says of it."""
+    shown = lambda field, value, raw: f"""SELECT k, '{field}' AS field, '{{"record_index":' || k || ',"field":"{field}","action":"allow","redacted":false,"value":"' || {value} || '","value_sha256":"' || sha256({value}) || '","raw_sha256":"' || sha256(unhex({raw})) || '","raw_hex":"' || {raw} || '"}}' AS line FROM d"""
+    token = """SELECT k, 'ACCT-ID' AS field, '{"record_index":' || k || ',"field":"ACCT-ID","action":"token","redacted":true,"value":"TOK-' || sha256('pilot:' || a)[1:12] || '","value_sha256":"' || sha256(a) || '","raw_sha256":"' || sha256(a) || '"}' AS line FROM d"""
+    cents = "lpad((m::DECIMAL(18,2) * 100)::BIGINT::VARCHAR, 9, '0') || 'c'"
+    lines = " UNION ALL ".join((token, shown("AMOUNT", "m", cents), shown("DR-CR-IND", "p", "lower(hex(encode(p)))"), shown("FILLER", "''", f"'{'20' * 13}'"), shown("REC-TYPE", "'D'", "'44'")))
+    return f"""WITH d AS ({_PILOT}), l AS ({lines}), h AS (SELECT sha256(string_agg(line || chr(10), '' ORDER BY k, field)) AS h, count(*) AS n FROM l)
+        SELECT * FROM (VALUES ('notes', sha256('notes')), ('complete', 'true'), ('done redaction', 'true'), ('done extract', 'true'), ('done casefile', 'true')) AS t(item, text)
+        UNION ALL SELECT 'rows redaction', n::VARCHAR FROM h UNION ALL SELECT 'rows fields', n::VARCHAR FROM h UNION ALL SELECT 'redaction sha256', h FROM h UNION ALL SELECT 'pin redaction', sha256('{{"hash": "' || h || '", "records": ' || n || '}}') FROM h"""
+
+
 def _report() -> str:
     sums = f"SELECT (count(*) || '.00') AS n, CAST(sum({_PRICE}) FILTER ({_PAID}) AS DECIMAL(38,2))::VARCHAR AS d, CAST(sum({_PRICE}) FILTER (NOT {_PAID}) AS DECIMAL(38,2))::VARCHAR AS c FROM lineitem"
     total = lambda m, c: f"""'{{"declared": "' || {c} || '", "measure": "{m}", "observed": "' || {c} || '", "ok": true}}'"""
@@ -767,10 +795,10 @@ ORACLE_SQL = {
     "chain_by_ranges": f"{_NATION_CHAIN} SELECT h AS hash, (SELECT count(*) FROM nation) AS records FROM c ORDER BY k DESC LIMIT 1",
     "order_chains": "SELECT l_orderkey AS unit, list_reduce(list(lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 3, '0') || l_returnflag ORDER BY l_linenumber, l_returnflag), lambda h, x: sha256(h || x), '') AS hash, count(*) AS records FROM lineitem GROUP BY l_orderkey",
     "bank_report": _report(),
-    "pilot_redaction": """WITH d AS (SELECT * FROM (VALUES (0::BIGINT, 'D', 'ACCT0001', '100.00'), (1, 'D', 'ACCT0002', '50.00'), (2, 'C', 'ACCT0003', '30.00')) AS t(i, p, a, m))
-        SELECT i AS record_index, 'REC-TYPE' AS field, 'allow' AS action, false AS redacted, 'D' AS value, sha256('D') AS value_sha256 FROM d UNION ALL SELECT i, 'DR-CR-IND', 'allow', false, p, sha256(p) FROM d
-        UNION ALL SELECT i, 'ACCT-ID', 'token', true, 'TOK-' || sha256('pilot:' || a)[1:12], sha256(a) FROM d UNION ALL SELECT i, 'AMOUNT', 'allow', false, m, sha256(m) FROM d""",
-    "pilot_packet": "SELECT * FROM (VALUES ('pin redaction', sha256('one')), ('pin extract', sha256('two')), ('notes', sha256('notes')), ('PILOT-MISSING-REQUIRED', 'casefile'), ('done redaction', 'true'), ('done extract', 'true'), ('done casefile', 'false')) AS t(item, text)",
+    "pilot_redaction": f"""WITH d AS ({_PILOT})
+        SELECT k AS record_index, 'REC-TYPE' AS field, 'allow' AS action, false AS redacted, 'D' AS value, sha256('D') AS value_sha256 FROM d UNION ALL SELECT k, 'DR-CR-IND', 'allow', false, p, sha256(p) FROM d
+        UNION ALL SELECT k, 'ACCT-ID', 'token', true, 'TOK-' || sha256('pilot:' || a)[1:12], sha256(a) FROM d UNION ALL SELECT k, 'AMOUNT', 'allow', false, m, sha256(m) FROM d""",
+    "pilot_packet": _packet(),
     "currency_rules": f"""WITH o AS (SELECT o_orderkey AS k, {_TOTAL}::VARCHAR AS v FROM orders)
         SELECT k AS record_index, 'P-AMT' AS field, v AS value, 2 AS observed_scale, 'USD' AS code, '' AS rule_ids FROM o UNION ALL SELECT k, 'P-AMT', v, 2, NULL, 'CURRENCY-SCALE-MISMATCH,CURRENCY-MISSING-CODE' FROM o
         UNION ALL SELECT k, 'P-AMT', v, 2, NULL, '' FROM o UNION ALL SELECT k, 'P-RATE', '12.345', NULL, NULL, 'CURRENCY-ROLE-NOT-AMOUNT' FROM o UNION ALL SELECT k, 'P-GONE', NULL, NULL, NULL, 'CURRENCY-MISSING-FIELD' FROM o""",
