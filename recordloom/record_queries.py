@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -163,7 +166,55 @@ def line_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["hash", "records"], "left_semi").select(F.lit("chain").alias("kind"), "records", F.lit(None).cast("string").alias("hash")).union(digest.select(F.lit("digest"), "records", "hash"))
 
 
-QUERIES = {f.__name__: f for f in (nested_occurs, odo_findings, variant_fields, stream_arrivals, diff_by_ranges, sql_using, sql_view, sentinel_table, date_table, pass_totals, transformed_file, line_chain)}
+SIGNED = compile_layout("""
+    01 SIGNED-REC.
+       05 N-KEY   PIC 9(9).
+       05 N-TAIL  PIC S9(7)V99.
+       05 N-HEAD  PIC S9(7)V99 SIGN IS LEADING.
+       05 N-LAST  PIC S9(7)V99 SIGN IS TRAILING SEPARATE.
+       05 N-FIRST PIC S9(7)V99 SIGN IS LEADING SEPARATE.
+""")
+
+
+def decode_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display numbers with their sign over the last digit, over the first, after all and before all; bytes made by hand."""
+    cents = (q._money("c_acctbal") * 100).cast("long")
+    digits, negative = F.lpad(F.abs(cents).cast("string"), 9, "0"), cents < 0
+    over = lambda c: F.when(negative, F.translate(c, "0123456789", "pqrstuvwxy")).otherwise(c)
+    sign = F.when(negative, "-").otherwise("+")
+    text = F.concat(F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.substring(digits, 1, 8), over(F.substring(digits, 9, 1)), over(F.substring(digits, 1, 1)), F.substring(digits, 2, 8), digits, sign, sign, digits)
+    rows = q._once(q._table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_index"), F.encode(text, "US-ASCII").alias("record")))
+    return rows.select("record_index", *(typed(SIGNED.field(n)).cast("decimal(18,2)").alias(n[2:].lower()) for n in ("N-TAIL", "N-HEAD", "N-LAST", "N-FIRST")))
+
+
+def decode_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file whose last record is cut, decoded: the fields that are there have their values, the others say why they have none."""
+    rows = fixedrec.read_records(spark, q._nation_file(spark, sf_dir, b"0099CUT"), fixedrec.Policy(q.NATION.record_len, partial="evidence"))
+    return decode_long(rows, q.NATION, keys=("record_index", "partial")).select("record_index", "partial", "name", "value", "valid")
+
+
+def strict_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strict decoding stops with: the first record that has a bad field, and its name."""
+    try:
+        recon.strict_decode(q._dirty(spark, sf_dir), q.LINE).write.format("noop").mode("overwrite").save()
+        said = "nothing is invalid"
+    except PySparkException as e:
+        said = re.search(r"record \d+: invalid .*?(?= SQLSTATE|\n|$)", str(e))[0]
+    return spark.createDataFrame([(said,)], "message string")
+
+
+def line_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of records with a condition and an edited field, whose block of evidence stands in the audit."""
+    rows = q.lines(spark, sf_dir).withColumns({"raw_offset": F.col("record_index") * q.LINE.record_len, "raw_len": F.length("record")})
+    return recon.record_json(rows, q.LINE).select("record_index", "line")
+
+
+def bank_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals, found = route.reconcile_banking(q._with_trailer(spark, sf_dir, "0.01"), q._variants(), q.CONTROL)
+    return spark.createDataFrame([(views.reconcile_report(totals, found, {})["sarif"],)], "sarif string")
+
+
+QUERIES = {f.__name__: f for f in (nested_occurs, odo_findings, variant_fields, stream_arrivals, diff_by_ranges, sql_using, sql_view, sentinel_table, date_table, pass_totals, transformed_file, line_chain, decode_signed, decode_tail, strict_failure, line_json, bank_sarif)}
 
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_returnflag) AS no FROM lineitem"
 ORACLE_SQL = {
@@ -188,6 +239,16 @@ ORACLE_SQL = {
     "pass_totals": q.ORACLE_SQL["control_totals"] + " UNION ALL SELECT 'digest', 'true', NULL, count(*) FROM lineitem",
     "transformed_file": f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS record_index, o_orderkey AS order_key, CAST({q._TOTAL} + 12.34 AS DECIMAL(18,2)) AS total FROM orders",
     "line_chain": f"SELECT 'chain' AS kind, count(*) AS records, NULL AS hash FROM lineitem UNION ALL SELECT 'digest', count(*), sha256(string_agg(i || chr(10), '' ORDER BY i)) FROM (SELECT {q._INDEX} AS i FROM lineitem)",
+    "decode_signed": f"SELECT c_custkey AS record_index, {q._BAL} AS tail, {q._BAL} AS head, {q._BAL} AS last, {q._BAL} AS first FROM customer",
+    "decode_tail": """SELECT n_nationkey::BIGINT AS record_index, false AS partial, unnest(['N-KEY', 'N-NAME', 'N-REGION']) AS name, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS value, true AS valid FROM nation
+        UNION ALL SELECT * FROM (VALUES (25, true, 'N-KEY', '99', true), (25, true, 'N-NAME', '(record too short for field)', false), (25, true, 'N-REGION', '(record too short for field)', false)) AS t""",
+    "strict_failure": f"SELECT 'record ' || min({q._INDEX}) || ': invalid L-PRICE' AS message FROM lineitem WHERE l_orderkey % 97 = 0",
+    "line_json": f"""WITH t AS (SELECT {q._INDEX} AS i, l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS DECIMAL(18,2)) AS qty, {q._PRICE} AS price, lpad(format('{{:,.2f}}', l_extendedprice), 10, ' ') AS shown, l_returnflag AS f FROM lineitem),
+        b AS (SELECT *, lower(hex(encode('D' || lpad(k::VARCHAR, 10, '0') || lpad(n::VARCHAR, 3, '0'))) || lpad((qty * 100)::BIGINT::VARCHAR, 7, '0') || 'c' || lpad((price * 100)::BIGINT::VARCHAR, 11, '0') || 'c' || hex(encode(shown || '  ' || f))) AS x FROM t)
+        SELECT i AS record_index, '{{"record_index":' || i || ',"fields":{{"L-TYPE":"D","L-KEY":"' || k || '","L-NO":"' || n || '","L-QTY":"' || qty || '","L-PRICE":"' || price || '","L-SHOWN":"' || shown || '","L-FLAG":"' || f || '"}},"conditions":{{"RETURNED":' || (f = 'R') || '}},"audit":{{"raw_offset":' || i * 37 || ',"raw_len":37,"record_sha256":"' || sha256(unhex(x))
+            || '","edited":{{"L-SHOWN":{{"raw_text":"' || shown || '","numeric_value":"' || price || '","claim":"edited-picture","domain":"edited-display-decode"}}}}}}}}' AS line FROM b""",
+    "bank_sarif": f"""SELECT '{{"runs": [{{"results": [{{"level": "warning", "message": {{"text": "debit_total: declared ' || (s + 0.01)::DECIMAL(38,2) || ' != observed ' || s || '"}}, "occurrenceCount": 1, "ruleId": "BANK-CONTROL-MISMATCH"}}], "tool": {{"driver": {{"name": "recordloom", "rules": [{{"id": "BANK-CONTROL-MISMATCH"}}]}}}}}}], "version": "2.1.0"}}' AS sarif
+        FROM (SELECT CAST(sum({q._PRICE}) FILTER ({q._PAID}) AS DECIMAL(38,2)) AS s FROM lineitem)""",
     "diff_by_ranges": """SELECT c_custkey AS record_index, 'C-SEGMENT' AS name, 'DIFF-FIELD-MISMATCH' AS rule_id, c_mktsegment AS "left", 'ELSEWHERE' AS "right" FROM customer WHERE c_custkey % 250 = 0 AND c_custkey % 400 <> 0 AND c_mktsegment <> 'ELSEWHERE'
         UNION ALL SELECT c_custkey, name, 'DIFF-MISSING-FIELD', v, NULL FROM (
             SELECT c_custkey, unnest(['C-KEY', 'C-NAME', 'C-SEGMENT', 'C-BALANCE', 'C-OWED', 'C-OWED-IND']) AS name, unnest([c_custkey::VARCHAR, c_name, c_mktsegment, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, """ + q._OWED_IND + """]) AS v FROM customer WHERE c_custkey % 400 = 0)""",
