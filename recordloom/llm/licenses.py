@@ -39,14 +39,22 @@ TEMPLATES = {
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
         <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
         <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
-        and/or other materials provided with the distribution. <<beginOptional>><<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;match=.+;words=1-10>> nor the names of its
-        contributors may be used to endorse or promote products derived from this software without specific prior written permission.<<endOptional>> THIS SOFTWARE IS PROVIDED BY
-        <<var;name=holders;match=.+;words=1-10>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
-        PARTICULAR PURPOSE ARE DISCLAIMED.""",
-    "bsd-3-clause": """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution. <<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;match=.+;words=1-10>> nor the names of its contributors may be used to
-        endorse or promote products derived from this software without specific prior written permission.""",
-    "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY <<var;name=holders;match=.+;words=1-10>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name=liable;match=.+;words=1-10>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+        ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.
+        <<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;match=.+;words=1-10>> nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY <<var;name=holders;match=.+;words=1-10>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name=liable;match=.+;words=1-10>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+        ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above
         copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name=holders;match=.+;words=1-6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
         SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
     "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
@@ -56,13 +64,44 @@ TEMPLATES = {
     "gpl-notice": """free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU
         <<beginOptional>><<var;name=kind;match=lesser|affero|library;words=1-1>><<endOptional>> General Public License as published by the Free Software Foundation;
         <<beginOptional>>either<<endOptional>> version <<var;name=version;match=[1-3];words=1-2>> of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>.""",
-    "zlib": """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+    "zlib-text": """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
         restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
-    "unlicense": """free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+    "unlicense-text": """free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
         form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
-    "boost": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+    "boost-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
         <<beginOptional>>(the "Software")<<endOptional>> to use, reproduce, display, distribute, execute, and transmit the Software""",
+    "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name=holders;match=.+;words=1-6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+        SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name=liable;match=.+;words=1-6>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        <<var;name=spelling;match=acknowledge?ment;words=1-1>> in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must
+        be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source
+        distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+        software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE
+        OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "boost": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+        <<beginOptional>>(the "Software")<<endOptional>> to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+        third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant,
+        this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative
+        works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING
+        THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE.""",
 }
+#: The opening or short form of a license, and the whole wordings that hold it: it isn't told where one of these is.
+PART_OF = {
+    "mit-text": ("mit-license",), "bsd-text": ("bsd-2-clause", "bsd-3-clause"), "apache-2.0": ("apache-2.0-notice",), "gpl-versioned": ("gpl-notice",), "isc-text": ("isc",), "zlib-text": ("zlib",),
+    "unlicense-text": ("unlicense",), "boost-text": ("boost",),
+}
 #: So many mandatory words make a match certain; fewer score in proportion.
 CERTAIN = 5
 
@@ -211,6 +250,7 @@ def _scan(phrases: dict[str, str], templates: dict[str, str]):
                         if label not in more and automata[label].match_end(words, i) >= 0:
                             more.add(label)
                             best = max(best, automata[label].mandatory)
+                more -= {part for part, wholes in PART_OF.items() if more.intersection(wholes)}
                 out.append((doc, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), min(1.0, best / CERTAIN)))
             if out:
                 kinds = [batch.column("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
@@ -224,7 +264,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs`` (doc_id, text).
 
     n_base counts all places where a phrase's words stand consecutively; first_word and last_word are the smallest and largest
-    of these, null where there is none. labels adds the templates that match anywhere. score is the longest mandatory wording
+    of these, null where there is none. labels adds the templates that match anywhere, but the openings of licenses that match whole. score is the longest mandatory wording
     found, in words, over CERTAIN, 1 at most. A null text is empty: no words, empty labels, score 0. Repeated rows and null
     doc_ids get their result each time; more columns are ignored; an empty table gives no rows.
     """
@@ -251,8 +291,9 @@ def oracle() -> str:
     has = {label: f"contains(j, ' {p} ')" for p, label in PHRASES.items()}
     hit = {label: f"regexp_matches(j, '{as_regex(parse(t))} ')" for label, t in TEMPLATES.items()}
     joined = lambda d: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' ELSE '' END" for k, c in d.items()) + "], lambda x: x <> '')), ',')"
+    told = hit | {k: f"{hit[k]} AND NOT ({' OR '.join(hit[w] for w in wholes)})" for k, wholes in PART_OF.items()}
     best = ", ".join([f"CASE WHEN {c} THEN {len(p.split())} ELSE 0 END" for (p, _), c in zip(PHRASES.items(), has.values(), strict=True)] + [f"CASE WHEN {hit[k]} THEN {compile_template(t).mandatory} ELSE 0 END" for k, t in TEMPLATES.items()])
     return f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 e AS (SELECT doc_id, w, {places} AS p, ' ' || array_to_string(w, ' ') || ' ' AS j FROM d)
-SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, {joined(has)} AS base_labels, {joined(has | hit)} AS labels, least(1.0, greatest({best}) / {CERTAIN})::DOUBLE AS score FROM e"""
+SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, {joined(has)} AS base_labels, {joined(has | told)} AS labels, least(1.0, greatest({best}) / {CERTAIN})::DOUBLE AS score FROM e"""
