@@ -2,7 +2,8 @@
 
 Besides a weight for each term it learns a vector for each, whose products weigh pairs: an insult beside a mention of a group
 can count for more than the two alone. Every term of the bounded sample of labelled rows gets both; runs of characters let
-inflected forms share theirs. How freely a term's weight moves follows from its evidence. One task fits, as the sample is
+inflected forms share theirs. How freely a term's weight and vector move follows from its evidence: its own, or that of a pair which
+it is part of, so that two terms which show nothing alone are learnt as a pair. One task fits, as the sample is
 bounded; scoring reads every whole text once, without a shuffle.
 """
 
@@ -28,6 +29,9 @@ MOST_ROWS = 20_000
 RUN = 4
 #: A term's feature is the square of its standard errors by this, 1 at most: with little evidence it is small, but never left out.
 FULL_Z = 10.0
+#: Terms among which pairs are looked for that tell more than their members, and the standard errors from which on a pair counts
+#: somewhat and wholly.
+PAIR_TERMS, LEAST_PAIR_Z, FULL_PAIR_Z = 1024, 6.0, 12.0
 #: Share of clean training rows that may score over 0.5 where the machine hasn't seen them.
 FALSE_ALARMS = 0.003
 FACTORS = 4
@@ -97,15 +101,38 @@ def _fit(start: np.ndarray, at: np.ndarray, y: np.ndarray, scale: np.ndarray, fa
     return float(theta[0][0]), theta[1] * scale, theta[2] * scale[:, None]
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = 300, rate: float = 0.05, ridge: float = 6e-5) -> Machine:
-    """The machine for rows of 0 and 1 for each term, all rows in every step and all terms at full scale."""
-    row, at = np.nonzero(x)
-    start = np.searchsorted(row, np.arange(len(x) + 1))
-    return Machine(terms, *_fit(start, at, y, np.ones(x.shape[1]), factors, steps, rate, ridge, len(x)))
+def _pair_evidence(start: np.ndarray, at: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """For each of m terms how much its strongest pair tells beyond its members, from 0 to 1.
+
+    For two terms that is the sum over rows of label, first and second term, each less its mean, in standard errors. It is about
+    0 where a term alone tells all that the pair tells. The PAIR_TERMS terms whose presence varies most are looked at; with so many
+    pairs, LEAST_PAIR_Z standard errors come about by chance.
+    """
+    n = len(y)
+    count = np.bincount(at, minlength=m)
+    top = np.argsort(-count * (n - count), kind="stable")[:PAIR_TERMS]
+    place = np.full(m, -1)
+    place[top] = np.arange(len(top))
+    label, share = (y - y.mean()).astype(np.float32), (count[top] / n).astype(np.float32)
+    total, spread = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
+    for lo in range(0, n, 2000):
+        hi = min(n, lo + 2000)
+        own = place[at[start[lo] : start[hi]]]
+        row = np.repeat(np.arange(hi - lo), np.diff(start[lo : hi + 1]))
+        x = np.zeros((hi - lo, len(top)), np.float32)
+        x[row[own >= 0], own[own >= 0]] = 1
+        x -= share
+        total += x.T @ (x * label[lo:hi, None])
+        spread += (x**2).T @ (x**2 * label[lo:hi, None] ** 2)
+    z = np.abs(total) / np.sqrt(spread + 1e-9)
+    np.fill_diagonal(z, 0)
+    out = np.zeros(m)
+    out[top] = np.clip((z.max(axis=1, initial=0) - LEAST_PAIR_Z) / (FULL_PAIR_Z - LEAST_PAIR_Z), 0, 1)
+    return out
 
 
 def fit_sample(lists: list[np.ndarray], y: np.ndarray, steps: int = 40, rate: float = 0.1, ridge: float = 1e-5, batch: int = 1000) -> Machine:
-    """The machine for rows of hashed terms. All terms get a weight and a vector.
+    """The machine for rows of hashed terms. All terms get a weight and a vector, whose scale is the evidence of the term or of a pair.
 
     Two machines, each fitted on every other row, score the rows that they haven't seen; the bias is moved so that the score is
     0.5 where no more than FALSE_ALARMS of the clean ones among these are above.
@@ -120,9 +147,10 @@ def fit_sample(lists: list[np.ndarray], y: np.ndarray, steps: int = 40, rate: fl
         share = np.bincount(own, minlength=len(terms)) / n
         hits = np.bincount(own, weights=np.repeat(y[rows], sizes), minlength=len(terms))
         z = (hits - t * share) / np.sqrt(t * share * (1 - share) * (n - t) / max(n - 1, 1) + 1e-9)
-        scale = np.minimum(np.abs(z) / FULL_Z, 1) ** 2
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        scale = np.maximum(np.minimum(np.abs(z) / FULL_Z, 1) ** 2, _pair_evidence(begins, own, y[rows], len(terms)))
         passes = max(4 * -(-n // batch), steps)
-        return _fit(np.concatenate([[0], np.cumsum(sizes)]), own, y[rows], scale, FACTORS, passes, rate, ridge, batch)
+        return _fit(begins, own, y[rows], scale, FACTORS, passes, rate, ridge, batch)
 
     bias, weights, vectors = fitted(np.arange(len(y)))
     halves = [np.arange(i, len(y), 2) for i in (0, 1)]

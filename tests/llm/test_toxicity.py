@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import toxicity
@@ -49,13 +50,43 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert all(r[1] == out(r[0]) and r[3] == int(r[0] % 4 == 0) for r in one)
 
 
-def test_pairs_are_learnt_beyond_single_terms():
-    """Either term alone is harmless; a linear score can't tell the pair apart."""
-    rng = random.Random(1)
-    x = np.array([[rng.random() < 0.5, rng.random() < 0.5] for _ in range(2000)], float)
-    y = (x.sum(axis=1) != 1).astype(float)
-    machine = toxicity.fit_machine(x, y, np.array([0, 1]), steps=600)
-    assert ((machine.score(x) >= 0.5) == (y == 1)).all()
+def paired(rule, seed, n=5000):
+    """Rows of two terms and thirty of two thousand others; the label follows from the two alone."""
+    rng = np.random.default_rng(seed)
+    one, two = rng.random((2, n)) < 0.5
+    lists = [np.unique(np.concatenate([[1] * a, [2] * b, rng.integers(10, 2000, 30)])).astype(np.int32) for a, b in zip(one.astype(int), two.astype(int), strict=True)]
+    return lists, rule(one, two).astype(float)
+
+
+def right(machine, lists, y):
+    place = {int(t): i for i, t in enumerate(machine.terms)}
+    known = [[place[int(t)] for t in terms if int(t) in place] for terms in lists]
+    sums = machine.sums(np.repeat(np.arange(len(known)), [len(k) for k in known]), np.concatenate(known).astype(np.int64), len(known))
+    return ((sums >= 0) == (y == 1)).mean()
+
+
+@pytest.mark.parametrize("rule", [np.logical_xor, lambda a, b: ~np.logical_xor(a, b), np.logical_and])
+def test_pairs_are_learnt_beyond_single_terms(rule):
+    """Where exactly one of two terms, neither or both, or only both make a row toxic: a linear score can't tell the first two apart."""
+    lists, y = paired(rule, 1)
+    machine = toxicity.fit_sample(lists[:4000], y[:4000])
+    assert right(machine, lists[4000:], y[4000:]) >= 0.95
+
+
+def test_rare_pairs_are_learnt():
+    """Two terms of a tenth of the rows each, toxic if exactly one of them is there beside a third of half the rows."""
+    rng = np.random.default_rng(5)
+    a, b, c = rng.random(6000) < 0.1, rng.random(6000) < 0.1, rng.random(6000) < 0.5
+    y = (c & (a ^ b)).astype(float)
+    lists = [np.unique(np.concatenate([[1] * i, [2] * j, [3] * k, rng.integers(10, 1000, 20)])).astype(np.int32) for i, j, k in zip(*(v.astype(int) for v in (a, b, c)), strict=True)]
+    machine = toxicity.fit_sample(lists[:5000], y[:5000])
+    assert right(machine, lists[5000:], y[5000:]) >= 0.95
+
+
+def test_no_evidence_comes_from_pairs_of_noise():
+    lists, y = paired(lambda a, b: np.random.default_rng(9).random(len(a)) < 0.3, 4)
+    start = np.cumsum([0, *map(len, lists)])
+    assert (toxicity._pair_evidence(start, np.concatenate(lists), y, 2000) == 0).all()
 
 
 def test_awkward_rows(spark, awkward, nothing):
