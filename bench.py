@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recordloom import queries as q
 from recordloom.functions.decode import decode
 from recordloom.operators import custody, recon, route
+from recordloom.sources import copybook_table, fixedrec
 
 
 def main() -> None:
@@ -28,6 +29,9 @@ def main() -> None:
         for name, df in (("lines", q._with_trailer(spark, sf_dir)), ("orders", q.orders(spark, sf_dir)), ("mixed", q._headers(spark, sf_dir).union(q.lines(spark, sf_dir)))):
             df.repartition(int(cpus)).write.parquet(f"{folder}/{name}")
         lines, orders, mixed = (spark.read.parquet(f"{folder}/{n}") for n in ("lines", "orders", "mixed"))
+        copybook_table.register(spark)
+        ordered = orders.select("record_index", "record")
+        fixedrec.save_records(ordered, f"{folder}/files", int(cpus))
         details = lines.where(F.substring("record", 1, 1) == F.lit(b"D"))
         run = {
             "decode": lambda: decode(details, q.LINE),
@@ -37,6 +41,9 @@ def main() -> None:
             "dirty_fields": lambda: recon.dirty_fields(details, q.LINE),
             "record_json": lambda: recon.record_json(orders.withColumns({"raw_offset": F.col("record_index"), "raw_len": F.length("record")}), q.ORDER),
             "record_chain": lambda: custody.record_chain(details),
+            "file_source": lambda: decode(fixedrec.read_records(spark, f"{folder}/files", fixedrec.Policy(q.ORDER.record_len), split_bytes=1 << 20), q.ORDER),
+            "copybook_source": lambda: spark.read.format("copybook").options(path=f"{folder}/files", copybook=q.ORDER.text, split_bytes=1 << 20).load(),
+            "sequence_gaps": lambda: custody.sequence_gaps(orders, "record_index"),
             "transform_add": lambda: recon.transform(orders, q.ORDER, recon.Transform("add", "O-TOTAL", "1.00"))[0],
         }
         seconds = {}
