@@ -24,7 +24,7 @@ class LeakError(RuntimeError):
 
 @dataclass(frozen=True)
 class Pilot:
-    """least: clear values of fewer characters aren't looked for, as they stand in any text by chance."""
+    """least: clear values of fewer characters aren't looked for in texts, where they stand by chance, but in their own field alone."""
 
     unit: str
     variants: VariantSpec
@@ -47,25 +47,29 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.select("record_index", "field", F.to_json(F.struct(*df.columns)).alias("line"))
 
 
-def _clear_values(details: DataFrame, pilot: Pilot, encoding: str) -> Column | None:
+def _hidden(pilot: Pilot, encoding: str) -> dict[str, Column]:
+    """The clear values of a detail's fields that aren't allowed to be seen."""
     layout = next(v for v in pilot.variants.variants if v.name == pilot.control.detail).layout
-    kept = lambda f: pilot.redaction.actions.get(f.name, pilot.redaction.unlisted) == "allow"
-    hidden = [value(f, encoding) for f in layout.elementary() if not kept(f)]
-    return F.filter(F.array(*hidden), lambda v: F.length(v) >= pilot.least) if hidden else None
+    return {f.name: value(f, encoding) for f in layout.elementary() if pilot.redaction.actions.get(f.name, pilot.redaction.unlisted) != "allow"}
 
 
 def leaks(details: DataFrame, evidence: Evidence, pilot: Pilot, encoding: str = ASCII) -> list[str]:
-    """Names of artifacts that hold a clear value of any record. Texts are looked through for every record's values, row artifacts
-    for those of the row's own record."""
-    clear = _clear_values(details, pilot, encoding)
-    if clear is None:
+    """Names of artifacts that hold a clear value of any record.
+
+    Texts are looked through for every record's values, row artifacts for those of the row's own record. Values too short
+    to be looked for in text are compared with what a row artifact gives for their own field, whole.
+    """
+    hidden = _hidden(pilot, encoding)
+    if not hidden:
         return []
-    own = details.select("record_index", clear.alias("clear"))
+    clear = F.filter(F.array(*hidden.values()), lambda v: F.length(v) >= pilot.least)
+    own = details.select("record_index", clear.alias("clear"), F.map_from_arrays(F.array(*map(F.lit, hidden)), F.array(*hidden.values())).alias("by_field"))
     texts = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in sorted(evidence.texts.items())))
     bad = [own.select(F.explode("clear").alias("v")).distinct().select(F.explode(F.filter(texts, lambda t: F.contains(t["text"], F.col("v")))).alias("t")).select("t.name")]
     for name, rows in evidence.rows.items():
-        held = _lines(rows).join(own, "record_index").where(F.exists("clear", lambda v: F.contains(F.col("line"), v)))
-        bad.append(held.select(F.lit(name).alias("name")))
+        shown = rows.select("record_index", "field", F.to_json(F.struct(*rows.columns)).alias("line"), (F.col("value") if "value" in rows.columns else F.lit(None).cast("string")).alias("shown"))
+        inside, whole = F.exists("clear", lambda v: F.contains(F.col("line"), v)), (F.length("shown") > 0) & (F.col("shown") == F.try_element_at("by_field", F.col("field")))
+        bad.append(shown.join(own, "record_index").where(inside | F.coalesce(whole, F.lit(False))).select(F.lit(name).alias("name")))
     found = bad[0]
     for b in bad[1:]:
         found = found.union(b)

@@ -127,3 +127,18 @@ def test_chains_do_not_depend_on_partitions(spark):
     of = lambda k: [r for _, r in sorted((i // 3, r) for i, r in enumerate(records) if i // 3 % 3 == k)]
     assert got == {None: (chain(of(0)), len(of(0))), "true": (chain(of(1)), len(of(1))), "false": (chain(of(2)), len(of(2)))}
     assert custody.unit_chains(units.limit(0), "u").count() == 0
+
+
+def test_short_values_leak_through_their_own_field(spark):
+    from recordloom.plans.pilot import Evidence, Pilot, leaks
+    from recordloom.operators.route import Control, Variant, VariantSpec
+
+    layout = compile_layout("01 D.\n05 T PIC X.\n05 P PIC X.\n05 PIN PIC X(3).\n05 AMT PIC 9(3)V99.\n")
+    spec = VariantSpec(0, 1, (Variant("d", b"D", layout), Variant("t", b"T", layout)))
+    control = Control("d", "t", "AMT", "P", ("D",), ("C",), "AMT", "AMT", "AMT", {"AMT": "amount"})
+    pilot = Pilot("u", spec, control, custody.PostingSpec("u", "X"), profiles.Redaction("s", {"T": "allow", "P": "allow", "AMT": "allow", "PIN": "token"}))
+    df = rows(spark, b"DD12 00100", b"DD   00200")
+    schema = "record_index long, field string, value string"
+    shown = lambda *r: Evidence({"note": "12 is said here"}, {"rows": spark.createDataFrame(list(r), schema)})
+    assert leaks(df, shown((0, "PIN", "12")), pilot) == ["rows"]
+    assert leaks(df, shown((0, "PIN", "TOK-12"), (0, "AMT", "12"), (1, "PIN", "12"), (1, "PIN", ""), (0, "PIN", None)), pilot) == []
