@@ -21,12 +21,16 @@ def no_copy(name: str) -> str | None:
     return None
 
 
+#: The suffixes under which a member may be stored, in the order in which they are tried.
+SUFFIXES = ("", ".cpy", ".CPY", ".cbl", ".cob")
+
+
 def from_directory(folder: str) -> Resolver:
     """Finds members by name as given or in lower case, bare or with a usual suffix."""
 
     def find(name: str) -> str | None:
         for stem in (name, name.lower()):
-            for suffix in ("", ".cpy", ".CPY", ".cbl", ".cob"):
+            for suffix in SUFFIXES:
                 if os.path.isfile(at := os.path.join(folder, stem + suffix)):
                     with open(at, encoding="utf-8") as f:
                         return f.read()

@@ -101,7 +101,7 @@ def draws(seed: int):
 
 
 def rows(family: str, n: int = 120) -> list[tuple[str, ...]]:
-    """Each record's values as text, in field order."""
+    """Each record's values as text, in field order. These recipes give the bytes of the digests above."""
     below = draws(SEEDS[family])
     sign = lambda k: "-" if below(k) == 0 else ""
     money = lambda n, plus=0: f"{plus + below(n)}.{below(100):02d}"
