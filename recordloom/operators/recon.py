@@ -11,7 +11,7 @@ from decimal import Decimal, InvalidOperation
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from recordloom.functions.decode import ASCII, CP500, condition, decode_long, number, raw_bytes, raw_hex, valid, value
+from recordloom.functions.decode import ASCII, CP500, condition, number, raw_bytes, raw_hex, row_each, valid, value
 from recordloom.functions.encode import encode_number, encode_text
 from recordloom.operators.custody import file_digest, ordered_digest
 from recordloom.operators.findings import FINDING, finding
@@ -274,7 +274,10 @@ def transform(df: DataFrame, layout: Layout, what: Transform, encoding: str = AS
 
 
 def transform_delta(changed: DataFrame, layout: Layout, encoding: str = ASCII) -> DataFrame:
-    """record_index, name, before, after of each field whose value a transform changed."""
-    was = decode_long(changed.select("record_index", F.col("before").alias("record")), layout, encoding).select("record_index", "name", F.col("value").alias("before"))
-    now = decode_long(changed.select("record_index", F.col("after").alias("record")), layout, encoding).select("record_index", "name", F.col("value").alias("after"))
-    return was.join(now, ["record_index", "name"]).where(~F.col("before").eqNullSafe(F.col("after")))
+    """record_index, name, before, after of each field whose value a transform changed.
+
+    A row holds both of a record's states, so its fields are compared where they are: nothing is joined or shuffled.
+    """
+    pairs = [F.struct(F.lit(f.name).alias("name"), value(f, encoding, "before").alias("before"), value(f, encoding, "after").alias("after")) for f in layout.elementary()]
+    fields = row_each(changed.where(~F.col("before").eqNullSafe(F.col("after"))), ("record_index",), pairs, "f")
+    return fields.select("record_index", "f.*").where(~F.col("before").eqNullSafe(F.col("after")))

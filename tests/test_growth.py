@@ -10,6 +10,15 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_delta_pairs_the_fields_of_a_row(spark):
+    records = [(1, b"07N\x01\x23\x4d"), (2, b"08Y\x01\x23\x4d"), (3, b"0"), (1, b"09 \x01\x23\x4d")]
+    df = spark.createDataFrame(records, "record_index long, record binary")
+    out, _ = recon.transform(df, PAIR, recon.Transform("set_true", "ON"))
+    delta = recon.transform_delta(out, PAIR)
+    assert "Join" not in plan(delta)
+    assert sorted(map(tuple, delta.collect())) == [(1, "B", "", "Y"), (1, "B", "N", "Y")]
+
+
 def test_lines_of_equal_numbers_have_one_order(spark, tmp_path):
     made = [(i % 7, i % 7, 6, b"%02dY\x01\x23\x4d" % (i * 37 % 100)) for i in range(200)]
     df = spark.createDataFrame(made, "record_index long, raw_offset long, raw_len int, record binary").repartition(5)
