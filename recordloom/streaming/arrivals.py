@@ -90,8 +90,9 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         n, out = self.policy.record_len, []
-        step = max(1, self.split // n)
-        for a in self._arrivals(start):
+        arrivals = self._arrivals(start)
+        step = fixedrec.range_records(sum(a.size for a in arrivals if a.name <= end["file"]), self.split, n)
+        for a in arrivals:
             if a.name > end["file"]:
                 break
             if a.name == end["file"] and (a.files, a.bytes, a.records) != (end["files"], end["bytes"], end["records"]):

@@ -1,7 +1,10 @@
 """Steps that must not join, order or split by chance or by a table's size."""
 
+from pyspark.sql import functions as F
+
 from recordloom.operators import recon
 from recordloom.plans.copybook import compile_layout
+from recordloom.sources.fixedrec import MOST_RANGES, Policy, read_records
 
 PAIR = compile_layout("01 R.\n05 A PIC 9(2).\n05 B PIC X.\n   88 ON VALUE \"Y\".\n05 C PIC S9(3)V99 COMP-3.\n")
 
@@ -26,3 +29,17 @@ def test_lines_of_equal_numbers_have_one_order(spark, tmp_path):
     other = recon.ordered_digest(recon.record_json(df.repartition(3), PAIR), "record_index", "line").first()
     assert (done.output_sha256, done.records) == (other["hash"], other["records"])
     assert done.totals.where("name = 'A'").first()["total"] == str(sum(i * 37 % 100 for i in range(200)))
+
+
+def test_ranges_grow_and_not_their_number(spark, tmp_path):
+    n, total = 50, 200_000
+    data = b"".join(b"%050d" % i for i in range(total))
+    (tmp_path / "a.dat").write_bytes(data[: 70_001 * n])
+    (tmp_path / "b.dat").write_bytes(data[70_001 * n :] + b"cut")
+    df = read_records(spark, str(tmp_path), Policy(n, partial="evidence"), split_bytes=10 * n)
+    assert df.rdd.getNumPartitions() <= MOST_RANGES + 2  # 20,001, when a range had always ten records
+    told = df.where("not partial").agg(F.count("*"), F.sum("record_index"), F.count_if(F.decode("record", "US-ASCII").cast("long") == F.col("record_index")), F.max("raw_offset")).first()
+    assert tuple(told) == (total, total * (total - 1) // 2, total, (total - 70_001 - 1) * n)
+    assert [(r["record_index"], r["raw_len"], bytes(r["record"])) for r in df.where("partial").collect()] == [(total, 3, b"cut")]
+    few = read_records(spark, str(tmp_path), Policy(n, partial="evidence"), split_bytes=10 * n, first=69_999, last=70_004)
+    assert [r["record_index"] for r in few.orderBy("record_index").collect()] == list(range(69_999, 70_005))
