@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.decode import ASCII, number, raw_bytes, raw_hex, text_of, valid, value
+from recordloom.functions.decode import ASCII, number, raw_bytes, raw_hex, row_each, text_of, valid, value
 from recordloom.operators.findings import FINDING
 from recordloom.plans.copybook import Layout
 
@@ -87,7 +87,7 @@ def date_validate(df: DataFrame, layout: Layout, rules: tuple[DateRule, ...], en
         f = layout.field(r.field)
         text = text_of(raw_bytes(f), encoding if f.usage == "DISPLAY" else ASCII)
         items.append(F.struct(F.lit(r.field).alias("field"), text.alias("text"), date_status(text, r).alias("status"), demand))
-    rows = df.select("record_index", F.explode(F.array(*items)).alias("d")).select("record_index", "d.*")
+    rows = row_each(df, ("record_index",), items, "d").select("record_index", "d.*")
     status = F.col("status")
     found = (
         F.when(status == "missing", F.array(F.lit("DATE-MISSING-FIELD"))).when(status == "invalid_format", F.array(F.lit("DATE-INVALID-FORMAT")))
@@ -136,7 +136,7 @@ def currency_validate(df: DataFrame, layout: Layout, rules: tuple[CurrencyRule,
             elif r.code:
                 found.append(F.lit("CURRENCY-MISSING-CODE"))
         items.append(F.struct(F.lit(r.amount).alias("field"), v.alias("value"), scale.alias("observed_scale"), code.alias("code"), F.array_compact(F.array(*found).cast("array<string>")).alias("rule_ids"), F.lit(False).alias("admitted_as_money")))
-    return df.select("record_index", F.explode(F.array(*items)).alias("c")).select("record_index", "c.*")
+    return row_each(df, ("record_index",), items, "c").select("record_index", "c.*")
 
 
 @dataclass(frozen=True)
@@ -165,7 +165,7 @@ def null_indicators(df: DataFrame, layout: Layout, pairs: tuple[Indicator, ...],
             F.lit(p.value).alias("field"), status.alias("status"), F.when(n >= 0, value(layout.field(p.value), encoding)).alias("value"),
             F.when(n > 0, n.cast("long")).alias("original_length"), F.when(~valid(i, encoding), "DB2-DIRTY-INDICATOR").alias("rule_id"),
         ))
-    return df.select("record_index", F.explode(F.array(*items)).alias("i")).select("record_index", "i.*")
+    return row_each(df, ("record_index",), items, "i").select("record_index", "i.*")
 
 
 def redefined_views(layout: Layout) -> dict[str, tuple[str, ...]]:
@@ -193,7 +193,7 @@ def redefines_manifest(df: DataFrame, layout: Layout, region: str, discriminator
             if name == v and d is not None:
                 on = on | (d == val)
         items += [F.struct(F.lit(top.name).alias("view"), F.lit(f.name).alias("field"), value(f, encoding).alias("value"), on.alias("active")) for f in inside]
-    return df.select("record_index", F.explode(F.array(*items)).alias("v")).select("record_index", "v.*")
+    return row_each(df, ("record_index",), items, "v").select("record_index", "v.*")
 
 
 @dataclass(frozen=True)
@@ -232,7 +232,7 @@ def redact(df: DataFrame, layout: Layout, rule: Redaction, encoding: str = ASCII
             F.lit(f.name).alias("field"), F.lit(action).alias("action"), F.lit(action != "allow").alias("redacted"), shown.alias("value"), F.sha2(v, 256).alias("value_sha256"), F.sha2(raw_bytes(f), 256).alias("raw_sha256"), raw.alias("raw_hex"),
             F.lit(None if listed or rule.unlisted == "allow" else "PRIVACY-UNLISTED-FIELD").cast("string").alias("rule_id"),
         ))
-    return df.select("record_index", F.explode(F.array(*items)).alias("r")).select("record_index", "r.*")
+    return row_each(df, ("record_index",), items, "r").select("record_index", "r.*")
 
 
 def extract_manifest(df: DataFrame, layout: Layout, unit: str, declared: dict[str, str]) -> DataFrame:

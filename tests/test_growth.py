@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from recordloom.functions.encode import encode_edited
 from recordloom.operators import recon
 from recordloom.plans.copybook import compile_layout
 from recordloom.sources.fixedrec import MOST_RANGES, Policy, read_records
@@ -31,6 +32,17 @@ def test_lines_of_equal_numbers_have_one_order(spark, tmp_path):
     assert done.totals.where("name = 'A'").first()["total"] == str(sum(i * 37 % 100 for i in range(200)))
 
 
+def test_edited_pictures_by_groups(spark):
+    f = compile_layout("01 R.\n05 A PIC ZZZ,ZZ9.99CR.\n05 B PIC -Z,ZZZ.\n05 C PIC 9,9Z.Z.\n").elementary()
+    values = spark.sql("SELECT * FROM VALUES (0.00BD), (0.05BD), (-12.34BD), (999.99BD), (1000.00BD), (-123456.78BD), (1234567.00BD), (null) AS t(v)")
+    got = values.select(*(F.decode(encode_edited(F.col("v"), x), "US-ASCII").alias(x.name) for x in f)).collect()
+    assert [r["A"] for r in got] == ["      0.00  ", "      0.05  ", "     12.34CR", "    999.99  ", "  1,000.00  ", "123,456.78CR", None, None]
+    assert [r["B"] for r in got] == ["      ", "      ", "-   12", "   999", " 1,000", None, None, None]
+    assert [r["C"] for r in got] == ["0,00.0", "0,00.0", "0,12.3", "9,99.9", None, None, None, None]
+    tree = encode_edited(F.col("v"), f[0])
+    assert str(tree).count("v AS DECIMAL") < 10 and plan(values.select(tree.alias("x"))).count("floor") < 3  # 80 and more, when each place named all digits
+
+
 def test_ranges_grow_and_not_their_number(spark, tmp_path):
     n, total = 50, 200_000
     data = b"".join(b"%050d" % i for i in range(total))
