@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.functions.encode import encode_edited
+from recordloom.functions.encode import encode_edited, encode_field
 from recordloom.operators import recon
 from recordloom.plans.copybook import compile_layout
 from recordloom.sources.fixedrec import MOST_RANGES, Policy, read_records
@@ -55,3 +55,17 @@ def test_ranges_grow_and_not_their_number(spark, tmp_path):
     assert [(r["record_index"], r["raw_len"], bytes(r["record"])) for r in df.where("partial").collect()] == [(total, 3, b"cut")]
     few = read_records(spark, str(tmp_path), Policy(n, partial="evidence"), split_bytes=10 * n, first=69_999, last=70_004)
     assert [r["record_index"] for r in few.orderBy("record_index").collect()] == list(range(69_999, 70_005))
+
+
+def test_numbers_are_encoded_by_their_own_type(spark):
+    """Longs and short decimals of the picture's scale don't go through decimals of 38 digits; their bytes are those of wide ones."""
+    layout = compile_layout("01 R.\n05 A PIC 9(5).\n05 B PIC S9(3)V99 COMP-3.\n05 C PIC Z,ZZ9.99CR.\n05 D PIC S9(18).\n05 E PIC ZZ9,999.\n")
+    rows = [(0, "0"), (7, "-0.05"), (-3, "12.34"), (99999, "-999.99"), (100000, "1000.00"), (-100000, "-1000.00"), (2**62, "99999.99"), (-(2**63), "0.10"), (None, None)]
+    df = spark.createDataFrame(rows, "i long, m string").select("i", F.col("m").cast("decimal(18,2)").alias("m"))
+    for name, c, kind in (("A", "i", "i"), ("D", "i", "i"), ("E", "i", "i"), ("B", "m", "m"), ("C", "m", "m")):
+        f = layout.field(name)
+        made = df.select(encode_field(F.col(c), f).alias("x"), encode_field(F.col(c).cast("decimal(38,10)"), f).alias("y"))
+        assert "38" not in plan(made.select("x")) and "typeof" not in plan(made), name
+        assert all(r["x"] == r["y"] for r in made.collect()), name
+    shown = df.where("i = 7").select(encode_field(F.col("m"), layout.field("C")).alias("x"), encode_field(F.col("i"), layout.field("E")).alias("y")).first()
+    assert (bytes(shown["x"]), bytes(shown["y"])) == (b"    0.05CR", b"  0,007")
