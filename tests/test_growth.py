@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from recordloom import queries as q
 from recordloom.functions.encode import encode_edited, encode_field
 from recordloom.operators import recon
 from recordloom.plans.copybook import compile_layout
@@ -69,3 +70,13 @@ def test_numbers_are_encoded_by_their_own_type(spark):
         assert all(r["x"] == r["y"] for r in made.collect()), name
     shown = df.where("i = 7").select(encode_field(F.col("m"), layout.field("C")).alias("x"), encode_field(F.col("i"), layout.field("E")).alias("y")).first()
     assert (bytes(shown["x"]), bytes(shown["y"])) == (b"    0.05CR", b"  0,007")
+
+
+def test_rows_of_one_group_are_dealt_out(spark, tmp_path):
+    """A file of one group of rows is read by one task; what follows has more."""
+    n = 3 * q.LEAST_TASK_ROWS
+    made = spark.range(n).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1.5).alias("c_acctbal"), F.lit("s").alias("c_mktsegment"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = q.customers(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 3
+    assert rows.groupBy("record_index").count().where("count = 1").count() == n
