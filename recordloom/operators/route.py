@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.functions.decode import ASCII, number, typed, valid
 from recordloom.operators.findings import FINDING, finding
 from recordloom.plans.copybook import Layout
+from recordloom.sources.fixedrec import new_folder
 
 #: What a numeric field is for; only amounts are summed.
 ROLES = ("amount", "identifier", "rate", "code", "count", "date", "quantity")
@@ -100,8 +101,12 @@ def reconcile_banking(df: DataFrame, spec: VariantSpec, control: Control, encodi
 
     Polarity comes only from the declared values of the source field, never from a sign. The last trailer counts. Without the
     role ``amount`` the amount field is not summed at all. An amount must have exactly two decimals and a declared count none:
-    others are not rounded, a detail is dirty and a trailer declares nothing. Everything observed comes from one aggregation.
+    others are not rounded, a detail is dirty and a trailer declares nothing.
+
+    The records are read once, here: the job that writes the findings on records gathers all that is observed while it does so, in its
+    last stage, where a task that is run again counts once.
     """
+    spark = df.sparkSession
     layout = {v.name: v.layout for v in spec.variants}
     d, t = layout[control.detail], layout[control.trailer]
     consistent = control.roles.get(control.amount) == "amount"
@@ -121,21 +126,24 @@ def reconcile_banking(df: DataFrame, spec: VariantSpec, control: Control, encodi
     none = F.lit(None).cast("decimal(38,2)")
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("amount"))), F.lit(Decimal("0.00"))) if consistent else none
     last = lambda c: F.max_by(F.when(is_trailer, F.col(c)), F.when(is_trailer, F.col("record_index"))).cast("decimal(38,2)")
-    one = rows.agg(F.count_if(is_detail).cast("decimal(38,2)").alias("n"), total(debit).cast("decimal(38,2)").alias("debit"), total(credit).cast("decimal(38,2)").alias("credit"), *(last(c).alias(c) for c in ("t_count", "t_debit", "t_credit")))
+    seen = [F.count_if(is_detail).cast("decimal(38,2)").alias("n"), total(debit).cast("decimal(38,2)").alias("debit"), total(credit).cast("decimal(38,2)").alias("credit"), *(last(c).alias(c) for c in ("t_count", "t_debit", "t_credit"))]
     row = lambda m, dec, obs: F.struct(F.lit(m).alias("measure"), F.col(dec).alias("declared"), F.col(obs).alias("observed"), F.coalesce(F.col(dec) == F.col(obs), F.lit(False)).alias("ok"))
-    totals = one.select(F.explode(F.array(row("record_count", "t_count", "n"), row("debit_total", "t_debit", "debit"), row("credit_total", "t_credit", "credit"))).alias("r")).select("r.*")
-
     index = F.col("record_index").cast("string")
     kind_of = (
         F.when(F.col("kind").isNull(), finding("BANK-UNKNOWN-RECORD-TYPE", F.concat(F.lit("record "), index, F.lit(": unknown discriminator "), F.coalesce("disc", F.lit(""))), "record_index"))
         .when(is_detail & ~(F.col("amount_ok") & F.col("source_ok")), finding("BANK-DIRTY-DETAIL", F.concat(F.lit("record "), index, F.lit(": amount or polarity is not cleanly decodable")), "record_index"))
         .when(clean & ~debit & ~credit, finding("BANK-UNKNOWN-POLARITY", F.concat(F.lit("record "), index, F.lit(": polarity "), F.col("polarity"), F.lit(" is not declared")), "record_index"))
     )
-    found = rows.select(kind_of.alias("f")).where("f is not null").select("f.*")
+    observed, folder = Observation(), new_folder(spark, "bank-findings")
+    rows.observe(observed, *seen).select(kind_of.alias("f")).where("f is not null").select("f.*").write.parquet(folder)
+    found = spark.read.schema(FINDING).parquet(folder)
+    kinds = rows.agg(*seen).schema
+    one = spark.createDataFrame([tuple(observed.get[k] for k in kinds.names)], kinds)
+    totals = one.select(F.explode(F.array(row("record_count", "t_count", "n"), row("debit_total", "t_debit", "debit"), row("credit_total", "t_credit", "credit"))).alias("r")).select("r.*")
     compare = F.when(F.col("declared").isNull(), finding("BANK-NO-TRAILER", F.concat(F.col("measure"), F.lit(": no declared trailer total")))).otherwise(finding("BANK-CONTROL-MISMATCH", F.concat(F.col("measure"), F.lit(": declared "), F.col("declared").cast("string"), F.lit(" != observed "), F.coalesce(F.col("observed").cast("string"), F.lit("(not summed)")))))
     found = found.union(totals.where("not ok").select(compare.alias("f")).select("f.*"))
     if not consistent:
-        found = found.union(df.sparkSession.createDataFrame([("BANK-PROFILE-INCONSISTENT", "warning", f"{control.amount} is not declared an amount; nothing is summed", None)], FINDING))
+        found = found.union(spark.createDataFrame([("BANK-PROFILE-INCONSISTENT", "warning", f"{control.amount} is not declared an amount; nothing is summed", None)], FINDING))
     return totals, found
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from recordloom import queries as q
 from recordloom.functions.encode import encode_edited, encode_field
-from recordloom.operators import recon
+from recordloom.operators import recon, route
 from recordloom.plans.copybook import compile_layout
 from recordloom.sources.fixedrec import MOST_RANGES, Policy, read_records
 
@@ -80,3 +80,21 @@ def test_rows_of_one_group_are_dealt_out(spark, tmp_path):
     rows = q.customers(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() == 3
     assert rows.groupBy("record_index").count().where("count = 1").count() == n
+
+
+def test_banking_reads_its_records_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    detail, trailer = compile_layout("01 D.\n05 T PIC X.\n05 M PIC S9(3)V99 COMP-3.\n05 P PIC X.\n"), compile_layout("01 E.\n05 T PIC X.\n05 N PIC 9.\n05 S PIC S9V99 COMP-3.\n05 C PIC 9.\n")
+    records = [(1, b"D\x00\x10\x0cR"), (2, b"D\x00\x10\x0cX"), (3, b"D\xff\xff\xffR"), (4, b"?00000")]
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(records, "record_index long, record binary").mapInArrow(count, "record_index long, record binary")
+    spec = route.VariantSpec(0, 1, (route.Variant("d", b"D", detail), route.Variant("t", b"T", trailer)))
+    totals, found = route.reconcile_banking(df, spec, route.Control("d", "t", "M", "P", ("R",), ("N",), "N", "S", "S", {"M": "amount"}))
+    assert [tuple(r) for r in totals.select("measure", F.col("observed").cast("string")).orderBy("measure").collect()] == [("credit_total", "0.00"), ("debit_total", "1.00"), ("record_count", "3.00")]
+    assert sorted(r["rule_id"] for r in found.collect()) == ["BANK-DIRTY-DETAIL", *["BANK-NO-TRAILER"] * 3, "BANK-UNKNOWN-POLARITY", "BANK-UNKNOWN-RECORD-TYPE"]
+    assert seen.value == len(records)
