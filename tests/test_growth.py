@@ -1,10 +1,13 @@
 """Steps that must not join, order or split by chance or by a table's size."""
 
+import hashlib
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from recordloom import queries as q
 from recordloom.functions.encode import encode_edited, encode_field
-from recordloom.operators import recon, route
+from recordloom.operators import custody, recon, route
 from recordloom.plans.copybook import compile_layout
 from recordloom.sources.fixedrec import MOST_RANGES, Policy, read_records
 
@@ -33,6 +36,30 @@ def test_lines_of_equal_numbers_have_one_order(spark, tmp_path):
     assert done.totals.where("name = 'A'").first()["total"] == str(sum(i * 37 % 100 for i in range(200)))
 
 
+def test_a_pass_decodes_each_field_once(spark, tmp_path):
+    """Lines and totals come from one decoding; the digests of two foldersful of lines are two tasks of one stage."""
+    df = spark.createDataFrame([(i, i * 6, 6, b"%02dY\x01\x23\x4d" % i) for i in range(90)] + [(90, 540, 1, b"9")], "record_index long, raw_offset long, raw_len int, record binary")
+    seen = Observation()
+    made = recon._lines(recon._decoded(df, PAIR, "ascii").observe(seen, *recon._decoded_aggs(PAIR)), PAIR)
+    assert plan(made).count("try_cast") == plan(recon.record_json(df, PAIR)).count("try_cast") == 2
+    done = recon.reconcile_pass(df, PAIR.text, f"file://{tmp_path}/lines")
+    assert sorted(map(str, done.totals.collect())) == sorted(map(str, recon.control_totals(df, PAIR).collect()))
+    both = recon.ordered_digest(done.lines, "record_index", "line").union(done.output)
+    assert both.rdd.getNumPartitions() == 2 and both.distinct().count() == 1
+    assert done.output_sha256 == both.first()["hash"] and done.records == 91
+
+
+def test_digests_read_texts_as_they_lie(spark):
+    """Nulls are empty texts, and those with line feeds or beyond ASCII keep their bytes; no other column is read."""
+    texts = ["b", None, "", "two\nlines", "\u00e4\U0001f600", "a" * 70_000] * 2000
+    df = spark.createDataFrame(list(enumerate(texts)), "o long, t string").withColumn("z", F.array("o"))
+    files = custody.ordered_files(df.repartition(6), "o", 5)
+    want = hashlib.sha256("".join(f"{t or ''}\n" for t in texts).encode()).hexdigest()
+    assert tuple(custody.file_digest(spark, files, "t").first()) == (want, len(texts))
+    assert {b.schema.names[0] for b in custody.file_batches(files, ["t"])} == {"t"} and sum(b.num_columns * b.num_rows for b in custody.file_batches(files, ["t"])) == len(texts)
+    assert tuple(custody.ordered_digest(df.limit(0), "o", "t").first()) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
 def test_edited_pictures_by_groups(spark):
     f = compile_layout("01 R.\n05 A PIC ZZZ,ZZ9.99CR.\n05 B PIC -Z,ZZZ.\n05 C PIC 9,9Z.Z.\n").elementary()
     values = spark.sql("SELECT * FROM VALUES (0.00BD), (0.05BD), (-12.34BD), (999.99BD), (1000.00BD), (-123456.78BD), (1234567.00BD), (null) AS t(v)")
