@@ -6,6 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from recordloom import queries as q
+from recordloom import record_queries
 from recordloom.functions.encode import encode_edited, encode_field
 from recordloom.operators import custody, recon, route
 from recordloom.plans.copybook import compile_layout
@@ -60,6 +61,26 @@ def test_digests_read_texts_as_they_lie(spark):
     assert tuple(custody.ordered_digest(df.limit(0), "o", "t").first()) == (hashlib.sha256(b"").hexdigest(), 0)
 
 
+def test_line_chain_is_of_whole_lines(spark, tmp_path):
+    """Chain and digest tell every byte of every line, as a plain loop over the sorted lines does; lines of equal numbers among them."""
+
+    def told(prices, name):
+        made = [(i % 90, i % 7 + 1, float(i % 50), p, "RAN"[i % 3]) for i, p in enumerate(prices)]
+        spark.createDataFrame(made, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        lines = [r[1] for r in sorted((r["record_index"], bytes(r["record"])) for r in q.lines(spark, f"{tmp_path}/{name}").collect())]
+        state = ""
+        for r in lines:
+            state = hashlib.sha256(state.encode() + r).hexdigest()
+        got = {r["kind"]: (r["records"], r["hash"]) for r in record_queries.line_chain(spark, f"{tmp_path}/{name}").collect()}
+        assert got == {"chain": (len(lines), state), "digest": (len(lines), hashlib.sha256(b"".join(r + b"\n" for r in lines)).hexdigest())}
+        return got
+
+    prices = [100.25 + i for i in range(1300)]
+    a, b = told(prices, "a"), told([*prices[:700], 5.0, *prices[701:]], "b")
+    assert a["chain"] != b["chain"] and a["digest"] != b["digest"]
+    assert told([], "none") == {"chain": (0, ""), "digest": (0, hashlib.sha256(b"").hexdigest())}
+
+
 def test_edited_pictures_by_groups(spark):
     f = compile_layout("01 R.\n05 A PIC ZZZ,ZZ9.99CR.\n05 B PIC -Z,ZZZ.\n05 C PIC 9,9Z.Z.\n").elementary()
     values = spark.sql("SELECT * FROM VALUES (0.00BD), (0.05BD), (-12.34BD), (999.99BD), (1000.00BD), (-123456.78BD), (1234567.00BD), (null) AS t(v)")
