@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import queries as q
 from recordloom import record_queries
+from recordloom.functions.decode import number, right_trim
 from recordloom.functions.encode import encode_edited, encode_field
 from recordloom.operators import custody, recon, route
 from recordloom.plans.copybook import compile_layout
@@ -92,6 +93,19 @@ def test_edited_pictures_by_groups(spark):
     assert str(tree).count("v AS DECIMAL") < 10 and plan(values.select(tree.alias("x"))).count("floor") < 3  # 80 and more, when each place named all digits
 
 
+def test_edited_numbers_look_for_their_own_marks_alone(spark):
+    cases = [("ZZ9.99CR", b" 12.34CR", "-12.34", 1), ("ZZ9.99CR", b" 12.34  ", "12.34", 1), ("ZZ9DB", b"  7DB", "-7", 1), ("-ZZ9.9", b"-  0.5", "-0.5", 1), ("+Z,ZZ9", b"+1,234", "1234", 1), ("+ZZ9", b"-  1", "-1", 1), ("ZZ9", b" 12", "12", 0), ("ZZZ", b"   ", None, 0), ("ZZ9", b"-12", None, 0)]
+    for pic, raw, want, marks in cases:
+        f = compile_layout(f"01 R.\n05 A PIC {pic}.\n").field("A")
+        got = spark.createDataFrame([(raw,)], "record binary").select(number(f).cast("string").alias("n"))
+        assert got.first()["n"] == want, (pic, raw)
+        assert plan(spark.range(3).select(F.encode(F.col("id").cast("string"), "US-ASCII").alias("record")).select(number(f).alias("n"))).lower().count("contains(") == marks, pic
+    ends = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    rows = [(t + e, t) for t in ("", "a", " b\u3000c", "\u200b", "\x1f") for e in ("", *ends, ends)]
+    trimmed = spark.createDataFrame(rows, "t string, want string").select("want", right_trim(F.col("t")).alias("got"))
+    assert all(r["got"] == r["want"] for r in trimmed.collect()) and "regexp" not in plan(trimmed)
+
+
 def test_ranges_grow_and_not_their_number(spark, tmp_path):
     n, total = 50, 200_000
     data = b"".join(b"%050d" % i for i in range(total))
